@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.kneser_ney import classify
 from tessera.llm.license_scan import license_digest, scan_licenses
+from tessera.llm.mixing import mix
+from tessera.llm.near_dup import near_duplicates
+from tessera.llm.packing import cut, pack
 from tessera.llm.quality_rules import judge
 from tessera.llm.support import read_table
 
@@ -15,6 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    """The place of the tokenizer's file, which every node has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -25,6 +36,28 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, m = classify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+    power = lambda n: F.pow(F.lit(2.0), F.col(m[n]))
+    return judged.select("doc_id", "lang", m["n_bytes"], power("bits").alias("perplexity"), power("threshold_bits").alias("threshold"), m["kept"])
+
+
+@_query
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(cut(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()))
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, m = judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))

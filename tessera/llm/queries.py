@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.ann import nearest
+from tessera.llm.chat import format_chats
 from tessera.llm.kneser_ney import classify
 from tessera.llm.license_scan import license_digest, scan_licenses
 from tessera.llm.mixing import mix
@@ -14,6 +16,8 @@ from tessera.llm.near_dup import near_duplicates
 from tessera.llm.packing import cut, pack
 from tessera.llm.quality_rules import judge
 from tessera.llm.support import read_table
+from tessera.llm.toxicity import held_out, toxicity
+from tessera.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +40,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+@_query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages", "page_id", "url"), read_table(spark, sf_dir, "labels")).drop("url")
+
+
 @_query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, m = classify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
@@ -58,6 +67,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(read_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary()))
 
 
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, score = toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, m = judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -17,6 +17,9 @@ Texts are tokenised whole.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +40,7 @@ class Settings:
     small: int = 128
     groups: int = 1024
     #: Words whose ids a worker remembers.
-    cache: int = 200_000
+    cache: int = 400_000
     #: Pieces of one length that one task ranks at a time (about).
     bucket: int = 100_000
 
@@ -45,30 +48,88 @@ class Settings:
 # --- tokens ------------------------------------------------------------------------------------
 
 
+#: Fixed value: how the tokenizer splits what is left of a text without white space.
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Words of these characters alone need no normalising but lower case, character by character; among them
+#: letters and digits are the same to _RUNS and to the tokenizer.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u024f]+")
+
+
 class WordTokenizer:
-    """Ids of texts under a tokenizer that drops white space and never joins across it: word by word, remembered."""
+    """Ids of texts under a tokenizer that drops white space, splits words into runs and marks their ends.
+
+    As it never joins across white space, ids are remembered by word; as it never joins across runs and
+    every run's last token is marked, new runs are encoded as one text and cut at the marks. Words with
+    rarer characters, or the special tokens' strings, go through the whole tokenizer.
+    """
+
+    MARK = "</w>"
 
     def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {}
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out: list[bytes] = []
-        for words in split:
-            new = [w for w in set(words) if w not in known]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.whole = Tokenizer.from_file(path)
+        bytes_only = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *bytes_only]}}
+        self.runs = Tokenizer.from_str(json.dumps(spec))
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.MARK)]] = True
+        self.limit, self.words, self.known = cache, {}, {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words."""
+        parts, odd, new = {}, [], {}
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(t) and not ("<" in t and any(x in t for x in self.special)):
+                parts[w] = found = [t.lower()] if t.isalpha() else _RUNS.findall(t.lower())
+                for r in found:
+                    if r not in self.known:
+                        new[r] = None
+            else:
+                odd.append((w, t))
+        if new:
+            ids = np.array(self.runs.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the tokenizer does not mark the end of every run")
+            data, at = ids.tobytes(), 0
+            for r, e in zip(new, (ends * 4).tolist(), strict=True):
+                self.known[r] = data[at:e]
+                at = e
+        for w, found in parts.items():
+            self.words[w] = b"".join([self.known[r] for r in found])
+        if odd:
+            for (w, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; texts are taken in groups, so that new words are learned together."""
+        for a in range(0, len(texts), 256):
+            split = [t.split() if t else [] for t in texts[a : a + 256]]
+            if len(self.words) > self.limit or len(self.known) > self.limit:
+                self.words.clear()
+                self.known.clear()
+            new = set().union(*split).difference(self.words)
             if new:
-                for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, words)))
-            if len(known) > self.limit:
-                known.clear()
-        return out
+                self._learn(list(new))
+            for words in split:
+                yield b"".join(map(self.words.__getitem__, words))
+
+
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def _tokenizer(path: str, cache: int) -> WordTokenizer:
+    """One tokenizer for each worker process: what it remembers serves all the tasks that the process runs."""
+    if (path, cache) not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _tokenizers[path, cache] = WordTokenizer(path, cache)
+    return _tokenizers[path, cache]
 
 
 def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings(), end: int = 0) -> DataFrame:
@@ -76,7 +137,7 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     s, tail = settings, np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, step = WordTokenizer(path, s.cache), 4 * s.capacity
+        tokenizer, step = _tokenizer(path, s.cache), 4 * s.capacity
         for b in batches:
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), tokenizer.ids(as_bytes(b.column(1))), strict=True):
@@ -159,34 +220,33 @@ def plan(histogram: dict[int, int], settings: Settings = Settings()) -> tuple[np
         gaps.setdefault(cap - fill, []).append((first_sequence, count))
     for length in sorted((x for x in histogram if 0 < x <= settings.small and histogram[x]), reverse=True):
         rank, todo = 0, histogram[length]
-        for gap in range(length, cap + 1):
-            while todo and gaps.get(gap):
-                first_sequence, count = gaps[gap].pop()
-                k = min(count, todo)
-                # as many of this length as a sequence of this gap holds would be best-fit one by one as well
-                out.append((length, rank, k, first_sequence, cap - gap))
-                gaps.setdefault(gap - length, []).append((first_sequence, k))
-                if k < count:
-                    gaps[gap].append((first_sequence + k, count - k))
-                rank, todo = rank + k, todo - k
-            if not todo:
-                break
-        if todo:  # new sequences, as full of this length as they get
-            each = cap // length
-            full, rest = divmod(todo, each)
-            for k in range(each):
-                if full:
-                    out.append((length, rank, full, sequences, k * length))
-                    rank += full
-            if full:
-                gaps.setdefault(cap - each * length, []).append((sequences, full))
-                sequences += full
-            if rest:
-                for k in range(rest):
-                    out.append((length, rank, 1, sequences, k * length))
-                    rank += 1
-                gaps.setdefault(cap - rest * length, []).append((sequences, 1))
-                sequences += 1
+
+        def place(first_sequence: int, count: int, gap: int) -> None:
+            """So many sequences of this gap get as many of the length as fit; best-fit fills one before the next."""
+            nonlocal rank, todo
+            each = gap // length
+            full = min(count, todo // each)
+            for n, start, items in ((full, first_sequence, each), (1, first_sequence + full, min(each, todo - full * each))):
+                if n and items and start < first_sequence + count:
+                    for k in range(items):
+                        out.append((length, rank, n, start, cap - gap + k * length))
+                        rank += n
+                    todo -= n * items
+                    gaps.setdefault(gap - items * length, []).append((start, n))
+                    count, first_sequence = count - n, start + n
+            if count:
+                gaps.setdefault(gap, []).append((first_sequence, count))
+
+        gap = length
+        while todo and gap <= cap:
+            if gaps.get(gap):
+                place(*gaps[gap].pop(), gap)
+            else:
+                gap += 1
+        if todo:  # new sequences
+            n = -(-todo // (cap // length))
+            sequences += n
+            place(sequences - n, n, cap)
     return np.array(out, np.int64).reshape(-1, 5), sequences
 
 

@@ -1,4 +1,286 @@
-"""Registered queries for the engine's own operators."""
+"""Registered queries: the engine's operators on the driver's tables, each with the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A document stands for a file at docs/<source>/<doc_id>.txt; three line rules give violations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.globs import star_to_regex
+from tessera.operators import cache, directives, fixes, gates, reports, violations
+from tessera.operators.reduce_phase import circular_imports
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.format_string("docs/%s/%d.txt", "source", "doc_id")
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("file"), F.coalesce("text", F.lit("")).alias("source"), "lang")
+
+
+# --- gates -----------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id FROM documents WHERE contains(text, 'License') AND contains(text, 'under') AND NOT contains(text, 'MIT')")
+def gate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = gates.Gates(file_contains=["License", "under", ""], file_not_contains=["MIT"])
+    return _files(spark, sf_dir).filter(gates.admits_content(F.col("source"), gate)).select("doc_id")
+
+
+@_query(r"""SELECT page_id, path FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
+WHERE regexp_full_match(path, '.*example\.(com|org)/.*') AND NOT regexp_full_match(path, '(blog|m)\..*')""")
+def gate_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+    gate = gates.Gates(path_matches=["**/*example.{com,org}/**", "*example.{com,org}/*"], path_not_matches=["{blog,m}.*"])
+    return pages.filter(gates.admits_path(F.col("path"), gate))
+
+
+# --- positions, directives ----------------------------------------------------------------------------
+
+_LINES_SQL = """lines AS (SELECT file, line, t AS text FROM (SELECT 'docs/' || source || '/' || doc_id || '.txt' AS file,
+  unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS line, unnest(string_split(d.text, chr(10))) AS t FROM documents d WHERE d.text <> ''))"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("file", F.posexplode(directives.lines(F.col("source"))).alias("at", "text")).select("file", (F.col("at") + 1).cast("int").alias("line"), "text")
+
+
+@_query(f"""WITH {_LINES_SQL} SELECT file, CAST(line AS INTEGER) AS line, CAST(strlen(split_part(text, 'that', 1)) + 1 AS INTEGER) AS "column" FROM lines WHERE contains(text, 'that')""")
+def scan_lines_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.instr("text", "that")
+    return _lines(spark, sf_dir).filter(at > 0).select("file", "line", directives.byte_column(F.col("text"), at - 1).alias("column"))
+
+
+_DIRECTIVE_TEXT = {
+    0: ("// tessera-disable-next-line local/shout, local/long reason: agreed: once", "shout"),
+    1: ("# tessera-disable-file local/shout reason: legacy expires: 2024-06-30", "shout"),
+    2: ("-- tessera-disable-next-line local/shout", None),
+    3: ("x tessera-disable-next-line-later local/shout reason: prose", None),
+    4: ("/* tessera-disable-file Local reason: bad id */", None),
+    5: ("é tessera-disable-next-line local/long reason: not for this rule", None),
+}
+
+
+def _with_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three lines: a directive by doc_id, then two lines that break local/shout."""
+    text = F.element_at(F.create_map(*[F.lit(x) for k, (t, _) in _DIRECTIVE_TEXT.items() for x in (k, t)]), (F.col("doc_id") % 6).cast("int"))
+    return _files(spark, sf_dir).select("doc_id", "file", F.concat(text, F.lit("\nA!!\nB!!\n")).alias("source"))
+
+
+def _shouts(files: DataFrame) -> DataFrame:
+    rows = files.select("file", F.posexplode(directives.lines(F.col("source"))).alias("at", "text")).filter(F.contains("text", F.lit("!!")))
+    return rows.select(F.lit("local").alias("rule_ns"), F.lit("shout").alias("rule_name"), "file", (F.col("at") + 1).cast("int").alias("line"), F.lit(1).alias("column"), F.lit("shouting").alias("message"), F.lit("lower your voice").alias("remediation"), F.lit("error").alias("severity"))
+
+
+_DOC_FILE = "'docs/' || source || '/' || doc_id || '.txt'"
+
+
+@_query(f"""SELECT {_DOC_FILE} AS file, CASE WHEN doc_id % 6 IN (1) THEN 'file' ELSE 'next_line' END AS scope,
+CASE doc_id % 6 WHEN 0 THEN 'local/shout,local/long' WHEN 1 THEN 'local/shout' ELSE 'local/long' END AS rules,
+CASE doc_id % 6 WHEN 0 THEN 'agreed: once' WHEN 1 THEN 'legacy' ELSE 'not for this rule' END AS reason,
+CASE WHEN doc_id % 6 = 1 THEN '2024-06-30' END AS expires, 1 AS line, CASE doc_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 4 END AS "column"
+FROM documents WHERE doc_id % 6 IN (0, 1, 5)""")
+def directive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _ = directives.scan(_with_directives(spark, sf_dir))
+    return valid.select("file", "scope", F.array_join("rules", ",").alias("rules"), "reason", "expires", "line", "column")
+
+
+@_query(f"""SELECT {_DOC_FILE} AS file, 1 AS line, CASE doc_id % 6 WHEN 2 THEN 4 ELSE 4 END AS "column" FROM documents WHERE doc_id % 6 IN (2, 4)""")
+def directive_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directives.scan(_with_directives(spark, sf_dir))[1].select("file", "line", "column")
+
+
+@_query(f"""WITH f AS (SELECT {_DOC_FILE} AS file, doc_id % 6 AS k FROM documents)
+SELECT 'local/shout' AS rule, file, 2 AS line, 'error' AS severity FROM f WHERE k NOT IN (0, 1)
+UNION ALL SELECT 'local/shout', file, 3, 'error' FROM f WHERE k <> 1
+UNION ALL SELECT 'tessera/suppression', file, 1, 'error' FROM f WHERE k IN (1, 2, 4)
+UNION ALL SELECT 'tessera/suppression', file, 1, 'warn' FROM f WHERE k = 5""")
+def suppress_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _with_directives(spark, sf_dir)
+    valid, malformed = directives.scan(files)
+    out = directives.apply(_shouts(files), valid, malformed, today="2024-07-01", unused=True)
+    return out.select(F.concat_ws("/", "rule_ns", "rule_name").alias("rule"), "file", "line", "severity")
+
+
+# --- violations, order, severity, reports ----------------------------------------------------------------
+
+_VIOLATIONS_SQL = f"""{_LINES_SQL}, v AS (
+  SELECT 'local' AS rule_ns, 'shout' AS rule_name, file, line, strlen(split_part(text, '!!', 1)) + 1 AS "column", 'shouting' AS message, 'error' AS severity FROM lines WHERE contains(text, '!!')
+  UNION ALL SELECT 'local-x', 'address', file, line, strlen(split_part(text, '@', 1)) + 1, 'an address in ' || file, 'warn' FROM lines WHERE contains(text, '@')
+  UNION ALL SELECT 'local', 'licence', file, line, strlen(split_part(text, 'License', 1)) + 1, 'a licence', 'off' FROM lines WHERE contains(text, 'License'))"""
+_RULES = (("local", "shout", "!!", "shouting", "error"), ("local-x", "address", "@", None, "warn"), ("local", "licence", "License", "a licence", "off"))
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the lines for all rules: what each finds is exploded from one array."""
+    def found(ns: str, name: str, needle: str, message: str | None, severity: str):
+        at = F.instr("text", needle)
+        said = F.lit(message) if message else F.concat(F.lit("an address in "), "file")
+        return F.when(at > 0, F.struct(F.lit(ns).alias("rule_ns"), F.lit(name).alias("rule_name"), directives.byte_column(F.col("text"), at - 1).alias("column"), said.alias("message"), F.lit(severity).alias("severity")))
+
+    rows = _lines(spark, sf_dir).withColumn("x", F.explode(F.array_compact(F.array(*(found(*r) for r in _RULES)))))
+    return rows.select("x.rule_ns", "x.rule_name", "file", "line", "x.column", "x.message", F.lit("see the guide").alias("remediation"), "x.severity")
+
+
+@_query(f"""WITH {_VIOLATIONS_SQL} SELECT rule_ns, rule_name, file, CAST(line AS INTEGER) AS line, CAST("column" AS INTEGER) AS "column",
+row_number() OVER (ORDER BY rule_ns, rule_name, file, line, "column") AS position FROM v""")
+def violations_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _violations(spark, sf_dir).select("rule_ns", "rule_name", "file", "line", "column")
+    return violations.positioned(v, *violations.ORDER)
+
+
+@_query(f"""WITH {_VIOLATIONS_SQL} SELECT rule_ns, rule_name, coalesce(o.severity, v.severity, 'error') AS severity, count(*) AS n FROM v
+LEFT JOIN (VALUES ('local', 'licence', 'warn'), ('local', 'shout', NULL)) o(ns, name, severity) ON ns = rule_ns AND name = rule_name GROUP BY ALL""")
+def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    override = F.when((F.col("rule_ns") == "local") & (F.col("rule_name") == "licence"), "warn")
+    v = _violations(spark, sf_dir).withColumn("severity", violations.resolved_severity(override, F.col("severity")))
+    return v.groupBy("rule_ns", "rule_name", "severity").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_VIOLATIONS_SQL} SELECT NOT coalesce(bool_or(severity = 'error'), false) AS ok, CASE WHEN coalesce(bool_or(severity = 'error'), false) THEN 1 ELSE 0 END AS exit_code FROM v")
+def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations.failing(_violations(spark, sf_dir))
+
+
+@_query(f"""WITH {_VIOLATIONS_SQL} SELECT file || ':' || line || ':' || "column" || ' ' || severity || ' [' || rule_ns || '/' || rule_name || '] ' || message || chr(10) || '  → see the guide' AS lines FROM v""")
+def report_human(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.human_lines(_violations(spark, sf_dir)).select("lines")
+
+
+@_query(f"""WITH {_VIOLATIONS_SQL}, r AS (SELECT rule_ns, rule_name, row_number() OVER (ORDER BY rule_ns, rule_name) - 1 AS i FROM (SELECT DISTINCT rule_ns, rule_name FROM v))
+SELECT rule_ns, rule_name, file, CAST(line AS INTEGER) AS line, CAST(i AS INTEGER) AS rule_index FROM v JOIN r USING (rule_ns, rule_name)""")
+def report_sarif_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.rule_index(_violations(spark, sf_dir)).select("rule_ns", "rule_name", "file", "line", "rule_index")
+
+
+@_query(f"""WITH {_VIOLATIONS_SQL} SELECT rule_ns, rule_name, count(*) AS n, string_agg(file || ':' || line || ':' || "column" || coalesce(' ' || CASE WHEN message <> rule_name THEN message END, ''), '|' ORDER BY file, line, "column") AS locations FROM v GROUP BY ALL""")
+def report_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = spark.createDataFrame([(ns, name, name, "see the guide") for ns, name, *_ in _RULES], "rule_ns string, rule_name string, card_message string, card_remediation string")
+    groups = reports.agent_groups(_violations(spark, sf_dir), cards)
+    each = F.transform("locations", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"), F.lit(":"), x["column"].cast("string"), F.coalesce(F.concat(F.lit(" "), x["message"]), F.lit(""))))
+    return groups.select("rule_ns", "rule_name", "n", F.array_join(each, "|").alias("locations"))
+
+
+@_query("""SELECT event_type AS rule_name, CAST(sum(event_id % 7) AS BIGINT) AS query_ms, CAST(sum(event_id % 11) AS BIGINT) AS handler_ms, count(*) AS matches, CAST(sum(event_id % 7 + event_id % 11) AS BIGINT) AS total_ms FROM events GROUP BY event_type""")
+def profile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    t = e.select(F.lit("local").alias("rule_ns"), F.col("event_type").alias("rule_name"), (F.col("event_id") % 7).alias("query_ms"), (F.col("event_id") % 11).alias("handler_ms"), F.lit(1).alias("matches"))
+    return reports.profile(t).drop("rule_ns")
+
+
+# --- facts and reduce ------------------------------------------------------------------------------------
+
+
+@_query(r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS sequence, h AS target FROM (SELECT page_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS h FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS m FROM pages))""")
+def match_emit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    hits = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("match", "target"))
+    facts = hits.select(F.lit("local").alias("rule_ns"), F.lit("link").alias("rule_name"), F.col("page_id").cast("string").alias("file"), "page_id", "match", "target")
+    return violations.numbered(facts, "match").select("page_id", "sequence", "target")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def reduce_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey").join(used, "o_orderkey", "left_anti")
+
+
+@_query("""WITH RECURSIVE e AS (SELECT DISTINCT event_type AS a, nxt AS b FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> event_type),
+p AS (SELECT a AS root, [a] AS path, b AS nxt FROM e UNION ALL SELECT root, list_append(path, nxt), e.b FROM p JOIN e ON e.a = nxt WHERE nxt <> root AND NOT list_contains(path, nxt) AND nxt > root)
+SELECT array_to_string(path, ' ') AS cycle, len(path) AS length FROM p WHERE nxt = root""")
+def reduce_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    step = _table(spark, sf_dir, "events").select("event_type", F.lead("event_type").over(w).alias("target")).filter("target IS NOT NULL AND target <> event_type").distinct()
+    edges = step.select(F.col("event_type").alias("file"), "target", F.lit(1).alias("line"), F.lit(1).alias("column"), F.row_number().over(Window.partitionBy("event_type").orderBy("target")).alias("ordinal"))
+    found = circular_imports(edges)
+    ring = F.slice("path", F.lit(1), F.size("path") - 1)
+    at = F.array_position(ring, F.array_min(ring)).cast("int")
+    turned = F.concat(F.slice(ring, at, F.size(ring)), F.slice(ring, F.lit(1), at - 1))
+    return found.select(F.array_join(turned, " ").alias("cycle"), F.size(ring).cast("long").alias("length"))
+
+
+_RESTRICTIONS = ((0, "https://m.*", None), (1, "*example.net/en/*", "!*blog.*"), (2, "http://*", None), (3, "*/de/*", None))
+
+
+@_query("""SELECT page_id, CASE WHEN url LIKE 'https://m.%' THEN 0 WHEN url LIKE '%example.net/en/%' AND url NOT LIKE '%blog.%' THEN 1 WHEN url LIKE 'http://%' THEN 2 WHEN url LIKE '%/de/%' THEN 3 END AS restriction FROM pages
+WHERE url LIKE 'https://m.%' OR (url LIKE '%example.net/en/%' AND url NOT LIKE '%blog.%') OR url LIKE 'http://%' OR url LIKE '%/de/%'""")
+def first_match_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    fits = [F.when(url.rlike(star_to_regex(m)) & (~url.rlike(star_to_regex(x[1:])) if x else F.lit(True)), F.lit(i)) for i, m, x in _RESTRICTIONS]
+    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(*fits).alias("restriction")).filter("restriction IS NOT NULL")
+
+
+@_query("""SELECT page_id FROM pages WHERE (page_id % 2 = 0 OR page_id % 5 = 0) AND url NOT LIKE '%blog%'""")
+def selection_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    changed = pages.filter("page_id % 2 = 0").select("page_id").union(pages.filter("page_id % 5 = 0").select("page_id")).distinct()
+    return pages.filter(gates.selects(F.col("url"), [], ["*blog*"])).join(changed, "page_id", "left_semi").select("page_id")
+
+
+# --- fixes, cache -------------------------------------------------------------------------------------------
+
+
+@_query("""WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + CAST(l_linenumber * 3 AS BIGINT) AS b FROM lineitem WHERE l_returnflag <> 'R'),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, b, n) AS i FROM s),
+g AS (SELECT k, i, b AS last, CAST(1 AS BIGINT) AS applied FROM o WHERE i = 1
+UNION ALL SELECT o.k, o.i, CASE WHEN o.a < g.last THEN g.last ELSE o.b END, g.applied + CASE WHEN o.a < g.last THEN 0 ELSE 1 END FROM g JOIN o ON o.k = g.k AND o.i = g.i + 1)
+SELECT k AS l_orderkey, max(applied) AS applied FROM g GROUP BY k""")
+def fix_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    a = F.col("l_quantity").cast("bigint")
+    fix = F.struct(a.alias("start"), (a + F.col("l_linenumber") * 3).alias("end"), F.lit("").alias("replacement"), (F.col("l_returnflag") != "R").alias("safe"))
+    g = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", fix.alias("fix")))).alias("x"))
+    taken = F.size(fixes.chosen(F.transform("x", lambda y: y["fix"]), F.lit(10_000))).cast("bigint")
+    return g.select("l_orderkey", taken.alias("applied")).filter("applied > 0")
+
+
+@_query("""SELECT doc_id, replace(text, 'the', 'THE') AS source, (len(text) - len(replace(text, 'the', ''))) // 3 AS applied FROM documents WHERE contains(text, 'the')""")
+def fix_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).filter(F.contains("source", F.lit("the")))
+    parts = F.split("source", "the", -1)
+    starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, p: F.struct((acc["at"] + F.octet_length(p) + 3).alias("at"), F.array_append(acc["starts"], acc["at"] + F.octet_length(p)).alias("starts")))["starts"]
+    fix = lambda s: F.struct(s.cast("bigint").alias("start"), (s + 3).cast("bigint").alias("end"), F.lit("THE").alias("replacement"), F.lit(True).alias("safe"))
+    chosen = fixes.chosen(F.transform(starts, fix), F.octet_length("source"))
+    return files.withColumn("take", chosen).select("doc_id", fixes.splice(F.col("source"), F.col("take")).alias("source"), F.size("take").cast("bigint").alias("applied"))
+
+
+@_query("""WITH now AS (SELECT DISTINCT doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 3),
+r AS (SELECT doc_id // 10 AS key, doc_id AS path, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 31 = 5 THEN 'old' ELSE md5(text) END AS hash FROM documents)
+SELECT key FROM r LEFT JOIN now ON now.path = r.path GROUP BY key HAVING bool_and(r.hash IS NOT DISTINCT FROM now.hash)""")
+def cache_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    now = d.filter("doc_id % 7 <> 3").select(F.col("doc_id").alias("path"), F.col("h").alias("hash"))
+    seen = F.when(F.col("doc_id") % 7 == 3, F.lit(None)).when(F.col("doc_id") % 31 == 5, "old").otherwise(F.col("h"))
+    reads = d.select(F.expr("doc_id div 10").alias("key"), F.col("doc_id").alias("path"), seen.alias("hash"))
+    return cache.valid_keys(reads, now)
+
+
+@_query("""SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS entry FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
+    return cache.merged(d.filter("key % 2 = 0").withColumn("entry", F.lit("old")), d.filter("key % 3 = 0").withColumn("entry", F.lit("new")), whole=False)
+
+
+@_query("""SELECT doc_id, sha256(strlen('run') || ':run:' || strlen(f) || ':' || f || ':64:' || sha256(text)) AS key FROM (SELECT doc_id, text, 'docs/' || source || '/' || doc_id || '.txt' AS f FROM documents)""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.keys(_files(spark, sf_dir), "run", "2024-07-01").select("doc_id", "key")

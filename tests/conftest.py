@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from tessera.session import local_session
@@ -5,6 +7,6 @@ from tessera.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores="4", shuffle_partitions=4, memory="4g", app="tests")
+    session = local_session(cores=os.environ.get("TEST_CPUS", "4"), shuffle_partitions=4, memory="4g", app="tests")
     yield session
     session.stop()

@@ -69,7 +69,6 @@ def circular_imports(edges: DataFrame, max_depth: int = 24) -> DataFrame:
         if depth == max_depth:
             break
         paths = step.filter(back == 0).select("root", F.array_append("path", F.col("target")).alias("path"), F.array_append("ordinals", F.col("ordinal")).alias("ordinals"), F.col("target").alias("last"))
-        paths = checkpointed(paths)
         if paths.isEmpty():
             break
     turns = F.transform(F.sequence(F.lit(0), F.size("cycle") - 1), lambda i: F.concat(F.slice("cycle", i + 1, F.size("cycle")), F.slice("cycle", F.lit(1), i)))

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.globs import star_to_regex
-from tessera.operators import cache, directives, fixes, gates, reports, violations
+from tessera.operators import cache, directives, fixes, gates, navigation, reports, violations
 from tessera.operators.reduce_phase import circular_imports
+from tessera.plans import builtin, engine, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,3 +285,39 @@ def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT doc_id, sha256(strlen('run') || ':run:' || strlen(f) || ':' || f || ':64:' || sha256(text)) AS key FROM (SELECT doc_id, text, 'docs/' || source || '/' || doc_id || '.txt' AS f FROM documents)""")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.keys(_files(spark, sf_dir), "run", "2024-07-01").select("doc_id", "key")
+
+
+# --- source code: a synthetic corpus, as the driver's tables hold none ------------------------------------
+
+
+@_query(f"""SELECT printf('src/m%04d.ts', i * 20) AS file, {fixture.DEBUGGER_LINE} AS line, 1 AS "column", 'debugger statement' AS message, 'error' AS severity FROM range(100) t(i)""")
+def check_single_file_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.run(spark, fixture.source_files(spark), [fixture.no_debugger()]).violations.select("file", "line", "column", "message", "severity")
+
+
+@_query("""SELECT printf('src/m%04d.ts', i) AS file, CAST(3 + 4 * f AS INTEGER) AS line, '''f' || f || ''' is exported but nothing imports it' AS message FROM range(300) t(i), range(1, 8) u(f)
+UNION ALL SELECT printf('src/m%04d.ts', i), 35, '''C' || i || ''' is exported but nothing imports it' FROM range(300) t(i)""")
+def check_unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.run(spark, fixture.source_files(spark, 300), [builtin.no_unused_exports()]).violations.select("file", "line", "message")
+
+
+@_query("""SELECT string_agg(printf('src/m%04d.ts', i % 12), ' → ' ORDER BY i) AS ring, 1 AS n FROM range(13) t(i)""")
+def check_circular_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixture.run(spark, fixture.source_files(spark, 12), [builtin.no_circular_imports()]).violations
+    return found.groupBy(F.regexp_replace("message", "^circular import: ", "").alias("ring")).agg(F.count("*").cast("int").alias("n"))
+
+
+@_query("""SELECT printf('src/m%04d.ts', i) AS file, CAST(9 AS BIGINT) AS exports, CAST(8 AS BIGINT) AS functions FROM range(100) t(i)""")
+def navigate_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = engine.exploded(engine.parse_nodes(fixture.source_files(spark, 100)), "nodes")
+    inner = navigation.subtree(nodes.filter("kind = 'export_statement'"), nodes)
+    return inner.groupBy("file").agg(F.countDistinct("node_id").alias("exports"), F.count_if(F.col("inner_kind") == "function_declaration").alias("functions"))
+
+
+@_query("""SELECT printf('src/m%04d.ts', i) AS file, b.* FROM range(100) t(i), (VALUES ('f0', 'import', true), ('T', 'import', false)) b(name, binding, own)""")
+def resolve_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = engine.parse_nodes(fixture.source_files(spark, 100))
+    nodes, scopes, decls = (engine.exploded(parsed, p) for p in ("nodes", "scopes", "decls"))
+    names = nodes.filter("kind = 'identifier' AND text IN ('f0', 'T')")
+    found = navigation.bindings(names, nodes, scopes, decls).join(names.select("file", "node_id", F.col("text").alias("name")), ["file", "node_id"])
+    return found.groupBy("file", "name", "binding").agg(F.bool_or(F.col("module").startswith("./m")).alias("own"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.support import materialize
@@ -30,17 +30,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round is written out, so neither the plan nor a lost executor's work grows with the rounds. The
     state is one row per edge at most; nothing of it comes to the driver but a count and a checksum.
     """
-    e = materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
-
-    was = mark(e)
+    def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df written out, with its number of rows and a checksum, which the write itself observes."""
+        seen = Observation()
+        low = F.xxhash64("u", "v").bitwiseAND(F.lit(0x7FFFFFFF))
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(low).alias("sum")))
+        return out, (seen.get["n"], seen.get["sum"])
+
+    e, was = settle(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
         if not was[0]:
             break
-        e = materialize(_star(_star(e, True).filter("u <> v").distinct(), False).filter("u <> v").distinct())
-        now = mark(e)
+        e, now = settle(_star(_star(e, True).filter("u <> v"), False).filter("u <> v").distinct())
         if now == was:
             break
         was = now

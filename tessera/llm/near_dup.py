@@ -10,9 +10,11 @@ Chernoff-type concentration.
 
 Banding: bands of r coordinates. In a bucket every class is compared with the bucket's smallest class
 (linear in the bucket). Buckets that still hold several components afterwards are compared within, block
-against block, on the sketches; pairs of different components whose sketches agree enough are verified
-too. So a bucket is never expanded into all its pairs, and no candidate is dropped: every pair of a bucket
-is verified, already connected, or has a sketch more than six standard deviations under the threshold.
+against block: each class's two best candidates of other components, by their sketches, are verified, which
+connects real groups; then classes of different components are compared inside the group's task, on their
+full sets through an index of shingles, and only links that join components become rows. So a bucket is
+never expanded into rows for its pairs, and no candidate is dropped: every pair of a bucket is verified,
+already connected, or has a sketch more than six standard deviations under the threshold.
 
 Verification recomputes both full sets from the texts: linked iff 100 * |A & B| >= 75 * |A | B|.
 
@@ -32,9 +34,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import components
-from tessera.llm.support import as_bytes, batch_word_hashes, materialize, mix
+from tessera.llm.support import as_bytes, batch_word_hashes, free_name, materialize, mix
 
 
 @dataclass(frozen=True)
@@ -148,9 +151,8 @@ def _texts(docs: DataFrame, pairs: DataFrame, classes: DataFrame, s: Settings) -
     return materialize(keyed.join(wanted, ["least", "class"]).groupBy("class").agg(F.first("text").alias("text")))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Of the pairs (u, v) of classes, those whose full sets are similar enough."""
-    texts = _texts(docs, pairs, classes, s)
     a = texts.select(F.col("class").alias("u"), F.col("text").alias("tu"))
     b = texts.select(F.col("class").alias("v"), F.col("text").alias("tv"))
     joined = pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "tu", "tv")
@@ -179,39 +181,99 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings)
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of classes of one bucket and different components whose sketches agree enough.
+def _crowded(bands: DataFrame) -> DataFrame:
+    """(band, n, leader) of buckets of three classes or more (the star of a smaller one compares all); one of those with the same classes."""
+    low = F.xxhash64("class").bitwiseAND(F.lit(0x7FFFFFFF))
+    each = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("leader"), F.max("class").alias("most"), F.sum(low).alias("sum")).filter("n > 2")
+    return each.groupBy("n", "leader", "most", "sum").agg(F.min("band").alias("band")).select("band", "n", "leader")
 
-    members: (band, class, root, sketch). A bucket's classes are dealt to blocks; each pair of blocks is
-    one group of bounded size.
-    """
-    n = members.groupBy("band").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    dealt = members.join(n, "band").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sides = dealt.select("band", "class", "root", "sketch", "mine", others.alias("other"))
-    grouped = sides.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+
+def _blocks(members: DataFrame, s: Settings) -> DataFrame:
+    """members (band, n, ...) dealt to blocks of their bucket, once for each pair of blocks: keys band, i, j; mine is the own block."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / s.block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sides.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+
+
+def _promising(members: DataFrame, s: Settings, best: int = 2) -> DataFrame:
+    """Of each class of members (band, n, class, root, sketch) its best few pairs with other components of the bucket, by sketches."""
     agree = s.agree
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left, right = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
+        mine = pdf["mine"].to_numpy()
+        left, right = np.flatnonzero(mine == pdf["i"].iat[0]), np.flatnonzero(mine == pdf["j"].iat[0])
         found = []
         if len(left) and len(right):
-            rs = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
-            rr, rc = right["root"].to_numpy(), right["class"].to_numpy()
-            for c, root, sk in zip(left["class"], left["root"], left["sketch"], strict=True):
-                look = (rr != root) & ((rc > c) | (i != j))
-                if look.any():
-                    other = rc[look]
-                    near = (rs[look] == np.frombuffer(sk, np.uint8)).sum(axis=1) >= agree
-                    found += [(min(c, o), max(c, o)) for o in other[near]]
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+            root, key = pdf["root"].to_numpy(), pdf["class"].to_numpy()
+            for k in left:
+                look = right[root[right] != root[k]]
+                same = (sketch[look] == sketch[k]).sum(axis=1)
+                look, same = look[same >= agree], same[same >= agree]
+                for o in look[np.lexsort((key[look], -same))[:best]]:
+                    found.append((min(key[k], key[o]), max(key[k], key[o])))
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return _blocks(members, s).groupBy("band", "i", "j").applyInPandas(run, "u long, v long").distinct()
+
+
+def _joining(members: DataFrame, s: Settings) -> DataFrame:
+    """Links that join components of a bucket; every pair of its components is compared on the full sets, those that sketches rule out aside.
+
+    members: (band, n, class, root, sketch, set). Pairs are compared within the group and never become
+    rows: a pair that a link of the group has already joined needs no other, so a group gives fewer links
+    than it has classes.
+    """
+    agree = s.agree
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same_block = pdf["i"].iat[0] == pdf["j"].iat[0]
+        mine = pdf["mine"].to_numpy()
+        left, right = np.flatnonzero(mine == pdf["i"].iat[0]), np.flatnonzero(mine == pdf["j"].iat[0])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        key, sets = pdf["class"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        sizes = np.array([len(x) for x in sets])
+        _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        # an index of the right side: shingle -> classes
+        index = np.concatenate([sets[k] for k in right])
+        owner = np.repeat(np.arange(len(right)), sizes[right])
+        order = np.argsort(index, kind="stable")
+        index, owner = index[order], owner[order]
+        found = []
+        for k in left:
+            look = (group[right] != group[k]) & ((right > k) | (not same_block))
+            look &= 100 * np.minimum(sizes[right], sizes[k]) >= s.least * np.maximum(sizes[right], sizes[k])
+            at = np.flatnonzero(look)
+            at = at[(sketch[right[at]] == sketch[k]).sum(axis=1) >= agree] if len(at) else at
+            if not len(at):
+                continue
+            lo, hi = np.searchsorted(index, sets[k], "left"), np.searchsorted(index, sets[k], "right")
+            n = hi - lo
+            places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[places], minlength=len(right))[at]
+            for o in right[at[100 * both >= s.least * (sizes[k] + sizes[right[at]] - both)]]:
+                if group[o] != group[k]:
+                    found.append((min(key[k], key[o]), max(key[k], key[o])))
+                    group[group == group[o]] = group[k]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return grouped.groupBy("band", "i", "j").applyInPandas(run, "u long, v long").distinct()
+    return _blocks(members, s).groupBy("band", "i", "j").applyInPandas(run, "u long, v long").distinct()
+
+
+def _sets(texts: DataFrame, s: Settings) -> DataFrame:
+    """(class, set): the shingle hashes of each class as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(as_bytes(b.column(1)), s.words)], pa.binary())], names=["class", "set"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, set binary")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class, n_class_links (links of its class to others that were verified)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, class, n_class_links (verified links of its class that joined components)."""
     s = settings
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sets = materialize(_prepare(read, s))
@@ -219,16 +281,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands = classes.select("class", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("class").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = materialize(bands.join(leaders, "band").filter("class <> u").select("u", F.col("class").alias("v")).distinct())
-    links = materialize(_verify(stars, read, classes, s))
+    texts = _texts(read, stars, classes, s)  # of every class that shares a bucket, so of all candidates below
+    links = materialize(_verify(stars, texts, s))
     roots = components(links)
     # buckets that the stars left in several components
-    rooted = bands.join(roots.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("root", "class").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
-    members = rooted.join(split, "band").join(classes.select("class", "sketch"), "class")
-    more = materialize(_across(members, s).join(stars, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = materialize(links.unionByName(_verify(more, read, classes, s)))
-        roots = components(links)
+    crowded = materialize(_crowded(bands))
+    inside = materialize(bands.join(crowded, "band").filter("class <> leader").select("band", "n", "class"))
+
+    def apart() -> DataFrame:
+        rooted = inside.join(roots.withColumnRenamed("node", "class"), "class", "left").select("band", "n", "class", F.coalesce("root", "class").alias("root"))
+        split = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+        return rooted.join(split, "band")
+
+    def add(new: DataFrame) -> None:
+        nonlocal links, roots
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
+
+    # first a class looks around in the largest of its buckets, which connects real groups
+    largest = apart().groupBy("class").agg(F.max_by(F.struct("band", "n", "root"), F.struct("n", "band")).alias("x")).select("x.band", "x.n", "class", "x.root")
+    some = materialize(_promising(largest.join(classes.select("class", "sketch"), "class"), s))
+    add(materialize(_verify(some, texts, s)))
+    # then all that is still apart is compared, in all of its buckets
+    members = materialize(apart())
+    if not members.isEmpty():
+        sets_of = _sets(texts.join(members.select("class").distinct(), "class", "left_semi"), s)
+        add(materialize(_joining(members.join(classes.select("class", "sketch"), "class").join(sets_of, "class"), s)))
     degree = links.select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count("*").alias("n_class_links"))
     placed = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -236,3 +315,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = sets.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class", F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """docs, with one row of each group of near copies: that with the group's smallest doc_id, and all wordless rows.
+
+    A null doc_id stays only where its group has no other.
+    """
+    found = near_duplicates(docs, doc_id, text, settings)
+    key = free_name(docs, "near_dup_key_")
+    # rows with this id and class are the group's first; more than one only where rows repeat
+    stay = materialize(found.filter("kept").groupBy("doc_id", "class").agg(F.count("*").alias("n")))
+    ids = stay.select(F.col("doc_id").alias(key), F.col("class").alias(f"{key}c"), F.col("n").alias(f"{key}n"))
+    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField(f"{key}h", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = class_keys(shingle_sets(as_bytes(b.column(at)), settings.words))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=schema.names)
+
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key)) & F.col(f"{key}h").eqNullSafe(F.col(f"{key}c"))
+    kept = docs.mapInArrow(run, schema).join(ids, same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.filter((F.col(f"{key}n") == 1) | F.col(f"{key}c").isNull()).select(*columns)
+    if stay.filter("n > 1 AND class IS NOT NULL").isEmpty():
+        return once
+    least = F.min(F.struct(*columns)).alias("row")
+    again = kept.filter((F.col(f"{key}n") > 1) & F.col(f"{key}c").isNotNull()).groupBy(key, f"{key}c").agg(least)
+    return once.unionByName(again.select("row.*"))

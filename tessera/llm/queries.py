@@ -13,14 +13,16 @@ from tessera.llm.kneser_ney import classify
 from tessera.llm.license_scan import license_digest, scan_licenses
 from tessera.llm.mixing import mix
 from tessera.llm.near_dup import near_duplicates
+from tessera.llm.oracles import ORACLE_SQL
 from tessera.llm.packing import cut, pack
 from tessera.llm.quality_rules import judge
 from tessera.llm.support import read_table
 from tessera.llm.toxicity import held_out, toxicity
 from tessera.llm.url_filter import filter_urls
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def vocabulary() -> str:

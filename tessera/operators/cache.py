@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def field_hash(*fields: Column) -> Column:
@@ -52,11 +53,22 @@ def merged(old: DataFrame, new: DataFrame, whole: bool) -> DataFrame:
     return new if whole else old.join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
-def load(spark, path: str, schema: str) -> DataFrame:
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The stored entries; none if there is no store or it cannot be read."""
     try:
         found = spark.read.schema(schema).parquet(path)
-        found.limit(1).count()
+        found.agg(F.max("key")).collect()
         return found
-    except PySparkException:  # a damaged store is an empty one
+    except (PySparkException, Py4JError):  # a damaged store is an empty one
         return spark.createDataFrame([], schema)
+
+
+def save(entries: DataFrame, store: str) -> None:
+    """Write entries beside the stored ones and then take their place, so that a broken run leaves the old ones."""
+    spark = entries.sparkSession
+    entries.write.mode("overwrite").parquet(f"{store}/next")
+    jvm = spark._jvm
+    here, to = (jvm.org.apache.hadoop.fs.Path(f"{store}/{n}") for n in ("next", "entries"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(to, True)
+    fs.rename(here, to)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import schemas
+from tessera import __version__, schemas
+from tessera.operators import cache
 from tessera.operators import directives as dirs
 from tessera.operators.gates import admitted
 from tessera.operators.patterns import matches
@@ -189,37 +192,100 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def check(spark: SparkSession, files: DataFrame, config: Config, today: str, whole: bool = True, unused: bool = False) -> Outcome:
-    """files (file, language, source, ...) under a configuration.
+_REPORTS = ["rule_ns", "rule_name", "file", "line", "column", "message", "remediation", "severity", "fix"]
 
-    today: the run's date, YYYY-MM-DD; nothing asks the clock. whole: the files are the entire corpus; on a
-    part of it whole-corpus rules do not run, as they would report what they cannot see.
-    """
-    files = files.filter("language IS NOT NULL")
-    active = [r for r in config.rules if config.resolved(r) != "off"]
-    fit = checkpointed(admitted(files, active, content=True))
+
+def file_phase(fit: DataFrame, active: list[Rule], config: Config) -> tuple[DataFrame, DataFrame]:
+    """Violations and facts that the rules find in admitted files, each file on its own."""
+    spark = fit.sparkSession
     found = checkpointed(match_rules(fit, active))
     reports, facts = [], []
     for i, r in enumerate(active):
         got = r.check(found.filter(F.col("rule") == i))
         shape = {"rule_ns": F.lit(r.rule_id.namespace), "rule_name": F.lit(r.rule_id.name)}
         said = {"message": F.coalesce("message", F.lit(r.card.message)), "remediation": F.lit(r.card.remediation), "severity": F.lit(config.resolved(r))}
-        columns = ["rule_ns", "rule_name", "file", "line", "column", "message", "remediation", "severity", "fix"]
         if got.reports is not None:
-            reports.append(got.reports.withColumns(shape | said).select(*columns))
+            reports.append(got.reports.withColumns(shape | said).select(*_REPORTS))
         if got.facts is not None:
             facts.append(got.facts.withColumns(shape).select("rule_ns", "rule_name", "file", "kind", "data", "match_seq"))
-    none_v, none_f = spark.createDataFrame([], schemas.VIOLATIONS), spark.createDataFrame([], schemas.FACTS)
+    none_f = spark.createDataFrame([], schemas.FACTS)
     facts_df = checkpointed(numbered(_union(facts), "match_seq").drop("match_seq")) if facts else none_f
-    listed = files.select("file").distinct()
-    if whole:
-        for r in active:
-            if r.reduce:
-                own = facts_df.filter((F.col("rule_ns") == r.rule_id.namespace) & (F.col("rule_name") == r.rule_id.name))
-                out = r.reduce(Corpus(own, listed))
-                reports.append(out.select(F.lit(r.rule_id.namespace).alias("rule_ns"), F.lit(r.rule_id.name).alias("rule_name"), "file", "line", "column", F.coalesce("message", F.lit(r.card.message)).alias("message"), F.lit(r.card.remediation).alias("remediation"), F.lit(config.resolved(r)).alias("severity"), F.lit(None).cast(schemas.FIX).alias("fix")))
+    return _union([spark.createDataFrame([], schemas.VIOLATIONS), *reports]), facts_df
+
+
+def corpus_phase(facts: DataFrame, listed: DataFrame, active: list[Rule], config: Config) -> list[DataFrame]:
+    """Violations of whole-corpus rules: each sees its own facts and the list of files."""
+    out = []
+    for r in active:
+        if r.reduce:
+            own = facts.filter((F.col("rule_ns") == r.rule_id.namespace) & (F.col("rule_name") == r.rule_id.name))
+            said = r.reduce(Corpus(own, listed))
+            out.append(said.select(F.lit(r.rule_id.namespace).alias("rule_ns"), F.lit(r.rule_id.name).alias("rule_name"), "file", "line", "column", F.coalesce("message", F.lit(r.card.message)).alias("message"), F.lit(r.card.remediation).alias("remediation"), F.lit(config.resolved(r)).alias("severity"), F.lit(None).cast(schemas.FIX).alias("fix")))
+    return out
+
+
+def _finish(found: DataFrame, facts: DataFrame, fit: DataFrame, listed: DataFrame, active: list[Rule], config: Config, today: str, whole: bool, unused: bool) -> Outcome:
+    more = corpus_phase(facts, listed, active, config) if whole else []
     # directives count in files that some rule looked at
     valid, malformed = dirs.scan(fit, config.directive_prefix)
     valid, malformed = checkpointed(valid), checkpointed(malformed)
-    all_v = checkpointed(_union([none_v, *reports]))
-    return Outcome(dirs.apply(all_v, valid, malformed, today, config.directive_prefix, unused), facts_df, valid, listed, fit.select("file"))
+    all_v = checkpointed(_union([found, *more]))
+    return Outcome(dirs.apply(all_v, valid, malformed, today, config.directive_prefix, unused), facts, valid, listed, fit.select("file"))
+
+
+def check(spark: SparkSession, files: DataFrame, config: Config, today: str, whole: bool = True, unused: bool = False) -> Outcome:
+    """files (file, language, source, ...) under a configuration.
+
+    today: the run's date, YYYY-MM-DD; nothing asks the clock. whole: the files are the entire corpus; on a
+    part of it whole-corpus rules do not run, as they would report what they cannot see.
+    """
+    files = files.filter("language IS NOT NULL")
+    active = [r for r in config.rules if config.resolved(r) != "off"]
+    fit = checkpointed(admitted(files, active, content=True))
+    found, facts = file_phase(fit, active, config)
+    return _finish(found, facts, fit, files.select("file").distinct(), active, config, today, whole, unused)
+
+
+# --- incremental runs ------------------------------------------------------------------------------------
+
+_STRUCT = "array<struct<rule_ns:string,rule_name:string,file:string,line:int,column:int,message:string,remediation:string,severity:string,fix:" + schemas.FIX + ">>"
+STORE = f"key string, violations {_STRUCT}, facts array<struct<rule_ns:string,rule_name:string,file:string,kind:string,data:string,sequence:int>>"
+
+
+def run_key(config: Config) -> str:
+    """A digest of all that a file's result depends on besides the file: rules with their code, severities, versions."""
+    def code(f) -> str:
+        cells = [repr(c.cell_contents) for c in (getattr(f, "__closure__", None) or ()) if not callable(c.cell_contents)]
+        try:
+            return inspect.getsource(f) + "".join(cells)
+        except (OSError, TypeError):
+            return repr(f.__code__.co_code) + "".join(cells)
+
+    rules = [[r.id, r.query, list(r.languages), vars(r.gates), vars(r.card), config.resolved(r), code(r.check)] for r in config.rules]
+    return cache.config_hash(config.include, config.exclude, config.severity, {"engine": __version__, "python": sys.version}, rules)
+
+
+def check_incremental(spark: SparkSession, files: DataFrame, config: Config, today: str, store: str, whole: bool = True, unused: bool = False) -> Outcome:
+    """check(), with per-file results kept in a Parquet store: files whose key is known are neither parsed nor matched.
+
+    A whole run leaves the entries of its own files alone; a partial one adds to what was there. An
+    unreadable store counts as empty. Results equal check()'s.
+    """
+    files = files.filter("language IS NOT NULL")
+    active = [r for r in config.rules if config.resolved(r) != "off"]
+    fit = checkpointed(cache.keys(admitted(files, active, content=True), run_key(config), today))
+    old = checkpointed(cache.load(spark, f"{store}/entries", STORE))
+    hits, misses = cache.split_hits(fit, old, spark.createDataFrame([], "key string"))
+    misses = checkpointed(misses)
+    found, facts = file_phase(misses, active, config)
+    found = checkpointed(found)
+    # one row per file: what a file emits is bounded by the file
+    entry = misses.select("file", F.when(F.contains("source", F.lit("expires:")), F.col("dated_key")).otherwise(F.col("key")).alias("key"))
+    v = found.groupBy("file").agg(F.collect_list(F.struct(*_REPORTS)).alias("violations"))
+    f = facts.groupBy("file").agg(F.collect_list(F.struct("rule_ns", "rule_name", "file", "kind", "data", "sequence")).alias("facts"))
+    new = entry.join(v, "file", "left").join(f, "file", "left").select("key", F.coalesce("violations", F.array().cast(_STRUCT)).alias("violations"), F.coalesce("facts", F.array()).alias("facts"))
+    known = checkpointed(old.join(hits.select(F.col("hit_key").alias("key")).distinct(), "key", "left_semi"))
+    cache.save(cache.merged(old, known.unionByName(new), whole), store)
+    found = found.unionByName(known.select(F.explode("violations").alias("x")).select("x.*"))
+    facts = checkpointed(facts.unionByName(known.select(F.explode("facts").alias("x")).select("x.*")))
+    return _finish(found, facts, fit, files.select("file").distinct(), active, config, today, whole, unused)

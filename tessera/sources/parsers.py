@@ -17,7 +17,7 @@ from tessera.sources.tree import Node, rows
 KINDS = {
     "js": frozenset("program import_statement import_clause named_imports import_specifier namespace_import identifier string export_statement export_clause export_specifier function_declaration class_declaration type_identifier lexical_declaration variable_declarator call_expression arguments member_expression property_identifier debugger_statement".split()),
     "go": frozenset("source_file package_clause import_declaration import_spec interpreted_string_literal package_identifier function_declaration method_declaration identifier type_declaration type_spec type_identifier struct_type field_declaration_list field_declaration field_identifier qualified_type pointer_type".split()),
-    "rust": frozenset("source_file use_declaration use_wildcard scoped_identifier attribute_item function_item mod_item identifier declaration_list block call_expression field_expression field_identifier arguments".split()),
+    "rust": frozenset("source_file use_declaration use_wildcard scoped_use_list scoped_identifier attribute_item function_item mod_item identifier declaration_list block call_expression field_expression field_identifier arguments".split()),
     "python": frozenset("module function_definition class_definition lambda block except_clause as_pattern identifier tuple list dictionary set call attribute argument_list keyword_argument string integer default_parameter typed_default_parameter parameters import_statement import_from_statement expression".split()),
 }
 FAMILY = {"typescript": "js", "tsx": "js", "javascript": "js", "go": "go", "rust": "rust", "python": "python"}
@@ -357,6 +357,9 @@ def _rust_items(tokens: list[Token], match: list[int], i: int, stop: int, parent
             n = Node("use_declaration", tokens[first].start, tokens[end].end)
             if end - 1 > i and tokens[end - 1].text == b"*":
                 n.add(Node("use_wildcard", nxt.start, tokens[end - 1].end, "argument"))
+            elif end - 1 > i:
+                kind = "scoped_use_list" if tokens[end - 1].text == b"}" else "scoped_identifier" if end - i > 2 else "identifier"
+                n.add(Node(kind, nxt.start, tokens[end - 1].end, "argument"))
             parent.add(n)
             i = end + 1
         elif t.text in (b"fn", b"mod") and t.kind == "name" and nxt is not None and nxt.kind == "name":
@@ -383,6 +386,21 @@ def _rust_items(tokens: list[Token], match: list[int], i: int, stop: int, parent
             parent.add(Node("call_expression", tokens[start].start, tokens[end].end).add(target, Node("arguments", tokens[i + 2].start, tokens[end].end, "arguments")))
             _rust_items(tokens, match, i + 3, end, parent.children[-1].children[1], out)
             i = end + 1
+        elif t.kind == "name" and nxt is not None and nxt.text == b"::" and i + 2 < stop and tokens[i + 2].kind == "name":
+            k = i + 2
+            while k + 2 < stop and tokens[k + 1].text == b"::" and tokens[k + 2].kind == "name":
+                k += 2
+            # only the outermost path is a node with a path of its own
+            path = Node("scoped_identifier", t.start, tokens[k].end).add(Node("scoped_identifier" if k > i + 2 else "identifier", t.start, tokens[k - 2].end, "path"), _leaf("identifier", tokens[k], "name"))
+            if k + 1 < stop and tokens[k + 1].text == b"(":
+                path.field = "function"
+                inner = Node("arguments", tokens[k + 1].start, tokens[match[k + 1]].end, "arguments")
+                parent.add(Node("call_expression", t.start, inner.end).add(path, inner))
+                _rust_items(tokens, match, k + 2, match[k + 1], inner, out)
+                k = match[k + 1]
+            else:
+                parent.add(path)
+            i = k + 1
         elif t.text == b"{":
             _rust_items(tokens, match, i + 1, match[i], parent, out)
             i = match[i] + 1
@@ -546,6 +564,13 @@ class _Python(ast.NodeVisitor):
 
     visit_ListComp = visit_SetComp = visit_DictComp = visit_GeneratorExp = comprehension
 
+    def visit_Attribute(self, n: ast.Attribute) -> None:
+        node = self.put(n, "attribute")
+        self.within(node, [n.value])
+        if node.children:
+            node.children[-1].field = "object"
+        node.add(Node("identifier", node.end - len(n.attr.encode()), node.end, "attribute"))
+
     def visit_Call(self, n: ast.Call) -> None:
         node = self.put(n, "call")
         self.within(node, [n.func])

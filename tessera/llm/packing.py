@@ -39,8 +39,8 @@ class Settings:
     #: Lengths over this are grouped; the others are best-fit.
     small: int = 128
     groups: int = 1024
-    #: Words whose ids a worker remembers.
-    cache: int = 400_000
+    #: Words, and runs of them, whose ids a worker remembers.
+    cache: int = 150_000
     #: Pieces of one length that one task ranks at a time (about).
     bucket: int = 100_000
 
@@ -75,6 +75,7 @@ class WordTokenizer:
         bytes_only = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *bytes_only]}}
         self.runs = Tokenizer.from_str(json.dumps(spec))
+        self.runs.model._resize_cache(0)  # every run is new to it
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.MARK)]] = True
@@ -82,27 +83,33 @@ class WordTokenizer:
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of new words."""
-        parts, odd, new = {}, [], {}
+        known, parts, odd, new = self.known, [], [], {}
         for w in words:
-            t = w.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(t) and not ("<" in t and any(x in t for x in self.special)):
-                parts[w] = found = [t.lower()] if t.isalpha() else _RUNS.findall(t.lower())
-                for r in found:
-                    if r not in self.known:
-                        new[r] = None
+            if w.isalpha():  # ASCII letters
+                found = (w.lower(),)
+            elif w[:-1].isalpha() and w[-1:] in b".,":
+                found = (w[:-1].lower(), w[-1:])
             else:
-                odd.append((w, t))
+                t = w.decode("utf-8", "replace")
+                if not _PLAIN.fullmatch(t) or "<" in t and any(x in t for x in self.special):
+                    odd.append((w, t))
+                    continue
+                found = [r.encode() for r in ([t.lower()] if t.isalpha() else _RUNS.findall(t.lower()))]
+            parts.append((w, found))
+            for r in found:
+                if r not in known:
+                    new[r] = None
         if new:
-            ids = np.array(self.runs.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.runs.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(new):
                 raise ValueError("the tokenizer does not mark the end of every run")
             data, at = ids.tobytes(), 0
             for r, e in zip(new, (ends * 4).tolist(), strict=True):
-                self.known[r] = data[at:e]
+                known[r] = data[at:e]
                 at = e
-        for w, found in parts.items():
-            self.words[w] = b"".join([self.known[r] for r in found])
+        for w, found in parts:
+            self.words[w] = known[found[0]] if len(found) == 1 else b"".join([known[r] for r in found])
         if odd:
             for (w, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
@@ -114,11 +121,15 @@ class WordTokenizer:
             if len(self.words) > self.limit or len(self.known) > self.limit:
                 self.words.clear()
                 self.known.clear()
-            new = set().union(*split).difference(self.words)
-            if new:
-                self._learn(list(new))
-            for words in split:
-                yield b"".join(map(self.words.__getitem__, words))
+            get = self.words.get
+            found = [list(map(get, words)) for words in split]
+            lacking = [k for k, got in enumerate(found) if None in got]
+            if lacking:
+                self._learn(list({w for k in lacking for w, got in zip(split[k], found[k], strict=True) if got is None}))
+                for k in lacking:
+                    found[k] = map(self.words.__getitem__, split[k])
+            for got in found:
+                yield b"".join(got)
 
 
 _tokenizers: dict[tuple[str, int], WordTokenizer] = {}

@@ -7,7 +7,9 @@ log-odds; denied and quoted matches add less.
 The insult lexicon is learned: from a bounded sample of labelled training rows (Settings.toxic and
 Settings.clean rows at most, those with the smallest hashes of their ids) come words and word beginnings
 that toxic rows hold significantly more often than clean ones, in several different contexts, so copies of one text
-prove nothing. Each has its own weight, its smoothed log-odds. A fixed list of common insults serves where
+prove nothing; of those that begin alike the most telling one is taken. Each has the rate at which clean
+text holds it by chance: a match weighs log(1 + hits / expected), with what its document's length lets
+expect, so long clean texts do not add up to toxic ones. A fixed list of common insults serves where
 labels say nothing.
 
 Defined results: a null or empty text scores the base rate, under the threshold; a null doc_id counts as
@@ -20,10 +22,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +61,12 @@ class Settings:
     contexts: int = 4
     evidence: float = 24.0
     #: Most of the toxic rows' share that its share of clean rows may reach.
-    clean_share: float = 0.1
+    clean_share: float = 0.5
     threshold: float = 0.3
-    weights: dict[str, float] = field(default_factory=lambda: {"insult": 1.0, "denied": 0.25, "quoted": 0.4, "target": 0.5, "threat": 2.0})
+    #: Matches that a toxic document is expected to have at least, and the least expected of a clean one.
+    hits: float = 3.0
+    chance: float = 0.06
+    weights: dict[str, float] = field(default_factory=lambda: {"insult": 1.0, "denied": 0.25, "quoted": 0.4, "target": 0.5, "threat": 1.5})
 
 
 def held_out(doc_id) -> F.Column:
@@ -75,31 +81,54 @@ def _words(text: bytes | None) -> list[str]:
     return re.findall(r"[^\W\d_]+", text.decode("utf-8", "replace").lower()) if text else []
 
 
-def _mine(texts: list[list[str]], s: Settings, least: int) -> list[tuple[str, int, int]]:
-    """(feature, rows, distinct contexts) of words (ending in $) and beginnings in at least `least` rows, grown letter by letter."""
-    rows, contexts = defaultdict(set), defaultdict(set)
-    for d, words in enumerate(texts):
-        for i, w in enumerate(words):
-            if len(w) >= s.shortest:
-                rows[w].add(d)
-                contexts[w].add(hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")))
-    out = []
-    for w, r in rows.items():
-        if len(r) >= least:
-            out.append((f"{w}$", len(r), len(contexts[w])))
-    alive, n = list(rows), s.shortest
-    while alive and n <= s.longest:
-        groups = defaultdict(list)
-        for w in alive:
-            groups[w[:n]].append(w)
-        alive = []
-        for p, members in groups.items():
-            r = set().union(*(rows[w] for w in members))
-            if len(r) >= least:
-                out.append((p, len(r), len(set().union(*(contexts[w] for w in members)))))
-                alive += [w for w in members if len(w) > n]
+def _mine(texts: Iterator[list[str]], s: Settings, least: int) -> tuple[int, list[tuple[str, int, int]]]:
+    """Number of texts, and (feature, rows, distinct contexts) of words (ending in $) and beginnings in at least `least` of them.
+
+    Beginnings grow letter by letter: one can only be frequent if it is a frequent one and a letter more.
+    Occurrences are kept as numbers; a context is the word before and the one after.
+    """
+    number: dict[str, int] = {"": 0}
+    word, row, before, after = ([] for _ in range(4))
+    n = 0
+    for words in texts:
+        at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        word.append(at)
+        row.append(np.full(len(at), n, np.int32))
+        before.append(np.concatenate([[0], at[:-1]]).astype(np.int64)[: len(at)])
+        after.append(np.concatenate([at[1:], [0]]).astype(np.int64)[: len(at)])
         n += 1
-    return out
+    if not n:
+        return 0, []
+    word, row = np.concatenate(word), np.concatenate(row)
+    context = np.unique(np.concatenate(before) * len(number) + np.concatenate(after), return_inverse=True)[1].astype(np.int64)
+    del before, after
+    names = list(number)
+
+    def tally(kind: np.ndarray, kinds: int, of: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows and contexts of each kind, given the kind of each word and the occurrences to look at."""
+        k = kind[word[each]].astype(np.int64)
+        counts = (np.bincount(np.unique(k * (int(x.max()) + 1) + x[each]) // (int(x.max()) + 1), minlength=kinds) for x in (row.astype(np.int64), of))
+        return next(counts), next(counts)
+
+    out = []
+    alive = np.array([len(w) >= s.shortest for w in names])
+    each = np.flatnonzero(alive[word])
+    if len(each):
+        rows, contexts = tally(np.arange(len(names)), len(names), context, each)
+        out += [(f"{names[k]}$", int(rows[k]), int(contexts[k])) for k in np.flatnonzero(rows >= least)]
+    for size in range(s.shortest, s.longest + 1):
+        ids: dict[str, int] = {}
+        kind = np.full(len(names), -1, np.int32)
+        for k in np.flatnonzero(alive):
+            kind[k] = ids.setdefault(names[k][:size], len(ids))
+        each = each[kind[word[each]] >= 0]
+        if not len(each):
+            break
+        rows, contexts = tally(kind, len(ids), context, each)
+        out += [(f, int(rows[k]), int(contexts[k])) for f, k in ids.items() if rows[k] >= least]
+        alive = np.array([a and len(w) > size and rows[k] >= least for a, w, k in zip(alive, names, kind, strict=True)])
+        each = each[alive[word[each]]]
+    return n, out
 
 
 def _ratio(a: float, n1: float, b: float, n0: float) -> float:
@@ -113,30 +142,39 @@ def _ratio(a: float, n1: float, b: float, n0: float) -> float:
     return g
 
 
-def _select(toxic: list[tuple[str, int, int]], clean: dict[str, int], n1: int, n0: int, s: Settings) -> dict[str, float]:
-    found = {}
+def _select(toxic: list[tuple[str, int, int]], clean: dict[str, tuple[int, int]], n1: int, n0: int, words: int, s: Settings) -> dict[str, float]:
+    """feature -> its rate per clean word. The strongest first, the longest of equals; one that begins like a chosen one, or the other way round, adds nothing."""
+    found = []
     for f, rows, contexts in toxic:
-        a, b = min(rows, contexts), clean.get(f, 0)
-        if contexts >= s.contexts and b / max(1, n0) <= s.clean_share * a / max(1, n1) and _ratio(a, n1, b, n0) >= s.evidence:
-            found[f] = (a, b, rows)
-    # the longest beginning of those in as many rows stands for the rest; one that a shorter chosen one covers adds nothing
+        a, b = min(rows, contexts), clean.get(f, (0, 0))[0]
+        if contexts >= s.contexts and b / max(1, n0) <= s.clean_share * a / max(1, n1):
+            g = _ratio(a, n1, b, n0)
+            if g >= s.evidence:
+                found.append((-g, -len(f), f))
     kept: dict[str, float] = {}
-    closed = [f for f in found if f.endswith("$") or not any(g != f and g.startswith(f) and found[g][2] == found[f][2] for g in found)]
-    for f in sorted(closed, key=lambda f: (len(f), f)):
-        if not any(f.startswith(k) for k in kept):
-            a, b, _ = found[f]
-            kept[f] = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    return kept
+    for _, _, f in sorted(found):
+        bare = f.rstrip("$")
+        if not any(bare.startswith(k.rstrip("$")) or k.startswith(bare) for k in kept):
+            kept[f] = clean.get(f, (0, 0))[1]
+    # a chosen feature stands for its kin: what begins alike meets clean text by chance together
+    kin: Counter = Counter()
+    for f, n in kept.items():
+        kin[f[: s.shortest]] += n
+    return {f: (kin[f[: s.shortest]] + 0.2) / max(1, words) for f in kept}
+
+
+#: Rate of the fixed insults in clean text.
+_RARE = 1e-6
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", settings: Settings = Settings()) -> tuple[dict[str, float], float]:
-    """Weights of insult features (word$ or beginning) and the base log-odds, from training rows only."""
+    """Insult features (word$ or beginning) with their rates per clean word, and the base log-odds, from training rows only."""
     s = settings
     c = lambda n: F.col(f"`{n}`")
     known = labels.select(c(doc_id).cast("long").alias("id"), c(toxic).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y")).filter(~held_out(F.col("id")))
     base = known.agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("k")).first()
     if not base["k"] or base["k"] == base["n"]:
-        return {f"{w}$": 4.0 for w in INSULTS}, math.log(0.1)
+        return {f"{w}$": _RARE for w in INSULTS}, math.log(0.1)
     h = F.xxhash64("id")
     ids = {y: known.filter(F.col("y") == y).orderBy(h, "id").limit(n).select("id") for y, n in ((1, s.toxic), (0, s.clean))}
     read = docs.select(c(doc_id).cast("long").alias("id"), c(text).alias("text"))
@@ -145,8 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     least = s.contexts
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [_words(t) for b in batches for t in as_bytes(b.column(1))]
-        got = [("", len(texts), 0), *_mine(texts, s, least)]
+        n, features = _mine((_words(t) for b in batches for t in as_bytes(b.column(1))), s, least)
+        got = [("", n, 0), *features]
         f, r, k = zip(*got, strict=True)
         yield pa.RecordBatch.from_pydict({"f": list(f), "r": pa.array(r, pa.int64()), "k": pa.array(k, pa.int64())})
 
@@ -157,21 +195,28 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     wanted = frozenset(r[0] for r in ready)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = defaultdict(int)
+        docs_, times = Counter(), Counter()
         for b in batches:
             for t in as_bytes(b.column(1)):
-                seen[""] += 1
-                words = set(_words(t))
-                hit = {f"{w}$" for w in words} | {w[:k] for w in words for k in range(s.shortest, min(len(w), s.longest) + 1)}
-                for f in hit & wanted:
-                    seen[f] += 1
-        if seen:
-            yield pa.RecordBatch.from_pydict({"f": list(seen), "r": pa.array(seen.values(), pa.int64())})
-
-    clean = {r["f"]: r["r"] for r in read.join(F.broadcast(ids[0]), "id").mapInArrow(count, "f string, r long").groupBy("f").agg(F.sum("r").alias("r")).collect()}
-    lexicon = _select(ready, clean, n1, clean.get("", 0), s)
+                words = Counter(_words(t))
+                docs_[""] += 1
+                times[""] += sum(words.values())
+                hit: Counter = Counter()
+                for w, n in words.items():
+                    for f in (f"{w}$", *(w[:k] for k in range(s.shortest, min(len(w), s.longest) + 1))):
+                        if f in wanted:
+                            hit[f] += n
+                docs_.update(hit.keys())
+                times.update(hit)
+        if docs_:
+            yield pa.RecordBatch.from_pydict({"f": list(docs_), "r": pa.array(docs_.values(), pa.int64()), "k": pa.array([times[f] for f in docs_], pa.int64())})
+
+    counted = read.join(F.broadcast(ids[0]), "id").mapInArrow(count, "f string, r long, k long").groupBy("f").agg(F.sum("r").alias("r"), F.sum("k").alias("k")).collect()
+    clean = {r["f"]: (r["r"], r["k"]) for r in counted}
+    n0, words = clean.pop("", (0, 0))
+    lexicon = _select(ready, clean, n1, n0, words, s)
     if not lexicon:
-        lexicon = {f"{w}$": 4.0 for w in INSULTS}
+        lexicon = {f"{w}$": _RARE for w in INSULTS}
     return lexicon, math.log(base["k"] / (base["n"] - base["k"]))
 
 
@@ -180,16 +225,18 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 class Scorer:
     def __init__(self, lexicon: dict[str, float], base: float, settings: Settings):
-        self.words = {f[:-1]: w for f, w in lexicon.items() if f.endswith("$")}
-        self.starts = {f: w for f, w in lexicon.items() if not f.endswith("$")}
+        self.words = {f[:-1]: r for f, r in lexicon.items() if f.endswith("$")}
+        self.starts = {f: r for f, r in lexicon.items() if not f.endswith("$")}
         self.lengths = sorted({len(f) for f in self.starts})
-        self.base, self.w = base, settings.weights
+        self.base, self.s = base, settings
         self.transducer = grammar(settings.weights)
+        self.plain = math.log1p(settings.hits / settings.chance)
 
-    def weight(self, word: str) -> float:
-        found = [self.words[word]] if word in self.words else []
-        found += [self.starts[word[:n]] for n in self.lengths if word[:n] in self.starts]
-        return max(found, default=0.0)
+    def weight(self, word: str, length: int) -> float:
+        """What a match of this word weighs in a text of so many words; 0 for words out of the lexicon."""
+        rates = [self.words[word]] if word in self.words else []
+        rates += [self.starts[word[:n]] for n in self.lengths if word[:n] in self.starts]
+        return math.log1p(self.s.hits / max(self.s.chance, min(rates) * length)) if rates else 0.0
 
     def tag(self, word: str, weight: float) -> str:
         if weight:
@@ -199,21 +246,20 @@ class Scorer:
                 return tag
         return "word"
 
-    def clauses(self, text: str) -> float:
+    def clauses(self, text: str, length: int) -> float:
         """Sum of the matched clauses' weights."""
         total, tags, weights, memo = 0.0, [], [], {}
         for token in [*_TOKEN.findall(text), "."]:
             if token in _ENDS:
                 if tags and (any(weights) or "threat" in tags):
-                    _, w = self.transducer.run(tags)
-                    total += w * max([1.0, *weights]) if any(weights) else w
+                    total += self.transducer.run(tags)[1] * (max(weights) or self.plain)
                 tags, weights = [], []
             elif token in _QUOTES:
                 tags.append("report")
                 weights.append(0.0)
             else:
                 if token not in memo:
-                    x = self.weight(token)
+                    x = self.weight(token, length)
                     memo[token] = (self.tag(token, x), x)
                 t, x = memo[token]
                 tags.append(t)
@@ -221,9 +267,13 @@ class Scorer:
         return total
 
     def score(self, text: bytes | None) -> float:
-        words = set(_words(text))
+        every = _words(text)
+        words = set(every)
         hit = not self.words.keys().isdisjoint(words) or not THREATS.isdisjoint(words) or any(not self.starts.keys().isdisjoint({w[:n] for w in words}) for n in self.lengths)
-        z = self.base + (self.clauses(text.decode("utf-8", "replace").lower()) if hit else 0.0)
+        total = self.clauses(text.decode("utf-8", "replace").lower(), len(every)) if hit else 0.0
+        # log-odds of the matches against those of a toxic document that has no match: nothing matched changes nothing
+        m = self.s.hits
+        z = self.base + math.log1p(math.exp(min(total, 60.0) - m)) - math.log1p(math.exp(-m))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

@@ -104,11 +104,13 @@ def test_grammar_reads_clauses():
 
 def test_scores():
     s = Settings()
-    scorer = Scorer({"idiot$": 4.0, "vequ": 3.0}, math.log(0.1), s)
+    scorer = Scorer({"idiot$": 1e-6, "vequ": 1e-5}, math.log(0.1), s)
     p = lambda t: scorer.score(t.encode() if t is not None else None)
     assert p("You idiot.") > p("An idiot") > p("They said idiot") > p("not an idiot") > p("a lovely day") == p("") == p(None)
-    assert p("VEQUTA là") > 0.3 > p("not an idiot") and p("idiotic") == p("")
+    assert p("VEQUTA là, idiot") > 0.3 > p("not an idiot") and p("idiotic") == p("")
     assert p("I will kill you") > 0.3 > p("kill the process")
+    often = Scorer({"idiot$": 1e-3}, math.log(0.1), s)
+    assert often.score(b"you idiot") > 0.3 > often.score(b"you idiot " + b"word " * 2000)
 
 
 def make_rows():

@@ -2,9 +2,10 @@
 
 Directions are grouped into lists around centroids of a bounded sample; every vector is in one list. A
 query probes the lists whose centroids suit it best; how many is measured on the sample, so that brute
-force agrees for at least Settings.recall of the neighbours. Within a list, vectors lie rotated in column
+force agrees for at least Settings.recall of the neighbours. The sample also gives each query a bar, its
+k-th best there, which its nearest must reach. Within a list, vectors lie rotated in column
 blocks. After each block the partial squared distance, scaled to all dimensions, is tested against the
-distance that the k-th best inner product so far allows; a candidate whose test rejects at Settings.epsilon
+distance that the bar allows; a candidate whose test rejects at Settings.epsilon
 is abandoned. Survivors get their inner product on the original vectors in double precision.
 
 A list's vectors and its queries are dealt to chunks and every pair of chunks is one group, so a list that
@@ -111,8 +112,23 @@ def fit(x: np.ndarray, rows: int, s: Settings) -> Index:
     return index
 
 
-def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, s: Settings, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best among the vectors, by the adaptive dimension scan."""
+def bars(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that at least k rows of the table reach: the k-th best of the sample, whose ids are distinct; -inf if it is too small."""
+    out = np.full(len(queries), -np.inf)
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)] if len(ids) else np.zeros(len(own), int)
+    for a in range(0, len(queries) if len(ids) > k else 0, 256):
+        score = queries[a : a + 256] @ sample.T
+        mine = at[a : a + 256]
+        same = np.flatnonzero(ids[mine] == own[a : a + 256])
+        score[same, mine[same]] = -np.inf
+        best = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+        out[a : a + 256] = best - 1e-9 * (1 + np.abs(best))  # sums in another order may differ in the last bits
+    return out
+
+
+def scan(queries: np.ndarray, own: np.ndarray, bar: np.ndarray, vectors: np.ndarray, ids: np.ndarray, s: Settings, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of each query's k best among the vectors that reach its bar, by the adaptive dimension scan."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     vectors, ids = vectors[order], ids[order]
     new = np.ones(len(ids), bool)
@@ -124,49 +140,40 @@ def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
     xr, qr = (x @ turn), (queries @ turn)
     cuts = list(range(0, d, s.block)) + [d]
     x2, q2 = (x * x).sum(axis=1), (queries * queries).sum(axis=1)
+    head = (xr[:, : cuts[1]] ** 2).sum(axis=1)
     out_q, out_id, out_s = [], [], []
-    # a first part of the vectors is scored whole, to have a k-th best
-    first = min(len(x), max(4 * (k + 1), 256))
     for a in range(0, len(queries), 256):
-        q, qq, qn = queries[a : a + 256], qr[a : a + 256], q2[a : a + 256]
-        head = q @ x[:first].T
-        pairs_q, pairs_x = [np.repeat(np.arange(len(q)), first)], [np.tile(np.arange(first), len(q))]
-        if first < len(x):
-            # one row of the k + 1 may be the query itself
-            bar = np.partition(head, first - (k + 1), axis=1)[:, first - (k + 1)] if first > k else np.full(len(q), -np.inf)
-            lo, hi = cuts[0], cuts[1]
-            part = (qq[:, lo:hi] ** 2).sum(axis=1)[:, None] + (xr[first:, lo:hi] ** 2).sum(axis=1)[None, :] - 2 * qq[:, lo:hi] @ xr[first:, lo:hi].T
-            reach = qn[:, None] + x2[None, first:] - 2 * bar[:, None]
-            keep = part * (d / hi) <= (1 + s.epsilon / hi**0.5) ** 2 * np.maximum(reach, 0) + 1e-9
-            i, j = np.nonzero(keep)
-            p = part[i, j]
-            for lo, hi in zip(cuts[1:], cuts[2:], strict=False):
-                if not len(i):
-                    break
-                step = np.empty(len(i))
-                for b in range(0, len(i), 65536):
-                    step[b : b + 65536] = ((qq[i[b : b + 65536], lo:hi] - xr[first + j[b : b + 65536], lo:hi]) ** 2).sum(axis=1)
-                p = p + step
-                width = (1 + s.epsilon / hi**0.5) ** 2 if hi < d else 1 + 1e-9
-                live = p * (d / hi) <= width * np.maximum(reach[i, j], 0) + 1e-9
-                i, j, p = i[live], j[live], p[live]
-            pairs_q.append(i)
-            pairs_x.append(first + j)
-        pq, px = np.concatenate(pairs_q), np.concatenate(pairs_x)
-        exact = np.empty(len(pq))
-        for b in range(0, len(pq), 65536):
-            exact[b : b + 65536] = (q[pq[b : b + 65536]] * x[px[b : b + 65536]]).sum(axis=1)
-        best = np.lexsort((ids[starts[px]], -exact, pq))
-        pq, px, exact = pq[best], px[best], exact[best]
-        rank = np.arange(len(pq)) - np.searchsorted(pq, pq)
-        # ties: equal scores of different vectors may still be split by id, so all rows tied with the (k + 1)-th stay
+        q, qq = queries[a : a + 256], qr[a : a + 256]
+        # squared distance at which a vector's inner product equals the bar
+        reach = np.maximum(q2[a : a + 256, None] + x2[None, :] - 2 * bar[a : a + 256, None], 0) + 1e-9
+        hi = cuts[1]
+        part = (qq[:, :hi] ** 2).sum(axis=1)[:, None] + head[None, :] - 2 * qq[:, :hi] @ xr[:, :hi].T
+        i, j = np.nonzero(part * (d / hi) <= (1 + s.epsilon / hi**0.5) ** 2 * reach)
+        p, limit = part[i, j], reach[i, j]
+        for lo, hi in zip(cuts[1:], cuts[2:], strict=False):
+            if not len(i):
+                break
+            step = np.empty(len(i))
+            for b in range(0, len(i), 65536):
+                step[b : b + 65536] = ((qq[i[b : b + 65536], lo:hi] - xr[j[b : b + 65536], lo:hi]) ** 2).sum(axis=1)
+            p = p + step
+            width = (1 + s.epsilon / hi**0.5) ** 2 if hi < d else 1 + 1e-9
+            live = p * (d / hi) <= width * limit
+            i, j, p, limit = i[live], j[live], p[live], limit[live]
+        exact = np.empty(len(i))
+        for b in range(0, len(i), 65536):
+            exact[b : b + 65536] = (q[i[b : b + 65536]] * x[j[b : b + 65536]]).sum(axis=1)
+        best = np.lexsort((ids[starts[j]], -exact, i))
+        i, j, exact = i[best], j[best], exact[best]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        # one of the k + 1 may be the query itself; all that tie with the last of them stay
         edge = np.full(len(q), -np.inf)
         at = rank == k
-        edge[pq[at]] = exact[at]
-        for n in np.flatnonzero(exact >= edge[pq]):
-            mine = ids[starts[px[n]] : ends[px[n]]]
-            mine = mine[: k + 1][mine[: k + 1] != own[a + pq[n]]][:k]
-            out_q.append(np.full(len(mine), a + pq[n]))
+        edge[i[at]] = exact[at]
+        for n in np.flatnonzero(exact >= edge[i]):
+            mine = ids[starts[j[n]] : ends[j[n]]]
+            mine = mine[: k + 1][mine[: k + 1] != own[a + i[n]]][:k]
+            out_q.append(np.full(len(mine), a + i[n]))
             out_id.append(mine)
             out_s.append(np.full(len(mine), exact[n]))
     if not out_q:
@@ -197,8 +204,11 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         return empty
     dimension, rows = sizes[0]["d"], sizes[0]["n"]
     ok = ok.filter(F.size("v") == dimension)
-    drawn = ok.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("v").toArrow()
-    index = fit(drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension), rows, s)
+    drawn = ok.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("id", "v").toArrow()
+    drawn_x = drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    index = fit(drawn_x, rows, s)
+    _, once = np.unique(drawn.column("id").to_numpy(), return_index=True)
+    sample = spark.sparkContext.broadcast((drawn.column("id").to_numpy()[once], drawn_x[once]))  # Settings.sample rows at most
     given = spark.sparkContext.broadcast(index.centroids)  # most_lists rows at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,17 +230,19 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                lists = probed(_matrix(b.column(1), dimension), known.value, s.k)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], names=["id", "v", "lists"])
+                q = _matrix(b.column(1), dimension)
+                lists, (ids, x) = probed(q, known.value, s.k), sample.value
+                bar = bars(q, b.column(0).to_numpy(), x, ids, s.k)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], names=["id", "v", "bar", "lists"])
 
-    asked = materialize(placed.filter("query_").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, lists array<int>"))
-    asked = asked.select("id", "v", F.explode("lists").alias("list"))
+    asked = materialize(placed.filter("query_").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, bar double, lists array<int>"))
+    asked = asked.select("id", "v", "bar", F.explode("lists").alias("list"))
     chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias(name))
     cells = materialize(chunks(placed, "vcs").join(chunks(asked, "qcs"), "list"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.select("id", "v", "list").join(cells, "list").select("id", "v", "list", deal("vcs").alias("vc"), every("qcs").alias("qc"))
-    right = asked.join(cells, "list").select("id", "v", "list", every("vcs").alias("vc"), deal("qcs").alias("qc"))
+    right = asked.join(cells, "list").select("id", "v", "bar", "list", every("vcs").alias("vc"), deal("qcs").alias("qc"))
     turn = rotation(dimension, s.seed)
 
     def cell(of: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
@@ -239,7 +251,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         of = of.drop_duplicates(["id", "v"])
         matrix = lambda f: np.frombuffer(b"".join(f["v"]), np.float64).reshape(-1, dimension)
         own = by["id"].to_numpy(np.int64)
-        q, i, score = scan(matrix(by), own, matrix(of), of["id"].to_numpy(np.int64), s, turn)
+        q, i, score = scan(matrix(by), own, by["bar"].to_numpy(), matrix(of), of["id"].to_numpy(np.int64), s, turn)
         return pd.DataFrame({"query_id": own[q], "vec_id": i, "score": score})
 
     keys = ["list", "vc", "qc"]

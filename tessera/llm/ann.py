@@ -112,19 +112,28 @@ def fit(x: np.ndarray, rows: int, s: Settings) -> Index:
     return index
 
 
-def bars(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For each query a score that at least k rows of the table reach: the k-th best of the sample, whose ids are distinct; -inf if it is too small."""
-    out = np.full(len(queries), -np.inf)
+def bars(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+    """For each query a score that at least k rows of the table reach, and the k rows (id, score) of the sample that do; -inf and none if it is too small.
+
+    The sample's ids are distinct.
+    """
+    out, near = np.full(len(queries), -np.inf), [[] for _ in queries]
+    if len(ids) <= k:
+        return out, near
     order = np.argsort(ids)
-    at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)] if len(ids) else np.zeros(len(own), int)
-    for a in range(0, len(queries) if len(ids) > k else 0, 256):
-        score = queries[a : a + 256] @ sample.T
+    at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
+    for a in range(0, len(queries), 256):
+        q = queries[a : a + 256]
+        score = q @ sample.T
         mine = at[a : a + 256]
         same = np.flatnonzero(ids[mine] == own[a : a + 256])
         score[same, mine[same]] = -np.inf
-        best = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-        out[a : a + 256] = best - 1e-9 * (1 + np.abs(best))  # sums in another order may differ in the last bits
-    return out
+        best = np.argpartition(score, len(ids) - k, axis=1)[:, len(ids) - k :]
+        for n, rows in enumerate(best):
+            exact = (q[n] * sample[rows]).sum(axis=1)
+            near[a + n] = list(zip(ids[rows].tolist(), exact.tolist(), strict=True))
+            out[a + n] = exact.min() - 1e-9 * (1 + abs(exact.min()))  # sums in another order may differ in the last bits
+    return out, near
 
 
 def scan(queries: np.ndarray, own: np.ndarray, bar: np.ndarray, vectors: np.ndarray, ids: np.ndarray, s: Settings, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,10 +241,14 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
             if b.num_rows:
                 q = _matrix(b.column(1), dimension)
                 lists, (ids, x) = probed(q, known.value, s.k), sample.value
-                bar = bars(q, b.column(0).to_numpy(), x, ids, s.k)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], names=["id", "v", "bar", "lists"])
-
-    asked = materialize(placed.filter("query_").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, bar double, lists array<int>"))
+                bar, near = bars(q, b.column(0).to_numpy(), x, ids, s.k)
+                pairs = [[{"vec_id": i, "score": v} for i, v in row] for row in near]
+                kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), pa.array(pairs, kind)], names=["id", "v", "bar", "lists", "near"])
+
+    asked = materialize(placed.filter("query_").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, bar double, lists array<int>, near array<struct<vec_id:bigint,score:double>>"))
+    # the sample's best are rows of the table too: with them no query has fewer than k
+    drawn_near = asked.select(F.col("id").alias("query_id"), F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score")
     asked = asked.select("id", "v", "bar", F.explode("lists").alias("list"))
     chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias(name))
     cells = materialize(chunks(placed, "vcs").join(chunks(asked, "qcs"), "list"))
@@ -256,5 +269,6 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
 
     keys = ["list", "vc", "qc"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
+    found = found.unionByName(drawn_near).distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

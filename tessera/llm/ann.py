@@ -2,11 +2,13 @@
 
 Directions are grouped into lists around centroids of a bounded sample; every vector is in one list. A
 query probes the lists whose centroids suit it best; how many is measured on the sample, so that brute
-force agrees for at least Settings.recall of the neighbours. The sample also gives each query a bar, its
-k-th best there, which its nearest must reach. Within a list, vectors lie rotated in column
-blocks. After each block the partial squared distance, scaled to all dimensions, is tested against the
-distance that the bar allows; a candidate whose test rejects at Settings.epsilon
-is abandoned. Survivors get their inner product on the original vectors in double precision.
+force agrees for at least Settings.recall of the neighbours. The best lists that together hold more than k
+rows are scanned first; the k-th best there is the query's bar in its other lists. A scan that is given no
+bar takes it from the k best of Settings.first vectors of its list. Within a list, vectors lie rotated in
+column blocks. After each block the partial squared distance, scaled to all dimensions, is tested against
+the distance that the bar allows; a candidate whose test rejects at Settings.epsilon is abandoned.
+Survivors get their inner product on the original vectors in double precision. A query whose lists gave
+fewer than k (rows repeated, or its own) goes on to all other lists.
 
 A list's vectors and its queries are dealt to chunks and every pair of chunks is one group, so a list that
 holds a third of all vectors is scanned by many tasks. Equal vectors of a chunk are scanned once: ties go
@@ -42,6 +44,8 @@ class Settings:
     most_lists: int = 1024
     #: Vectors, and queries, of a list that one task scans at a time.
     chunk: int = 8192
+    #: Vectors of a list that give a bar where there is none yet.
+    first: int = 256
     #: Dimensions of a column block, and the test's width in standard deviations.
     block: int = 16
     epsilon: float = 2.1
@@ -86,12 +90,13 @@ def _probe_order(q: np.ndarray, index: Index) -> np.ndarray:
     return np.argsort(-score, axis=1, kind="stable")
 
 
-def probed(q: np.ndarray, index: Index, k: int) -> list[np.ndarray]:
-    """Lists of each query: the measured number, and more where these hold fewer than k + 1 rows."""
+def probed(q: np.ndarray, index: Index, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Lists of each query, best first: those that hold more than k rows, and the others up to the measured number."""
     order = _probe_order(q, index)
     held = np.cumsum(index.sizes[order], axis=1)
-    need = np.maximum(index.probes, (held <= k).sum(axis=1) + 1)
-    return [o[: min(n, int((index.sizes > 0).sum()))] for o, n in zip(order, need, strict=True)]
+    enough, most = (held <= k).sum(axis=1) + 1, int((index.sizes > 0).sum())
+    cut = [(o[: min(max(index.probes, n), most)], min(n, most)) for o, n in zip(order, enough.tolist(), strict=True)]
+    return [o[:n] for o, n in cut], [o[n:] for o, n in cut]
 
 
 def fit(x: np.ndarray, rows: int, s: Settings) -> Index:
@@ -112,32 +117,13 @@ def fit(x: np.ndarray, rows: int, s: Settings) -> Index:
     return index
 
 
-def bars(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
-    """For each query a score that at least k rows of the table reach, and the k rows (id, score) of the sample that do; -inf and none if it is too small.
-
-    The sample's ids are distinct.
-    """
-    out, near = np.full(len(queries), -np.inf), [[] for _ in queries]
-    if len(ids) <= k:
-        return out, near
-    order = np.argsort(ids)
-    at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
-        score = q @ sample.T
-        mine = at[a : a + 256]
-        same = np.flatnonzero(ids[mine] == own[a : a + 256])
-        score[same, mine[same]] = -np.inf
-        best = np.argpartition(score, len(ids) - k, axis=1)[:, len(ids) - k :]
-        for n, rows in enumerate(best):
-            exact = (q[n] * sample[rows]).sum(axis=1)
-            near[a + n] = list(zip(ids[rows].tolist(), exact.tolist(), strict=True))
-            out[a + n] = exact.min() - 1e-9 * (1 + abs(exact.min()))  # sums in another order may differ in the last bits
-    return out, near
+def lowered(score, size=np.abs):
+    """A bar that rows of this score reach though sums in another order may differ in the last bits."""
+    return score - 1e-9 * (1 + size(score))
 
 
 def scan(queries: np.ndarray, own: np.ndarray, bar: np.ndarray, vectors: np.ndarray, ids: np.ndarray, s: Settings, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best among the vectors that reach its bar, by the adaptive dimension scan."""
+    """(query row, id, score) of each query's k best among the vectors that reach its bar (-inf: none is known yet), by the adaptive dimension scan."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     vectors, ids = vectors[order], ids[order]
     new = np.ones(len(ids), bool)
@@ -150,11 +136,23 @@ def scan(queries: np.ndarray, own: np.ndarray, bar: np.ndarray, vectors: np.ndar
     cuts = list(range(0, d, s.block)) + [d]
     x2, q2 = (x * x).sum(axis=1), (queries * queries).sum(axis=1)
     head = (xr[:, : cuts[1]] ** 2).sum(axis=1)
+    only = np.where(ends - starts == 1, ids[starts], np.iinfo(np.int64).min)  # the id of a vector that one row has
+    first = np.unique(np.linspace(0, len(x) - 1, s.first).astype(np.int64))
     out_q, out_id, out_s = [], [], []
     for a in range(0, len(queries), 256):
-        q, qq = queries[a : a + 256], qr[a : a + 256]
+        q, qq, low = queries[a : a + 256], qr[a : a + 256], bar[a : a + 256].copy()
+        new = np.flatnonzero(low == -np.inf)
+        sure_i = sure_j = np.empty(0, np.int64)
+        if len(new) and len(first) > k:
+            score = q[new] @ x[first].T
+            score[only[first][None, :] == own[a + new][:, None]] = -np.inf
+            top = np.argpartition(score, len(first) - k, axis=1)[:, len(first) - k :]
+            kth = np.take_along_axis(score, top, axis=1)
+            low[new] = np.where(kth.min(axis=1) > -np.inf, lowered(kth.min(axis=1)), -np.inf)
+            known = kth > -np.inf
+            sure_i, sure_j = np.broadcast_to(new[:, None], top.shape)[known], first[top[known]]
         # squared distance at which a vector's inner product equals the bar
-        reach = np.maximum(q2[a : a + 256, None] + x2[None, :] - 2 * bar[a : a + 256, None], 0) + 1e-9
+        reach = np.maximum(q2[a : a + 256, None] + x2[None, :] - 2 * low[:, None], 0) + 1e-9
         hi = cuts[1]
         part = (qq[:, :hi] ** 2).sum(axis=1)[:, None] + head[None, :] - 2 * qq[:, :hi] @ xr[:, :hi].T
         i, j = np.nonzero(part * (d / hi) <= (1 + s.epsilon / hi**0.5) ** 2 * reach)
@@ -169,6 +167,10 @@ def scan(queries: np.ndarray, own: np.ndarray, bar: np.ndarray, vectors: np.ndar
             width = (1 + s.epsilon / hi**0.5) ** 2 if hi < d else 1 + 1e-9
             live = p * (d / hi) <= width * limit
             i, j, p, limit = i[live], j[live], p[live], limit[live]
+        # those that made the bar are never abandoned; a query's own vector is no candidate
+        i, j = np.divmod(np.unique(np.concatenate([i * len(x) + j, sure_i * len(x) + sure_j])), len(x))
+        other = only[j] != own[a + i]
+        i, j = i[other], j[other]
         exact = np.empty(len(i))
         for b in range(0, len(i), 65536):
             exact[b : b + 65536] = (q[i[b : b + 65536]] * x[j[b : b + 65536]]).sum(axis=1)
@@ -216,8 +218,6 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     drawn = ok.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("id", "v").toArrow()
     drawn_x = drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
     index = fit(drawn_x, rows, s)
-    _, once = np.unique(drawn.column("id").to_numpy(), return_index=True)
-    sample = spark.sparkContext.broadcast((drawn.column("id").to_numpy()[once], drawn_x[once]))  # Settings.sample rows at most
     given = spark.sparkContext.broadcast(index.centroids)  # most_lists rows at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,22 +240,11 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         for b in batches:
             if b.num_rows:
                 q = _matrix(b.column(1), dimension)
-                lists, (ids, x) = probed(q, known.value, s.k), sample.value
-                bar, near = bars(q, b.column(0).to_numpy(), x, ids, s.k)
-                pairs = [[{"vec_id": i, "score": v} for i, v in row] for row in near]
-                kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), pa.array(pairs, kind)], names=["id", "v", "bar", "lists", "near"])
-
-    asked = materialize(placed.filter("query_").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, bar double, lists array<int>, near array<struct<vec_id:bigint,score:double>>"))
-    # the sample's best are rows of the table too: with them no query has fewer than k
-    drawn_near = asked.select(F.col("id").alias("query_id"), F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score")
-    asked = asked.select("id", "v", "bar", F.explode("lists").alias("list"))
-    chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias(name))
-    cells = materialize(chunks(placed, "vcs").join(chunks(asked, "qcs"), "list"))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.select("id", "v", "list").join(cells, "list").select("id", "v", "list", deal("vcs").alias("vc"), every("qcs").alias("qc"))
-    right = asked.join(cells, "list").select("id", "v", "bar", "list", every("vcs").alias("vc"), deal("qcs").alias("qc"))
+                near, far = probed(q, known.value, s.k)
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in near], kind), pa.array([x.astype(np.int32) for x in far], kind)], names=["id", "v", "near", "far"])
+
+    asked = materialize(placed.filter("query_").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "id long, v binary, near array<int>, far array<int>"))
     turn = rotation(dimension, s.seed)
 
     def cell(of: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
@@ -267,8 +256,28 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         q, i, score = scan(matrix(by), own, by["bar"].to_numpy(), matrix(of), of["id"].to_numpy(np.int64), s, turn)
         return pd.DataFrame({"query_id": own[q], "vec_id": i, "score": score})
 
-    keys = ["list", "vc", "qc"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
-    found = found.unionByName(drawn_near).distinct()
+    def hits(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id, score: the k best of each list that is asked (id, v, bar, list)."""
+        chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / s.chunk).cast("int").alias(name))
+        cells = materialize(chunks(placed, "vcs").join(chunks(asked, "qcs"), "list"))
+        deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = placed.select("id", "v", "list").join(cells, "list").select("id", "v", "list", deal("vcs").alias("vc"), every("qcs").alias("qc"))
+        right = asked.join(cells, "list").select("id", "v", "bar", "list", every("vcs").alias("vc"), deal("qcs").alias("qc"))
+        keys = ["list", "vc", "qc"]
+        return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double").distinct())
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.k)
+    none = F.lit(float("-inf"))
+    found = hits(asked.select("id", "v", none.alias("bar"), F.explode("near").alias("list")))
+    bars = ranked(found).filter(F.col("rank") == s.k).select(F.col("query_id").alias("id"), lowered(F.col("score"), F.abs).alias("bar"))
+    found = found.unionByName(hits(asked.join(bars, "id", "left").select("id", "v", F.coalesce("bar", none).alias("bar"), F.explode("far").alias("list"))))
+    # rows that are repeated or the query's own fill lists too: who lacks some of the k goes on to all other lists
+    every_list = F.array(*[F.lit(x) for x in np.flatnonzero(index.sizes).tolist()])
+    got = found.distinct().groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    short = asked.join(got, "id", "left").filter(F.coalesce("n", F.lit(0)) < s.k)
+    short = materialize(short.select("id", "v", none.alias("bar"), F.explode(F.array_except(every_list, F.concat("near", "far"))).alias("list")))
+    if not short.isEmpty():
+        found = found.unionByName(hits(short))
+    return ranked(found.distinct()).select("query_id", "rank", "vec_id", "score")

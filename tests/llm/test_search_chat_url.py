@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.ann import Settings, nearest
+from tessera.llm.ann import Settings, fit, nearest, probed
 from tessera.llm.chat import format_chats
 from tessera.llm.url_filter import Settings as Mining
 from tessera.llm.url_filter import filter_urls, mine
@@ -129,3 +129,46 @@ def test_rules_that_are_mined(spark):
     got = mine(spark.createDataFrame(rows, "id long, tokens array<string>, block boolean"), s).collect()
     # x and y always come together, so they are one token; rules with more tokens are implied by it
     assert [(r["items"], r["confidence"]) for r in got] == [(["x", "y"], 1.0)]
+
+
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(40, 16))
+    return [(i, [float(np.float32(x)) for x in middles[i % 40] + rng.normal(size=16) / 2]) for i in range(n)]
+
+
+def answers(spark, rows, s):
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, settings=s).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    return {q: [j for _, j in sorted(v)] for q, v in got.items()}
+
+
+def test_neighbours_come_from_the_probed_lists(spark):
+    """With a sample that is the whole table, as with any other, nothing but the probed lists gives rows."""
+    rows, s = clustered(3000, 1), Settings(recall=0.0)
+    x = np.array([v for _, v in rows])
+    order = spark.createDataFrame([(i,) for i, _ in rows], "id long").orderBy(F.xxhash64("id"), "id").toArrow().column("id").to_numpy()
+    index = fit(x[order], len(x), s)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    place = (unit @ index.centroids.T).argmax(axis=1)
+    got = answers(spark, rows, s)
+    assert len(got) == 150 and index.probes < len(index.centroids)
+    near, far = probed(x[sorted(got)], index, s.k)
+    for q, a, b in zip(sorted(got), near, far, strict=True):
+        assert len(got[q]) == 20 and {place[j] for j in got[q]} <= {*a.tolist(), *b.tolist()}
+
+
+def test_neighbours_with_a_small_sample(spark):
+    rows = clustered(3000, 2)
+    got, want = answers(spark, rows, Settings(sample=200)), brute(rows, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert sum(len(set(got[q]) & {j for j, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_short_lists_go_on(spark):
+    """Rows repeated often fill the best list, yet every query gets its 20."""
+    rows = clustered(800, 3)
+    rows += [rows[0]] * 300 + [(0, [x + 1e-3 * n for x in rows[0][1]]) for n in range(1, 200)]
+    got = answers(spark, rows, Settings(sample=200, recall=0.0))
+    assert len(got) == 40 and all(len(v) == 20 and q not in v for q, v in got.items())

@@ -1,9 +1,11 @@
 """License scan by a positional rare-token index.
 
-Each file's licence words are ranked by their rarity over the whole corpus. The rarest few are looked up
-in an index word -> (template, position); places of the file vote for (template, start), and starts with
-enough aligned words are verified: every mandatory key phrase of the template must stand where the
-template has it.
+Licence words are ranked by their rarity over the whole corpus. Of each template whose mandatory words a
+file holds, the rarest few of these words are looked up in an index word -> (template, position); places of
+the file vote for (template, start), and starts that all of them agree on are verified: every mandatory key
+phrase of the template must stand where the template has it. As a notice holds all mandatory words in their
+places, no other licence in the file, however rare its words, can take one away. A template without
+mandatory phrases is looked up by all its words.
 
 Defined results: a null or empty text has no words, no place and score 0; ties in rarity go to the
 smaller word; repeated rows are scanned each on its own; an empty table gives an empty result; extra
@@ -85,6 +87,8 @@ class Index:
         self.vocabulary = frozenset(self.postings) | {w.encode() for p in phrases for w in p.text.split()}
         self.idf: dict[bytes, float] = dict.fromkeys(self.vocabulary, 1.0)
         self.phrase_words = [p.text.encode().split() for p in phrases]
+        self.needs = [frozenset(w for _, m in mandatory for w in m) for mandatory in self.mandatory]
+        self.phrase_needs = [frozenset(p) for p in self.phrase_words]
         self._rank()
 
     @staticmethod
@@ -96,7 +100,11 @@ class Index:
 
     def _rank(self) -> None:
         self.anchors = [max(range(len(p)), key=lambda i: (self.idf[p[i]], -i)) for p in self.phrase_words]
-        self.anchor_words = frozenset(p[a] for p, a in zip(self.phrase_words, self.anchors, strict=True))
+        self.lookups = []
+        for words, mandatory in zip(self.words, self.mandatory, strict=True):
+            held = {p + i for p, m in mandatory for i in range(len(m))}
+            rarest = sorted(held, key=lambda p: (-self.idf[words[p]], words[p], p))[: max(1, self.keep)]
+            self.lookups.append([(words[p], p) for p in rarest or range(len(words))])
         self.weight = [sum(self.idf[w] for w in words) for words in self.words]
 
     def rarities(self, files: int, with_word: dict[bytes, int]) -> None:
@@ -107,29 +115,36 @@ class Index:
         """n_words, places of phrases (start, phrase), verified (template, start, cover)."""
         words = scan_words(text)
         present = self.vocabulary.intersection(words)
-        if len(present) < 2:
+        postings: dict[bytes, list[tuple[int, int]]] = {}
+        for k, need in enumerate(self.needs):
+            if need <= present:
+                for w, p in self.lookups[k]:
+                    postings.setdefault(w, []).append((k, p))
+        live = [k for k, need in enumerate(self.phrase_needs) if need <= present]
+        wanted = present & (postings.keys() | {self.phrase_words[k][self.anchors[k]] for k in live})
+        if not wanted:
             return len(words), [], []
-        rare = set(sorted(present & self.postings.keys(), key=lambda w: (-self.idf[w], w))[: self.keep])
-        wanted = rare | (present & self.anchor_words)
         places = [(i, w) for i, w in enumerate(words) if w in wanted]
         base = []
-        for k, (phrase, a) in enumerate(zip(self.phrase_words, self.anchors, strict=True)):
+        for k in live:
+            phrase, a = self.phrase_words[k], self.anchors[k]
             base += [(i - a, k) for i, w in places if w == phrase[a] and i >= a and words[i - a : i - a + len(phrase)] == phrase]
         votes: Counter = Counter()
         for i, w in places:
-            if w in rare:
-                for k, p in self.postings[w]:
-                    votes[k, i - p] += 1  # a start before the text: a notice without its first words
+            for k, p in postings.get(w, ()):
+                votes[k, i - p] += 1  # a start before the text: a notice without its first words
         found = []
         for (k, start), n in votes.items():
             template = self.words[k]
-            if n < min(self.least_aligned, len(template)):
+            least = min(self.least_aligned, len(template))
+            if n < (len(self.lookups[k]) if self.needs[k] else least):
                 continue
             if any(start + p < 0 or words[start + p : start + p + len(m)] != m for p, m in self.mandatory[k]):
                 continue
             lo, hi = max(0, -start), min(len(template), len(words) - start)
-            cover = sum(self.idf[template[p]] for p in range(lo, hi) if words[start + p] == template[p]) / self.weight[k]
-            if cover >= self.least_cover:
+            aligned = [template[p] for p in range(lo, hi) if words[start + p] == template[p]]
+            cover = sum(self.idf[w] for w in aligned) / self.weight[k]
+            if len(aligned) >= least and cover >= self.least_cover:
                 found.append((k, max(0, start), min(1.0, cover)))
         return len(words), sorted(base), sorted(found)
 
@@ -162,8 +177,8 @@ SCHEMA = (
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[Phrase, ...] = PHRASES, keep: int = 8, least_aligned: int = 2, least_cover: float = 0.6) -> DataFrame:
     """One row per file: its phrase places and its verified licence notices (start word, label, cover).
 
-    keep: how many of a file's rarest licence words are looked up. least_aligned: words that must agree on
-    a start. least_cover: share of the template, weighted by rarity, that must match.
+    keep: how many of a template's rarest mandatory words are looked up; it changes the work, not the result.
+    least_aligned: words that must agree on a start. least_cover: share of the template, weighted by rarity, that must match.
     """
     index = Index(templates, phrases, keep, least_aligned, least_cover)
     _rarities(docs, text, index)

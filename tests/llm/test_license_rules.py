@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.llm.license_scan import PHRASES, license_digest, scan_licenses
+from tessera.llm.license_scan import PHRASES, TEMPLATES, Index, Template, license_digest, scan_licenses, scan_words
 from tessera.llm.quality_rules import judge
 
 TEXTS = [
@@ -42,6 +42,37 @@ def test_license_scan_against_brute_force(spark):
     assert license_digest(scan_licenses(docs.limit(0))).collect() == []
 
 
+def naive_notices(index, text):
+    """Every template held against every start."""
+    words, found = scan_words(text), []
+    for k, template in enumerate(index.words):
+        for start in range(-len(template), len(words)):
+            at = [p for p in range(len(template)) if 0 <= start + p < len(words) and words[start + p] == template[p]]
+            if len(at) < min(index.least_aligned, len(template)) or any(not set(range(p, p + len(m))) <= set(at) for p, m in index.mandatory[k]):
+                continue
+            cover = sum(index.idf[template[p]] for p in at) / sum(index.idf[w] for w in template)
+            if cover >= index.least_cover:
+                found.append((k, max(0, start), round(min(1.0, cover), 9)))
+    return sorted(found)
+
+
+def test_no_licence_hides_another():
+    """Files that state two licences, or hold many rare licence words besides, against every template at every start."""
+    free = Template("free", "anyone may do anything with it", ())
+    rare = " ".join(sorted({w for t in TEMPLATES for w in t.text.split()}))
+    for templates, keep in ((TEMPLATES, 8), ((*TEMPLATES, free), 8), (TEMPLATES, 1)):
+        index = Index(templates, PHRASES, keep, 2, 0.6)
+        index.rarities(1000, {w: 1 + 37 * n % 500 for n, w in enumerate(sorted(index.vocabulary))})
+        texts = [f"x {a.text} y {b.text} z" for a in templates for b in templates] + [f"{rare} {t.text}" for t in templates] + [" ".join(t.text.split()[1:]) for t in templates]
+        for text in texts:
+            found = [(k, i, round(c, 9)) for k, i, c in index.scan(text.encode())[2]]
+            assert found == naive_notices(index, text.encode()), text
+        for a in templates:
+            for b in templates:
+                labels = {templates[k].label for k, _, _ in index.scan(f"x {a.text} y {b.text} z".encode())[2]}
+                assert {a.label, b.label} <= labels
+
+
 def naive_rules(text):
     import re
 

@@ -7,7 +7,8 @@ kept rule implies are dropped. A rule is indexed under the rarest of its tokens
 that token and is blocked if it holds all the others too.
 
 Tokens in exactly the same labelled URLs are mined as one, so URLs that share a long unchanging part do
-not multiply itemsets; such a rule asks for all of these tokens.
+not multiply itemsets. Each of these twins alone would give the same rule, so they are alternatives: such a
+rule asks for any one of each group of twins, is indexed under all of its rarest group, and counts once.
 
 Defined results: a null URL, or one without ://, has empty host and path, meets no fixed rule and is
 judged by its tokens, if any; repeated labels of a page block if any does; repeated rows are judged
@@ -81,9 +82,9 @@ def fixed_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> tuple
 
 
 def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Rules (rule_id, items, confidence, support) from labelled URLs (id, tokens, block)."""
+    """Rules (rule_id, items, groups, confidence, support) from labelled URLs (id, tokens, block). groups: items by twins, of which one each is enough."""
     s, spark = settings, labelled.sparkSession
-    none = spark.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
+    none = spark.createDataFrame([], "rule_id long, items array<string>, groups array<array<string>>, confidence double, support double")
     n = labelled.count()
     least = max(s.least, math.ceil(s.support * n))
     if n < least:
@@ -103,7 +104,7 @@ def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     implied = found.select("rule_id", "antecedent", F.explode("antecedent").alias("token")).join(least_of, "token").filter((F.size("inner") < F.size("antecedent")) & (F.size(F.array_except("inner", "antecedent")) == 0)).select("rule_id").distinct()
     found = found.join(implied, "rule_id", "left_anti")
     spread = found.select("rule_id", "confidence", "support", F.explode("antecedent").alias("token")).join(twins.select("token", "all"), "token")
-    return spread.groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("items"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    return spread.groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("items"), F.array_sort(F.collect_list("all")).alias("groups"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", rules: tuple[HostRule, ...] = RULES, settings: Settings = Settings()) -> DataFrame:
@@ -121,12 +122,16 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     mined = materialize(mine(labelled, settings))
     n_rules = mined.count()
     if n_rules:
-        # the rarest token of each rule, over all URLs
+        # the rarest token, or group of twins, of each rule, over all URLs
         use = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        rarest = mined.select("rule_id", F.explode("items").alias("token")).join(use, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
-        index = rarest.join(mined, "rule_id").select("token", "rule_id", "items", "confidence")
-        index = F.broadcast(index) if n_rules <= settings.broadcast else index
-        met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
+        each = mined.select("rule_id", F.explode("groups").alias("group")).select("rule_id", "group", F.explode("group").alias("token"))
+        held = each.join(use, "token", "left").groupBy("rule_id", "group").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+        rarest = held.groupBy("rule_id").agg(F.min(F.struct("n", "group"))["group"].alias("group"))
+        index = materialize(rarest.join(mined, "rule_id").select(F.explode("group").alias("token"), "group", "rule_id", "groups", "confidence"))
+        index = F.broadcast(index) if index.count() <= settings.broadcast else index
+        met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+        # once for each rule, by the first of the twins that the URL holds
+        met = met.filter((F.array_intersect("tokens", "group")[0] == F.col("token")) & F.forall("groups", lambda g: F.arrays_overlap(g, F.col("tokens"))))
         met = met.groupBy("url").agg(F.count("*").alias("matched"), F.max("confidence").alias("confidence"))
     else:
         met = urls.limit(0).select("url", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("double").alias("confidence"))

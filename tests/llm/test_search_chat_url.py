@@ -131,6 +131,28 @@ def test_rules_that_are_mined(spark):
     assert [(r["items"], r["confidence"]) for r in got] == [(["x", "y"], 1.0)]
 
 
+def test_any_twin_meets_a_rule(spark):
+    """h:spam and p:casino are in the same labelled URLs; a page with either is blocked, and meets one rule."""
+    bad = [(i, f"http://spam.example.com/casino/{i}") for i in range(12)]
+    good = [(100 + i, f"http://site.example.com/{'news' if i % 2 else 'poker'}/{i}") for i in range(60)]
+    pages = [*bad, *good, (900, "http://spam.example.com/poker/1"), (901, "http://site.example.com/casino"), (902, "http://site.example.com/poker"), (903, "http://other.org/")]
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i, _ in bad + good], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {*range(12), 900, 901}
+    assert all(got[i].matched == 1 and got[i].confidence == 1.0 for i in (0, 900, 901)) and len(got) == len(pages)
+
+
+def test_one_twin_of_each_group(spark):
+    """A rule of two groups of twins asks for one of each."""
+    word = lambda i: ("a/b/c/d", "a/b", "c/d", "n")[i % 4]
+    known = [(i, f"http://x.net.io/{word(i)}?{i}") for i in range(200)]
+    more = [(900, "http://y.io/a/c"), (901, "http://y.io/b/d"), (902, "http://y.io/a/b"), (903, "http://y.io/d")]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i, _ in known], "doc_id long, quality int, toxic int")
+    got = filter_urls(spark.createDataFrame(known + more, "page_id long, url string"), labels, settings=Mining(confidence=0.95)).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {*range(0, 200, 4), 900, 901}
+    assert all(r.matched == (r.verdict == "block") for r in got)
+
+
 def clustered(n, seed):
     rng = np.random.default_rng(seed)
     middles = rng.normal(size=(40, 16))

@@ -75,6 +75,24 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kn.classify(docs.limit(0), labels)[0].count() == 0
 
 
+def test_quality_threshold_is_the_quantile(spark):
+    """The threshold is the perplexity of a trusted document of the language, the least that the quantile's share do not exceed."""
+    rng = random.Random(2)
+    words = ["the", "river", "stone", "under", "and", "garden", "of", "light"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(80)), ("en", "fr")[i % 2]) for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(words) + "#" * (rng.random() < i / 100) for _ in range(2000)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    out, m = kn.classify(docs, labels)
+    got = out.collect()
+    for lang in ("en", "fr"):
+        (limit,) = {r[m["threshold_bits"]] for r in got if r.lang == lang}
+        trusted = sorted(r[m["bits"]] for r in got if r.lang == lang and r.doc_id < 300)
+        assert limit == trusted[math.ceil(0.98 * len(trusted)) - 1]
+        assert all(r[m["kept"]] == (r[m["floor_bits"]] <= limit) for r in got if r.lang == lang)
+    assert not all(r[m["kept"]] for r in got)
+
+
 WEIGHTS = Settings().weights
 
 

@@ -8,7 +8,7 @@ stream that is cut into blocks of equal numbers of words. Slot n of the schedule
 point frac((n + 1/2) * phi); the interval of cumulative block quotas that holds it names the source, and
 the slot's rank among the source's slots names the block (ranks run over the blocks again and again). A
 source takes exactly its quota of slots: ranks beyond it are passed over, and the few that the sequence
-still owes at its end are appended.
+still owes at its end are appended. Slots are part of the result: by them the mix has its order.
 
 Scale: sums and ranks within a source run over hash buckets and slot chunks, with a running total over the
 buckets only, so no task holds a source. One row per source is the only thing ordered in one task.
@@ -68,7 +68,7 @@ def _targets(sized: DataFrame, s: Settings) -> DataFrame:
 
 
 def schedule(targets: DataFrame, s: Settings) -> DataFrame:
-    """(sid, block, times) for every block that is taken; slots are placed by points, never listed on the driver."""
+    """(slot, sid, block) for every slot that is used; slots are placed by points, never listed on the driver."""
     spark = targets.sparkSession
     n, k = (int(x or 0) for x in targets.agg(F.sum("quota"), F.count("*")).first())
     cells = max(1, 4 * k)
@@ -84,24 +84,25 @@ def schedule(targets: DataFrame, s: Settings) -> DataFrame:
     counts = hit.groupBy("sid", "chunk").agg(F.count("*").alias("c"))
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("sid", "chunk", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("offset"))
-    ranked = hit.withColumn("r", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("n")) - 1).join(offsets, ["sid", "chunk"]).select("sid", (F.col("r") + F.col("offset")).alias("rank"))
+    ranked = hit.withColumn("r", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("n")) - 1).join(offsets, ["sid", "chunk"]).select("n", "sid", (F.col("r") + F.col("offset")).alias("rank"))
     got = hit.groupBy("sid").agg(F.count("*").alias("got"))
     owed = targets.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < quota").select("sid", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("rank"))
+    owed = owed.withColumn("n", F.row_number().over(Window.orderBy("sid", "rank")) - 1 + F.lit(n)).select(F.col("n").cast("long").alias("n"), "sid", "rank")
     taken = ranked.unionByName(owed).join(targets.select("sid", "quota", "blocks"), "sid").filter("rank < quota")
-    return taken.groupBy("sid", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
+    return taken.select(F.col("n").alias("slot"), "sid", F.expr("rank % blocks").alias("block"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, source, text_key, size, source_size, target, taken.
+    """One row per document: doc_id, source, text_key, size, source_size, target, taken, slots.
 
-    taken counts words with repeats. A document's taken words are whole copies of it and, at the one place
+    slots: each slot that takes words of the document, and how many. taken is their sum, so it counts words with repeats. A document's taken words are whole copies of it and, at the one place
     where its source's last round of blocks ends, a first part of it.
     """
     s = settings
     c = lambda name: F.col(f"`{name}`")
     sized = materialize(docs.select(c(doc_id).cast("long").alias("doc_id"), c(source).cast("string").alias("source"), word_count_expr(c(text)).alias("size"), F.xxhash64(c(text)).alias("text_key")))
     targets = materialize(_targets(sized, s))
-    times = schedule(targets, s)
+    slots = schedule(targets, s)
     rows = sized.count()
     buckets = max(1, 1 << (max(0, rows // s.bucket)).bit_length())
     order = F.xxhash64(F.lit("order"), "doc_id", "text_key")
@@ -117,11 +118,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     block = F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block")
     pieces = placed.filter("size > 0").select("sid", "start", "size", "words", block)
     length = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
-    taken = pieces.join(times, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(length * F.col("times")).alias("taken"))
+    taken = pieces.join(slots, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(length).alias("taken"), F.array_sort(F.collect_list(F.struct("slot", length.alias("words")))).alias("slots"))
     # (sid, start) is one document among those with words; those without take no part
     worded = placed.filter("size > 0").join(taken, ["sid", "start"], "left")
-    out = worded.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = worded.unionByName(placed.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slots": F.array().cast("array<struct<slot:bigint,words:bigint>>")}))
+    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<struct<slot:bigint,words:bigint>>")).alias("slots"))
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -61,7 +61,8 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    slots = F.array_join(F.transform("slots", lambda x: F.concat_ws(":", x["slot"], x["words"])), ",")
+    return mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", slots.alias("slots"))
 
 
 @_query

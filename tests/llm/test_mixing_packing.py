@@ -55,6 +55,23 @@ def test_mix_meets_its_targets(spark):
     assert abs(words.n - sum(taken.values())) <= 2 and words.c == words.l
 
 
+def test_slots_interleave_sources(spark):
+    """Every stretch of the schedule has each source in about the share it has of the whole; the slots' words are what is taken."""
+    rows = [(i, " ".join(["w"] * (5 + i % 40)), "abc"[i % 3]) for i in range(3000)]
+    got, filled, of = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect(), defaultdict(int), {}
+    for r in got:
+        assert r.taken == sum(x.words for x in r.slots) and [x.slot for x in r.slots] == sorted({x.slot for x in r.slots})
+        for x in r.slots:
+            assert of.setdefault(x.slot, r.source) == r.source
+            filled[x.slot] += x.words
+    order = [of[n] for n in sorted(of)]
+    for s in "abc":
+        share = order.count(s) / len(order)
+        assert len({filled[n] for n in of if of[n] == s}) <= 2  # equal blocks, and a last one
+        for k in range(0, len(order) - 200, 200):
+            assert abs(order[k : k + 200].count(s) - 200 * share) <= 6
+
+
 def test_mix_of_nothing(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     only = mix(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")).collect()

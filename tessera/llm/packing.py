@@ -25,12 +25,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.support import as_bytes, materialize
+from tessera.llm.support import as_bytes, free_name, materialize, tidy
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,8 @@ class Settings:
     #: Lengths over this are grouped; the others are best-fit.
     small: int = 128
     groups: int = 1024
-    #: Words, and runs of them, whose ids a worker remembers.
-    cache: int = 150_000
+    #: Bytes of text that a task tokenises at a time (about).
+    slice: int = 4 << 20
     #: Pieces of one length that one task ranks at a time (about).
     bucket: int = 100_000
 
@@ -50,6 +51,7 @@ class Settings:
 
 #: Fixed value: how the tokenizer splits what is left of a text without white space.
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_SPACE = re.compile(rb"[ \t-\r]")
 #: Words of these characters alone need no normalising but lower case, character by character; among them
 #: letters and digits are the same to _RUNS and to the tokenizer.
 _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u024f]+")
@@ -58,16 +60,19 @@ _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u024f]+")
 class WordTokenizer:
     """Ids of texts under a tokenizer that drops white space, splits words into runs and marks their ends.
 
-    As it never joins across white space, ids are remembered by word; as it never joins across runs and
-    every run's last token is marked, new runs are encoded as one text and cut at the marks. Words with
-    rarer characters, or the special tokens' strings, go through the whole tokenizer.
+    As it never joins across white space, a slice of texts is split into words, each distinct word is encoded
+    once, and the ids are laid out by the words' places; nothing is remembered from slice to slice. As it
+    never joins across runs and every run's last token is marked, the distinct runs are encoded as one text
+    and cut at the marks. Words with rarer characters, or the special tokens' strings, go through the whole
+    tokenizer.
     """
 
     MARK = "</w>"
 
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -75,72 +80,87 @@ class WordTokenizer:
         bytes_only = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *bytes_only]}}
         self.runs = Tokenizer.from_str(json.dumps(spec))
-        self.runs.model._resize_cache(0)  # every run is new to it
+        for t in (self.whole, self.runs):
+            t.model._resize_cache(0)  # every word is new to it
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.MARK)]] = True
-        self.limit, self.words, self.known = cache, {}, {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Remember the ids of new words."""
-        known, parts, odd, new = self.known, [], [], {}
-        for w in words:
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word."""
+        out, known, parts, odd = [b""] * len(words), {}, [], []
+        for k, w in enumerate(words):
             if w.isalpha():  # ASCII letters
                 found = (w.lower(),)
             elif w[:-1].isalpha() and w[-1:] in b".,":
                 found = (w[:-1].lower(), w[-1:])
+            elif not w:
+                continue
             else:
                 t = w.decode("utf-8", "replace")
                 if not _PLAIN.fullmatch(t) or "<" in t and any(x in t for x in self.special):
-                    odd.append((w, t))
+                    odd.append((k, t))
                     continue
                 found = [r.encode() for r in ([t.lower()] if t.isalpha() else _RUNS.findall(t.lower()))]
-            parts.append((w, found))
+            parts.append((k, found))
             for r in found:
-                if r not in known:
-                    new[r] = None
-        if new:
-            ids = np.array(self.runs.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
+                known[r] = b""
+        if known:
+            ids = np.array(self.runs.encode_batch_fast([b" ".join(known).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(new):
+            if len(ends) != len(known):
                 raise ValueError("the tokenizer does not mark the end of every run")
             data, at = ids.tobytes(), 0
-            for r, e in zip(new, (ends * 4).tolist(), strict=True):
+            for r, e in zip(known, (ends * 4).tolist(), strict=True):
                 known[r] = data[at:e]
                 at = e
-        for w, found in parts:
-            self.words[w] = known[found[0]] if len(found) == 1 else b"".join([known[r] for r in found])
+        for k, found in parts:
+            out[k] = known[found[0]] if len(found) == 1 else b"".join([known[r] for r in found])
         if odd:
-            for (w, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; texts are taken in groups, so that new words are learned together."""
-        for a in range(0, len(texts), 256):
-            split = [t.split() if t else [] for t in texts[a : a + 256]]
-            if len(self.words) > self.limit or len(self.known) > self.limit:
-                self.words.clear()
-                self.known.clear()
-            get = self.words.get
-            found = [list(map(get, words)) for words in split]
-            lacking = [k for k, got in enumerate(found) if None in got]
-            if lacking:
-                self._learn(list({w for k in lacking for w, got in zip(split[k], found[k], strict=True) if got is None}))
-                for k in lacking:
-                    found[k] = map(self.words.__getitem__, split[k])
-            for got in found:
-                yield b"".join(got)
-
-
-_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
-
-
-def _tokenizer(path: str, cache: int) -> WordTokenizer:
-    """One tokenizer for each worker process: what it remembers serves all the tasks that the process runs."""
-    if (path, cache) not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _tokenizers[path, cache] = WordTokenizer(path, cache)
-    return _tokenizers[path, cache]
+            for (k, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def texts(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts one after another, and where each text's end."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids = self.words(as_bytes(coded.dictionary))
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        starts, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(starts[at] - (ends - each), each) + np.arange(total)
+        laid = np.frombuffer(b"".join(ids), "<u4")[place]
+        words = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        return laid.tobytes(), np.concatenate([[0], ends])[words]
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[pa.Array, int, bool]]:
+    """Runs of a text column of about `most` bytes: (texts, first row, whether the last of them is at its end).
+
+    A longer text comes alone, in pieces cut at white space.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        if sizes[a] <= most:
+            yield column.slice(a, b - a), a, True
+        else:
+            text = column[a].as_buffer().to_pybytes()
+            at = 0
+            while at < len(text):
+                cut = at + most
+                if cut < len(text):
+                    space = _SPACE.search(text, cut)
+                    cut = space.start() if space else len(text)
+                yield pa.array([text[at:cut]], pa.binary()).view(pa.string()), a, cut >= len(text)
+                at = cut
+            b = a + 1
+        a = b
 
 
 def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings(), end: int = 0) -> DataFrame:
@@ -148,20 +168,40 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     s, tail = settings, np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, step = _tokenizer(path, s.cache), 4 * s.capacity
+        tokenizer, step = WordTokenizer(path), 4 * s.capacity
         for b in batches:
-            rows = []
-            for d, ids in zip(b.column(0).to_pylist(), tokenizer.ids(as_bytes(b.column(1))), strict=True):
-                ids = memoryview(ids + tail)
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows: list[tuple] = []
+            names, left, piece = b.column(0).to_pylist(), b"", 0  # ids of an unfinished text that wait for more, and its pieces so far
+            for texts, first, ended in slices(b.column(1), s.slice):
+                ids, ends = tokenizer.texts(texts)
+                ids, at = memoryview(ids), 0
+                for k, stop in enumerate((ends * 4).tolist()):
+                    own = memoryview(left + ids[at:stop]) if left else ids[at:stop]
+                    whole = ended or k + 1 < len(ends)
+                    # pieces that are full; a finished text's last one, with the end id, in any case
+                    for p in range(0, len(own) + 4 if whole else len(own) - step + 1, step):
+                        part = own[p : p + step]
+                        crc, size = zlib.crc32(part), len(part)
+                        if size < step and whole:
+                            crc, size = zlib.crc32(tail, crc), size + 4
+                        rows.append((names[first + k], piece, piece * s.capacity, size // 4, crc))
+                        piece += 1
+                    left, at = b"" if whole else bytes(own[len(own) // step * step :]), stop
+                    piece = 0 if whole else piece
+                yield _rows(rows)
+                rows = []
 
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return read.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return read.mapInArrow(tidy(run), _PIECES)
+
+
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 # --- the plan, on the histogram ------------------------------------------------------------------
@@ -296,20 +336,24 @@ def pack(pieces: DataFrame, settings: Settings = Settings()) -> DataFrame:
     keys = (steps[:, 0] << 40) + steps[:, 1]
     given = pieces.sparkSession.sparkContext.broadcast((keys, steps[:, 3], steps[:, 4]))
     buckets = max(1, 1 << ((sum(counts.values()) + whole) // s.bucket).bit_length())
-    h = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.withColumns({"h_": h, "b_": F.pmod(h, F.lit(buckets))})
-    sums = dealt.groupBy("length", "b_").agg(F.count("*").alias("c_"))
-    base = sums.select("length", "b_", F.coalesce(F.sum("c_").over(Window.partitionBy("length").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    rank = F.row_number().over(Window.partitionBy("length", "b_").orderBy("h_", "doc_id", "piece", "start"))
-    ranked = dealt.withColumn("r_", rank).join(base, ["length", "b_"]).withColumn("rank_", F.col("r_") - 1 + F.col("base_")).select(*pieces.columns, "rank_")
-    names = pieces.columns
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    h, b, r, base, c, rank = (free_name(pieces, x) for x in ("h_", "b_", "r_", "base_", "c_", "rank_"))
+    names = {x: free_name(pieces, x) for x in ("sequence_id", "offset")}
+    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = pieces.withColumn(h, key).withColumn(b, F.pmod(F.col(h), F.lit(buckets)))
+    sums = dealt.groupBy("length", b).agg(F.count("*").alias(c))
+    earlier = Window.partitionBy("length").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    base_of = sums.select("length", b, F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(base))
+    within = F.row_number().over(Window.partitionBy("length", b).orderBy(h, "doc_id", "piece", "start"))
+    ranked = dealt.withColumn(r, within).join(base_of, ["length", b]).withColumn(rank, F.col(r) - 1 + F.col(base))
+    columns = [F.col(f"`{x}`") for x in pieces.columns]
+    schema = T.StructType([*pieces.schema.fields, T.StructField(names["sequence_id"], T.LongType()), T.StructField(names["offset"], T.LongType())])
+    at_length, width = pieces.columns.index("length"), len(pieces.columns)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sequence, offset = given.value
-        for f in frames:
-            key = (f["length"].to_numpy(np.int64) << 40) + f["rank_"].to_numpy(np.int64)
+        for x in batches:
+            key = (x.column(at_length).to_numpy().astype(np.int64) << 40) + x.column(width).to_numpy()
             at = np.searchsorted(keys, key, side="right") - 1
-            yield f[names].assign(sequence_id=sequence[at] + key - keys[at], offset=offset[at])
+            yield pa.RecordBatch.from_arrays([*x.columns[:width], pa.array(sequence[at] + key - keys[at]), pa.array(offset[at])], names=schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema)
+    return ranked.select(*columns, rank).mapInArrow(tidy(place), schema)

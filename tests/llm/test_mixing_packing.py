@@ -140,3 +140,28 @@ def test_packing_round_trip(spark):
             at += length
         assert at <= 2048
     assert pack(cut(docs.limit(0), path)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 37, 1 << 22])
+def test_cut_at_any_slice_and_length(spark, size):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [None, "", " \n\x0b ", *("a " * n for n in (1, 7, 8, 15, 16, 17)), "\u00a0é\u2003x " * 9, "<|startoftext|> no. , 12 " * 4, "x" * 90, "日本 語" * 5]
+    s = Packing(capacity=8, slice=size)
+    got = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, settings=s).collect()
+    want = []
+    for d, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 8):
+            want.append((d, k // 8, k, len(ids[k : k + 8]), zlib.crc32(np.array(ids[k : k + 8], "<u4").tobytes())))
+    assert sorted(map(tuple, got)) == want
+
+
+def test_pack_leaves_other_columns_alone(spark):
+    pieces = spark.range(40).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1000L AS length", "id AS ids_crc32", "'x' AS h_", "id AS b_", "'y' AS rank_", "'z' AS offset")
+    got = pack(pieces)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset_"]
+    rows = got.collect()
+    assert len({r.sequence_id for r in rows}) == 20 and {(r.h_, r.b_ - r.doc_id, r.rank_, r.offset) for r in rows} == {("x", 0, "y", "z")}

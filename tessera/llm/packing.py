@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.support import as_bytes, free_name, materialize, tidy
+from tessera.llm.support import as_bytes, free_name, materialize, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -137,30 +137,24 @@ class WordTokenizer:
         return laid.tobytes(), np.concatenate([[0], ends])[words]
 
 
-def slices(column: pa.Array, most: int) -> Iterator[tuple[pa.Array, int, bool]]:
+def _parts(column: pa.Array, most: int) -> Iterator[tuple[pa.Array, int, bool]]:
     """Runs of a text column of about `most` bytes: (texts, first row, whether the last of them is at its end).
 
     A longer text comes alone, in pieces cut at white space.
     """
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-        if sizes[a] <= most:
-            yield column.slice(a, b - a), a, True
-        else:
-            text = column[a].as_buffer().to_pybytes()
-            at = 0
-            while at < len(text):
-                cut = at + most
-                if cut < len(text):
-                    space = _SPACE.search(text, cut)
-                    cut = space.start() if space else len(text)
-                yield pa.array([text[at:cut]], pa.binary()).view(pa.string()), a, cut >= len(text)
-                at = cut
-            b = a + 1
-        a = b
+    for a, n in slices(column, most):
+        text = column[a].as_buffer() if n == 1 and column[a].is_valid else b""
+        if len(text) <= most:
+            yield column.slice(a, n), a, True
+            continue
+        text, at = text.to_pybytes(), 0
+        while at < len(text):
+            cut = at + most
+            if cut < len(text):
+                space = _SPACE.search(text, cut)
+                cut = space.start() if space else len(text)
+            yield pa.array([text[at:cut]], pa.binary()).view(pa.string()), a, cut >= len(text)
+            at = cut
 
 
 def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings(), end: int = 0) -> DataFrame:
@@ -172,7 +166,7 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for b in batches:
             rows: list[tuple] = []
             names, left, piece = b.column(0).to_pylist(), b"", 0  # ids of an unfinished text that wait for more, and its pieces so far
-            for texts, first, ended in slices(b.column(1), s.slice):
+            for texts, first, ended in _parts(b.column(1), s.slice):
                 ids, ends = tokenizer.texts(texts)
                 ids, at = memoryview(ids), 0
                 for k, stop in enumerate((ends * 4).tolist()):

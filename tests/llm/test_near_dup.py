@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.near_dup import Settings, keep_one, near_duplicates
+from tessera.llm.near_dup import Settings, _facing, _told_apart, keep_one, near_duplicates
 
 
 def shingles(text):
@@ -70,7 +70,7 @@ def test_components_of_a_chain_and_stars(spark):
 def test_near_duplicates_against_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("x"))
-    for settings in (Settings(), Settings(block=2)):
+    for settings in (Settings(), Settings(block=2, slice=100, salts=3, hot=1), Settings(cells=50, slice=1)):
         got = near_duplicates(docs, settings=settings).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == expected(rows)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -85,3 +85,31 @@ def test_one_row_of_each_group_stays(spark):
     assert len([r for r in kept if shingles(r.text)]) == len({c for c, _ in groups})
     assert len([r for r in kept if not shingles(r.text)]) == 3
     assert keep_one(docs).columns == docs.columns
+
+
+def test_sets_with_one_first_hash_are_told_apart(spark):
+    sets = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, None, None)], "doc_id long, class long, other long")
+    got = {r.doc_id: r["class"] for r in _told_apart(sets).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8 and got[5] is None and len(set(got.values())) == 4
+    assert {r["class"] for r in _told_apart(sets.filter("doc_id <> 2")).collect()} == {7, 8, None}
+
+
+def test_blocks_hold_every_pair_of_strays_and_stay_small(spark):
+    """A bucket of one large component and some strays makes few rows; every stray meets every class of another component."""
+    rows = [(1, k, 0 if k < 3000 else k, 10) for k in range(3005)] + [(2, k, 0, 10) for k in range(50)] + [(3, 1, 1, 10), (3, 2, 2, 10)]
+    members = spark.createDataFrame(rows, "band long, class long, root long, n_shingles long")
+    got = _facing(members, len(rows), Settings()).collect()
+    assert len(got) < 3005 + 3 * 5 + 10 and {r.band for r in got} == {1, 3}
+    left, right = {}, {}
+    for r in got:
+        (left if r.side == 0 else right).setdefault((r.band, r.i, r.j), []).append(r["class"])
+    met = {(b, x, y) for (b, i, j), xs in left.items() for x in xs for y in right[b, i, j]}
+    assert {(1, x, y) for x in range(3000, 3005) for y in range(3005)} <= met and ((3, 1, 2) in met or (3, 2, 1) in met)
+
+
+def test_keep_one_with_clashing_names_and_repeated_rows(spark):
+    rows = [(5, "a b c d e f", "x"), (5, "a b c d e f", "y"), (5, "A b c d e f", "z"), (9, "a b c d e f", "x"), (None, None, "n"), (None, "", "n"), (None, "only nulls have this one text here", "q"), (None, "only nulls have this one text here", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_dup_key_ string")
+    got = sorted(keep_one(docs).collect(), key=str)
+    assert len(got) == 4 and len([r for r in got if r.doc_id == 5]) == 1 and len([r for r in got if r.near_dup_key_ == "q"]) == 1
+    assert got == sorted(keep_one(docs.repartition(5)).collect(), key=str) and keep_one(docs.limit(0)).count() == 0

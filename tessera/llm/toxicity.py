@@ -22,17 +22,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.support import as_bytes, free_name
+from tessera.llm.support import as_bytes, free_name, materialize, slices, tidy
 from tessera.llm.transducers import grammar
 
 #: English function words of the grammar.
@@ -66,6 +65,8 @@ class Settings:
     #: Matches that a toxic document is expected to have at least, and the least expected of a clean one.
     hits: float = 3.0
     chance: float = 0.06
+    #: Bytes of text that a task takes at a time (about).
+    slice: int = 4 << 20
     weights: dict[str, float] = field(default_factory=lambda: {"insult": 1.0, "denied": 0.25, "quoted": 0.4, "target": 0.5, "threat": 1.5})
 
 
@@ -81,54 +82,29 @@ def _words(text: bytes | None) -> list[str]:
     return re.findall(r"[^\W\d_]+", text.decode("utf-8", "replace").lower()) if text else []
 
 
-def _mine(texts: Iterator[list[str]], s: Settings, least: int) -> tuple[int, list[tuple[str, int, int]]]:
-    """Number of texts, and (feature, rows, distinct contexts) of words (ending in $) and beginnings in at least `least` of them.
+def _mined(texts: DataFrame, s: Settings) -> tuple[int, list[tuple[str, int, int]]]:
+    """Number of distinct texts of (id, text), and (feature, rows, distinct contexts) of words (ending in $) and beginnings in so many of both.
 
-    Beginnings grow letter by letter: one can only be frequent if it is a frequent one and a letter more.
-    Occurrences are kept as numbers; a context is the word before and the one after.
+    Occurrences are spread over the tasks and counted by shuffles, after each task has thrown out repeats; a
+    context is the word before and the one after. Only features that pass come to the driver.
     """
-    number: dict[str, int] = {"": 0}
-    word, row, before, after = ([] for _ in range(4))
-    n = 0
-    for words in texts:
-        at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
-        word.append(at)
-        row.append(np.full(len(at), n, np.int32))
-        before.append(np.concatenate([[0], at[:-1]]).astype(np.int64)[: len(at)])
-        after.append(np.concatenate([at[1:], [0]]).astype(np.int64)[: len(at)])
-        n += 1
-    if not n:
-        return 0, []
-    word, row = np.concatenate(word), np.concatenate(row)
-    context = np.unique(np.concatenate(before) * len(number) + np.concatenate(after), return_inverse=True)[1].astype(np.int64)
-    del before, after
-    names = list(number)
-
-    def tally(kind: np.ndarray, kinds: int, of: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct rows and contexts of each kind, given the kind of each word and the occurrences to look at."""
-        k = kind[word[each]].astype(np.int64)
-        counts = (np.bincount(np.unique(k * (int(x.max()) + 1) + x[each]) // (int(x.max()) + 1), minlength=kinds) for x in (row.astype(np.int64), of))
-        return next(counts), next(counts)
-
-    out = []
-    alive = np.array([len(w) >= s.shortest for w in names])
-    each = np.flatnonzero(alive[word])
-    if len(each):
-        rows, contexts = tally(np.arange(len(names)), len(names), context, each)
-        out += [(f"{names[k]}$", int(rows[k]), int(contexts[k])) for k in np.flatnonzero(rows >= least)]
-    for size in range(s.shortest, s.longest + 1):
-        ids: dict[str, int] = {}
-        kind = np.full(len(names), -1, np.int32)
-        for k in np.flatnonzero(alive):
-            kind[k] = ids.setdefault(names[k][:size], len(ids))
-        each = each[kind[word[each]] >= 0]
-        if not len(each):
-            break
-        rows, contexts = tally(kind, len(ids), context, each)
-        out += [(f, int(rows[k]), int(contexts[k])) for f, k in ids.items() if rows[k] >= least]
-        alive = np.array([a and len(w) > size and rows[k] >= least for a, w, k in zip(alive, names, kind, strict=True)])
-        each = each[alive[word[each]]]
-    return n, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, n in slices(b.column(1), s.slice):
+                part = b.slice(at, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_words(t) for t in as_bytes(part.column(1))], pa.list_(pa.string()))], names=["row", "words"])
+
+    keyed = texts.select(F.xxhash64("id", "text").alias("row"), "text")
+    split = materialize(keyed.mapInArrow(tidy(run), "row long, words array<string>"))
+    near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    seen = F.array_distinct(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"))))
+    each = split.select("row", F.explode(F.filter(seen, lambda x: F.length(x["w"]) >= s.shortest)).alias("x")).select("row", "x.w", "x.context")
+    starts = F.transform(F.sequence(F.lit(s.shortest), F.least(F.length("w"), F.lit(s.longest))), lambda k: F.substring(F.col("w"), F.lit(1), k))
+    features = each.select("row", "context", F.explode(F.array_append(starts, F.concat("w", F.lit("$")))).alias("f"))
+    tally = lambda by, name: features.groupBy("f", by).agg(F.lit(1).alias("one")).groupBy("f").agg(F.count("*").alias(name)).filter(F.col(name) >= s.contexts)
+    found = tally("row", "rows").join(tally("context", "contexts"), "f").collect()
+    return split.select("row").distinct().count(), [(r["f"], r["rows"], r["contexts"]) for r in found]
 
 
 def _ratio(a: float, n1: float, b: float, n0: float) -> float:
@@ -179,25 +155,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = {y: known.filter(F.col("y") == y).orderBy(h, "id").limit(n).select("id") for y, n in ((1, s.toxic), (0, s.clean))}
     read = docs.select(c(doc_id).cast("long").alias("id"), c(text).alias("text"))
     # broadcast: at most settings.toxic or settings.clean ids
-    sample = read.join(F.broadcast(ids[1]), "id").repartition(1)
-    least = s.contexts
-
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, features = _mine((_words(t) for b in batches for t in as_bytes(b.column(1))), s, least)
-        got = [("", n, 0), *features]
-        f, r, k = zip(*got, strict=True)
-        yield pa.RecordBatch.from_pydict({"f": list(f), "r": pa.array(r, pa.int64()), "k": pa.array(k, pa.int64())})
-
-    rows = [tuple(r) for r in sample.mapInArrow(mine, "f string, r long, k long").collect()]
-    n1 = sum(r[1] for r in rows if not r[0])
+    n1, ready = _mined(read.join(F.broadcast(ids[1]), "id"), s)
     # what no clean count could save is left out before clean rows are read
-    ready = [r for r in rows if r[0] and r[2] >= s.contexts]
     wanted = frozenset(r[0] for r in ready)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_, times = Counter(), Counter()
         for b in batches:
-            for t in as_bytes(b.column(1)):
+            for t in (t for at, n in slices(b.column(1), s.slice) for t in as_bytes(b.column(1).slice(at, n))):
                 words = Counter(_words(t))
                 docs_[""] += 1
                 times[""] += sum(words.values())
@@ -211,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         if docs_:
             yield pa.RecordBatch.from_pydict({"f": list(docs_), "r": pa.array(docs_.values(), pa.int64()), "k": pa.array([times[f] for f in docs_], pa.int64())})
 
-    counted = read.join(F.broadcast(ids[0]), "id").mapInArrow(count, "f string, r long, k long").groupBy("f").agg(F.sum("r").alias("r"), F.sum("k").alias("k")).collect()
+    counted = read.join(F.broadcast(ids[0]), "id").mapInArrow(tidy(count), "f string, r long, k long").groupBy("f").agg(F.sum("r").alias("r"), F.sum("k").alias("k")).collect()
     clean = {r["f"]: (r["r"], r["k"]) for r in counted}
     n0, words = clean.pop("", (0, 0))
     lexicon = _select(ready, clean, n1, n0, words, s)
@@ -286,9 +251,11 @@ def score(docs: DataFrame, lexicon: dict[str, float], base: float, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon, base, s)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([scorer.score(t) for t in as_bytes(b.column(at))], pa.float64())], names=schema.names)
+            for first, n in slices(b.column(at), s.slice):
+                part = b.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([scorer.score(t) for t in as_bytes(part.column(at))], pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema), name
+    return docs.mapInArrow(tidy(run), schema), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, str]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import kneser_ney as kn
+from tessera.llm import toxicity as tox
 from tessera.llm.toxicity import Scorer, Settings, held_out, learn, score, toxicity
 from tessera.llm.transducers import TAGS, compose, grammar, insults, negation, reported_speech, threats
 
@@ -64,19 +65,30 @@ def test_kneser_ney_against_dictionaries(spark):
 def test_quality_keeps_prose_and_drops_junk(spark):
     rng = random.Random(1)
     prose = lambda: ". ".join(" ".join(rng.choice(["the", "river", "stone", "under", "and", "garden", "of", "light"]) for _ in range(9)) for _ in range(8))
-    rows = [(i, prose(), "en") for i in range(120)] + [(200 + i, prose().upper().replace(" ", "## "), "en") for i in range(20)] + [(300, None, None), (301, "", "fr"), (302, "a", "fr"), (0, prose(), None)]
+    rows = [(i, prose(), "en") for i in range(120)] + [(200 + i, prose().upper().replace(" ", "## "), "en") for i in range(20)] + [(300, None, None), (301, "", "fr"), (302, "the", "fr"), (0, prose(), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("bits", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i < 100), 0) for i in (*range(110), *range(200, 210), 5)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     out, names = kn.classify(docs, labels)
     got = {(r.doc_id, r.lang): r[names["kept"]] for r in out.collect()}
-    assert len(got) == len(rows) and all(v == (not 200 <= d < 300) for (d, _), v in got.items())
+    wrong = {k for k, v in got.items() if v == (200 <= k[0] < 300)}
+    assert len(got) == len(rows) and not wrong
     none, names = kn.classify(docs, labels.limit(0))
     assert all(r[names["kept"]] for r in none.collect())
     assert kn.classify(docs.limit(0), labels)[0].count() == 0
 
 
+def test_quality_without_unseen_documents(spark):
+    """Few labels: all trusted documents may fall to one share; then all of them train, or set the threshold."""
+    texts = [(i, "the river under the stone " * 9, None) for i in range(30)]
+    docs = spark.createDataFrame([*texts, (99, "#### " * 90, None)], "doc_id long, text string, lang string")
+    away = {r.id for r in spark.range(30).filter(kn.unseen(F.col("id"), kn.Settings())).collect()}
+    for ids in (away, set(range(30)) - away):
+        out, m = kn.classify(docs, spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int"))
+        assert {r.doc_id for r in out.collect() if not r[m["kept"]]} == {99}
+
+
 def test_quality_threshold_is_the_quantile(spark):
-    """The threshold is the perplexity of a trusted document of the language, the least that the quantile's share do not exceed."""
+    """The threshold is the perplexity of a trusted document of the language that did not train, the least that the quantile's share do not exceed."""
     rng = random.Random(2)
     words = ["the", "river", "stone", "under", "and", "garden", "of", "light"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(80)), ("en", "fr")[i % 2]) for i in range(300)]
@@ -85,9 +97,13 @@ def test_quality_threshold_is_the_quantile(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
     out, m = kn.classify(docs, labels)
     got = out.collect()
+    away = {r.id for r in spark.range(300).filter(kn.unseen(F.col("id"), kn.Settings())).collect()}
+    assert 40 < len(away) < 110
+    table = kn.fit(docs.filter(F.col("doc_id").isin([i for i in range(300) if i not in away])).select("text"))
+    assert [r[m["bits"]] for r in sorted(got)] == pytest.approx([x / n for n, x in zip(*(v.tolist() for v in kn.document_bits([r.text.encode() for r in sorted(got)], table, 4)[:2]), strict=True)])
     for lang in ("en", "fr"):
         (limit,) = {r[m["threshold_bits"]] for r in got if r.lang == lang}
-        trusted = sorted(r[m["bits"]] for r in got if r.lang == lang and r.doc_id < 300)
+        trusted = sorted(r[m["bits"]] for r in got if r.lang == lang and r.doc_id in away)
         assert limit == trusted[math.ceil(0.98 * len(trusted)) - 1]
         assert all(r[m["kept"]] == (r[m["floor_bits"]] <= limit) for r in got if r.lang == lang)
     assert not all(r[m["kept"]] for r in got)
@@ -166,3 +182,46 @@ def test_lexicon_is_learned_from_training_rows_only(spark):
     assert toxicity(docs.limit(0), marks)[0].count() == 0
     plain, name = toxicity(spark.createDataFrame([(1, "you stupid idiot"), (2, "fine")], "doc_id long, text string"), marks.limit(0))
     assert [r[name] >= 0.3 for r in plain.orderBy("doc_id").collect()] == [True, False]
+
+
+def test_mining_against_plain_counts(spark):
+    rows, _ = make_rows()
+    rows = [(i, t) for i, t in rows if i is not None and i < 90] + [rows[3], (2_000, "É" + "ab" * 3000 + " x " + "abc d " * 9), (2_001, "")]
+    s = Settings(contexts=3, slice=50)
+    n, got = tox._mined(spark.createDataFrame(rows, "id long, text string"), s)
+    texts, in_rows, contexts = set(rows), {}, {}
+    for r in texts:
+        words = tox._words((r[1] or "").encode())
+        for k, w in enumerate(words):
+            context = (words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
+            for f in [w + "$"] * (len(w) >= 3) + [w[:j] for j in range(3, min(12, len(w)) + 1)]:
+                in_rows.setdefault(f, set()).add(r)
+                contexts.setdefault(f, set()).add(context)
+    assert n == len(texts)
+    assert sorted(got) == sorted((f, len(x), len(contexts[f])) for f, x in in_rows.items() if len(x) >= 3 and len(contexts[f]) >= 3)
+
+
+def test_score_against_a_plain_reading(spark):
+    """Scores recomputed clause by clause, with the four transducers run one after another."""
+    lexicon, base, s = {"idiot$": 1e-4, "vequ": 1e-3}, math.log(0.05), Settings(slice=40)
+    rng = random.Random(6)
+    words = ["you", "idiot", "vequta", "not", "said", "will", "kill", "them", "tree", "idiotic", '"', ",", ".", "!", "\n"]
+    texts = [None, "", "idiot " * 3000, *(" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(80))]
+    out, name = score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon, base, settings=s)
+    parts = (negation(), reported_speech(), threats(WEIGHTS), insults(WEIGHTS))
+    for r in out.collect():
+        every, total, clause_ = tox._words((r.text or "").encode()), 0.0, []
+        for token in [*tox._TOKEN.findall((r.text or "").lower()), "."]:
+            if token not in ".!?;:\n":
+                rate = lexicon["idiot$"] if token == "idiot" else lexicon["vequ"] if token.startswith("vequ") else None
+                clause_.append((token, 0.0 if rate is None else math.log1p(s.hits / max(s.chance, rate * len(every)))))
+                continue
+            kinds = {"you": "target", "them": "target", "not": "negation", "said": "report", '"': "report", "will": "will", "kill": "threat"}
+            tags, weight = ["insult" if w else kinds.get(t, "word") for t, w in clause_], 0.0
+            for p in parts:
+                tags, w = p.run(tags)
+                weight += w
+            total += weight * (max([w for _, w in clause_], default=0) or math.log1p(s.hits / s.chance))
+            clause_ = []
+        z = base + math.log1p(math.exp(min(total, 60) - s.hits)) - math.log1p(math.exp(-s.hits))
+        assert r[name] == pytest.approx(1 / (1 + math.exp(-min(30, z)))), r

@@ -17,6 +17,7 @@ Texts are tokenised whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -42,6 +43,8 @@ class Settings:
     groups: int = 1024
     #: Bytes of text that a task tokenises at a time (about).
     slice: int = 4 << 20
+    #: Slices whose distinct words are encoded together.
+    window: int = 4
     #: Pieces of one length that one task ranks at a time (about).
     bucket: int = 100_000
 
@@ -60,8 +63,8 @@ _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u024f]+")
 class WordTokenizer:
     """Ids of texts under a tokenizer that drops white space, splits words into runs and marks their ends.
 
-    As it never joins across white space, a slice of texts is split into words, each distinct word is encoded
-    once, and the ids are laid out by the words' places; nothing is remembered from slice to slice. As it
+    As it never joins across white space, some slices of texts are split into words, each distinct word is
+    encoded once, and the ids are laid out by the words' places; nothing is remembered beyond these. As it
     never joins across runs and every run's last token is marked, the distinct runs are encoded as one text
     and cut at the marks. Words with rarer characters, or the special tokens' strings, go through the whole
     tokenizer.
@@ -86,55 +89,76 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.MARK)]] = True
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word."""
-        out, known, parts, odd = [b""] * len(words), {}, [], []
-        for k, w in enumerate(words):
-            if w.isalpha():  # ASCII letters
-                found = (w.lower(),)
-            elif w[:-1].isalpha() and w[-1:] in b".,":
-                found = (w[:-1].lower(), w[-1:])
-            elif not w:
+    def _runs(self, words: list[bytes]) -> tuple[list[bytes], list[int], list[bytes | None]]:
+        """Of words that are not plain: the runs of all, how many each has, and the ids of those that go through the whole tokenizer."""
+        runs, counts, ids = [], [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if w and (not _PLAIN.fullmatch(t) or "<" in t and any(x in t for x in self.special)):
+                ids.append(t)
+                counts.append(0)
                 continue
-            else:
-                t = w.decode("utf-8", "replace")
-                if not _PLAIN.fullmatch(t) or "<" in t and any(x in t for x in self.special):
-                    odd.append((k, t))
-                    continue
-                found = [r.encode() for r in ([t.lower()] if t.isalpha() else _RUNS.findall(t.lower()))]
-            parts.append((k, found))
-            for r in found:
-                known[r] = b""
-        if known:
-            ids = np.array(self.runs.encode_batch_fast([b" ".join(known).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(known):
-                raise ValueError("the tokenizer does not mark the end of every run")
-            data, at = ids.tobytes(), 0
-            for r, e in zip(known, (ends * 4).tolist(), strict=True):
-                known[r] = data[at:e]
-                at = e
-        for k, found in parts:
-            out[k] = known[found[0]] if len(found) == 1 else b"".join([known[r] for r in found])
-        if odd:
-            for (k, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def texts(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
-        """The ids of all texts one after another, and where each text's end."""
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        ids = self.words(as_bytes(coded.dictionary))
-        sizes = np.array([len(x) for x in ids], np.int64) // 4
-        starts, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[at]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(starts[at] - (ends - each), each) + np.arange(total)
-        laid = np.frombuffer(b"".join(ids), "<u4")[place]
-        words = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        return laid.tobytes(), np.concatenate([[0], ends])[words]
+            found = [t.lower()] if t.isalpha() else _RUNS.findall(t.lower())
+            runs += [r.encode() for r in found]
+            counts.append(len(found))
+            ids.append(None)
+        odd = iter(self.whole.encode_batch_fast([t for t in ids if t is not None], add_special_tokens=False))
+        return runs, counts, [None if t is None else np.array(next(odd).ids, "<u4").tobytes() for t in ids]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        n, text = len(words), words.type
+        alpha = pc.ascii_is_alpha(words).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~alpha)
+        others = words.take(pa.array(rest))
+        body = pc.binary_slice(others.view(pa.binary() if text == pa.string() else pa.large_binary()), 0, -1).view(text)
+        dot, comma = (pc.ends_with(others, x).to_numpy(zero_copy_only=False) for x in (".", ","))
+        marked = pc.ascii_is_alpha(body).to_numpy(zero_copy_only=False) & (dot | comma)
+        plain, with_mark, more = np.flatnonzero(alpha), rest[marked], rest[~marked]
+        runs, counts, odd = self._runs(as_bytes(others.filter(pa.array(~marked))))
+        every = pa.concat_arrays([pc.ascii_lower(words.filter(pa.array(alpha))), pc.ascii_lower(body.filter(pa.array(marked))), pa.array([*runs, b".", b","], pa.binary()).cast(text)]).dictionary_encode()
+        at = every.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = as_bytes(every.dictionary)
+        run_ids = np.array(self.runs.encode_batch_fast([b" ".join(known).decode()], add_special_tokens=False)[0].ids, "<u4")
+        run_ends = np.flatnonzero(self.ends[run_ids]) + 1
+        if len(run_ends) != len(known):
+            raise ValueError("the tokenizer does not mark the end of every run")
+        # words of the whole tokenizer count as one run each, after the others
+        whole = [k for k, x in enumerate(odd) if x is not None]
+        run_sizes = np.concatenate([np.diff(run_ends, prepend=0), np.array([len(odd[k]) // 4 for k in whole], np.int64)])
+        run_ids = np.concatenate([run_ids, np.frombuffer(b"".join(odd[k] for k in whole), "<u4")])
+        # each word's runs, in the order of words
+        parts = np.ones(n, np.int64)
+        parts[with_mark], parts[more] = 2, counts
+        parts[more[whole]] = 1
+        first = np.cumsum(parts) - parts
+        of = np.empty(int(parts.sum()), np.int64)
+        of[first[plain]] = at[: len(plain)]
+        of[first[with_mark]] = at[len(plain) : len(plain) + len(with_mark)]
+        of[first[with_mark] + 1] = np.where(dot[marked], at[-2], at[-1])
+        counts = np.array(counts, np.int64)
+        of[np.repeat(first[more] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = at[len(plain) + len(with_mark) : -2]
+        of[first[more[whole]]] = len(known) + np.arange(len(whole))
+        return run_ids[_laid(run_sizes, of)], np.add.reduceat(np.append(run_sizes[of], 0), first) * (parts > 0) if n else parts
+
+    def texts(self, slices: list[pa.Array]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """For each slice of texts, their ids one after another, and where each text's end. Distinct words of all slices are encoded once."""
+        split = [pc.ascii_split_whitespace(x) for x in slices]
+        lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in split]
+        coded = pa.chunked_array([x.flatten().dictionary_encode() for x in split]).unify_dictionaries()
+        del split
+        ids, sizes = self.words(coded.chunk(0).dictionary)
+        for chunk, words in zip(coded.chunks, lengths, strict=True):
+            at = chunk.indices.to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])
+            yield ids[_laid(sizes, at)].tobytes(), ends[np.cumsum(words)]
+
+
+def _laid(sizes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places, in a row of items of these sizes, of the contents of items `of`, one after another."""
+    each = sizes[of]
+    shift = (np.cumsum(sizes) - sizes)[of] - (np.cumsum(each) - each)
+    return np.repeat(shift, each) + np.arange(int(each.sum()))
 
 
 def _parts(column: pa.Array, most: int) -> Iterator[tuple[pa.Array, int, bool]]:
@@ -157,6 +181,13 @@ def _parts(column: pa.Array, most: int) -> Iterator[tuple[pa.Array, int, bool]]:
             at = cut
 
 
+def _tokens(tokenizer: WordTokenizer, column: pa.Array, s: Settings) -> Iterator[tuple[tuple[bytes, np.ndarray], int, bool]]:
+    """What texts() gives for each of the _parts() of a column, with the part's first row and whether it is at its text's end."""
+    parts = _parts(column, s.slice)
+    while held := list(itertools.islice(parts, s.window)):
+        yield from zip(tokenizer.texts([x for x, _, _ in held]), [f for _, f, _ in held], [e for _, _, e in held], strict=True)
+
+
 def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings(), end: int = 0) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of the tokenised documents, each followed by the id `end`."""
     s, tail = settings, np.array([end], "<u4").tobytes()
@@ -166,8 +197,7 @@ def cut(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for b in batches:
             rows: list[tuple] = []
             names, left, piece = b.column(0).to_pylist(), b"", 0  # ids of an unfinished text that wait for more, and its pieces so far
-            for texts, first, ended in _parts(b.column(1), s.slice):
-                ids, ends = tokenizer.texts(texts)
+            for (ids, ends), first, ended in _tokens(tokenizer, b.column(1), s):
                 ids, at = memoryview(ids), 0
                 for k, stop in enumerate((ends * 4).tolist()):
                     own = memoryview(left + ids[at:stop]) if left else ids[at:stop]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.mixing import Settings, apply_mix, mix
 from tessera.llm.packing import Settings as Packing
-from tessera.llm.packing import cut, pack, plan
+from tessera.llm.packing import WordTokenizer, cut, pack, plan
 
 
 def documents(seed=1, n=300):
@@ -165,3 +165,18 @@ def test_pack_leaves_other_columns_alone(spark):
     assert got.columns == [*pieces.columns, "sequence_id", "offset_"]
     rows = got.collect()
     assert len({r.sequence_id for r in rows}) == 20 and {(r.h_, r.b_ - r.doc_id, r.rank_, r.offset) for r in rows} == {("x", 0, "y", "z")}
+
+
+def test_ids_of_odd_texts():
+    """Ids put together from distinct words against the whole tokenizer, on texts of odd characters."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own, rng = Tokenizer.from_file(path), WordTokenizer(path), random.Random(5)
+    bits = [*"abcXYZ éßÀñİıſŉŐ.,;'’-_0123¼²<|>日本   ́é😀ﬁΣς\t\n", "<|endoftext|>", "it's", "'LL", "don't.", "a.b", "x,", "É", "NAÏVE,", "ǅ"]
+    for _ in range(60):
+        slices = [["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(9)] for _ in range(2)]
+        for texts, (ids, ends) in zip(slices, own.texts([pa.array(x) for x in slices]), strict=True):
+            want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            assert np.frombuffer(ids, "<u4").tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()

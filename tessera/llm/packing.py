@@ -102,8 +102,14 @@ class WordTokenizer:
             runs += [r.encode() for r in found]
             counts.append(len(found))
             ids.append(None)
-        odd = iter(self.whole.encode_batch_fast([t for t in ids if t is not None], add_special_tokens=False))
-        return runs, counts, [None if t is None else np.array(next(odd).ids, "<u4").tobytes() for t in ids]
+        odd = self._encoded([t for t in ids if t is not None])
+        return runs, counts, [None if t is None else next(odd) for t in ids]
+
+    def _encoded(self, texts: list[str], most: int = 5_000) -> Iterator[bytes]:
+        """The ids of texts by the whole tokenizer, some at a time: it holds far more of a text than its ids."""
+        for k in range(0, len(texts), most):
+            for e in self.whole.encode_batch_fast(texts[k : k + most], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has."""
@@ -119,7 +125,9 @@ class WordTokenizer:
         every = pa.concat_arrays([pc.ascii_lower(words.filter(pa.array(alpha))), pc.ascii_lower(body.filter(pa.array(marked))), pa.array([*runs, b".", b","], pa.binary()).cast(text)]).dictionary_encode()
         at = every.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = as_bytes(every.dictionary)
-        run_ids = np.array(self.runs.encode_batch_fast([b" ".join(known).decode()], add_special_tokens=False)[0].ids, "<u4")
+        # some at a time, for the same reason
+        parts = [known[k : k + 20_000] for k in range(0, len(known), 20_000)]
+        run_ids = np.concatenate([np.array(self.runs.encode_batch_fast([b" ".join(x).decode()], add_special_tokens=False)[0].ids, "<u4") for x in parts])
         run_ends = np.flatnonzero(self.ends[run_ids]) + 1
         if len(run_ends) != len(known):
             raise ValueError("the tokenizer does not mark the end of every run")

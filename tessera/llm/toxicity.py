@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,29 +83,66 @@ def _words(text: bytes | None) -> list[str]:
     return re.findall(r"[^\W\d_]+", text.decode("utf-8", "replace").lower()) if text else []
 
 
+def _features(word: str, s: Settings) -> list[str]:
+    """The word itself, with $ at its end, and its beginnings."""
+    return [f"{word}$", *(word[:k] for k in range(s.shortest, min(len(word), s.longest) + 1))] if len(word) >= s.shortest else []
+
+
 def _mined(texts: DataFrame, s: Settings) -> tuple[int, list[tuple[str, int, int]]]:
-    """Number of distinct texts of (id, text), and (feature, rows, distinct contexts) of words (ending in $) and beginnings in so many of both.
+    """Number of distinct texts of (id, text), and (feature, rows, distinct contexts) of words and beginnings in so many of both.
 
-    Occurrences are spread over the tasks and counted by shuffles, after each task has thrown out repeats; a
-    context is the word before and the one after. Only features that pass come to the driver.
+    A context is the word before and the one after; each text gives a feature the context of its first
+    occurrence. Features are spread over the tasks as hashes and counted by shuffles; only those that pass
+    come to the driver, and their names after them.
     """
+    once = materialize(texts.groupBy("id", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
         for b in batches:
-            for at, n in slices(b.column(1), s.slice):
-                part = b.slice(at, n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_words(t) for t in as_bytes(part.column(1))], pa.list_(pa.string()))], names=["row", "words"])
-
-    keyed = texts.select(F.xxhash64("id", "text").alias("row"), "text")
-    split = materialize(keyed.mapInArrow(tidy(run), "row long, words array<string>"))
-    near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    seen = F.array_distinct(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"))))
-    each = split.select("row", F.explode(F.filter(seen, lambda x: F.length(x["w"]) >= s.shortest)).alias("x")).select("row", "x.w", "x.context")
-    starts = F.transform(F.sequence(F.lit(s.shortest), F.least(F.length("w"), F.lit(s.longest))), lambda k: F.substring(F.col("w"), F.lit(1), k))
-    features = each.select("row", "context", F.explode(F.array_append(starts, F.concat("w", F.lit("$")))).alias("f"))
-    tally = lambda by, name: features.groupBy("f", by).agg(F.lit(1).alias("one")).groupBy("f").agg(F.count("*").alias(name)).filter(F.col(name) >= s.contexts)
-    found = tally("row", "rows").join(tally("context", "contexts"), "f").collect()
-    return split.select("row").distinct().count(), [(r["f"], r["rows"], r["contexts"]) for r in found]
+            for at, n in slices(b.column(0), s.slice):
+                yield from map(_words, as_bytes(b.column(0).slice(at, n)))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for words in words_of(batches):
+            first: dict[str, int] = {}
+            for k, w in enumerate(words):
+                first.setdefault(w, k)
+            found, contexts = [], []
+            for w, k in first.items():
+                if w not in known:
+                    known[w] = np.array([_hash(f) for f in _features(w, s)], np.int64)
+                if len(known[w]):
+                    found.append(known[w])
+                    contexts.append(_hash(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}"))
+            if found:
+                sizes = [len(x) for x in found]
+                each, at = np.unique(np.concatenate(found), return_index=True)  # a beginning's first word counts
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.repeat(np.array(contexts, np.int64), sizes)[at])], names=["f", "context"])
+            if len(known) > 200_000:
+                known.clear()
+
+    pairs = once.select("text").mapInArrow(tidy(emit), "f long, context long").groupBy("f", "context").agg(F.count("*").alias("n"))
+    passed = pairs.groupBy("f").agg(F.sum("n").alias("rows"), F.count("*").alias("contexts")).filter((F.col("rows") >= s.contexts) & (F.col("contexts") >= s.contexts)).collect()
+    counts = {r["f"]: (r["rows"], r["contexts"]) for r in passed}
+    wanted = frozenset(counts)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for words in words_of(batches):
+            new = set(words) - seen
+            seen |= new
+            names = sorted({f for w in new for f in _features(w, s) if _hash(f) in wanted})
+            yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string())})
+
+    names = [r["f"] for r in once.select("text").mapInArrow(tidy(name), "f string").distinct().collect()]
+    return once.count(), [(f, *counts[_hash(f)]) for f in names]
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def _ratio(a: float, n1: float, b: float, n0: float) -> float:
@@ -160,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     wanted = frozenset(r[0] for r in ready)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, times = Counter(), Counter()
+        docs_, times, known = Counter(), Counter(), {}
         for b in batches:
             for t in (t for at, n in slices(b.column(1), s.slice) for t in as_bytes(b.column(1).slice(at, n))):
                 words = Counter(_words(t))
@@ -168,11 +206,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 times[""] += sum(words.values())
                 hit: Counter = Counter()
                 for w, n in words.items():
-                    for f in (f"{w}$", *(w[:k] for k in range(s.shortest, min(len(w), s.longest) + 1))):
-                        if f in wanted:
-                            hit[f] += n
+                    if w not in known:
+                        known[w] = [f for f in _features(w, s) if f in wanted]
+                    for f in known[w]:
+                        hit[f] += n
                 docs_.update(hit.keys())
                 times.update(hit)
+                if len(known) > 200_000:
+                    known.clear()
         if docs_:
             yield pa.RecordBatch.from_pydict({"f": list(docs_), "r": pa.array(docs_.values(), pa.int64()), "k": pa.array([times[f] for f in docs_], pa.int64())})
 

@@ -191,12 +191,14 @@ def test_mining_against_plain_counts(spark):
     n, got = tox._mined(spark.createDataFrame(rows, "id long, text string"), s)
     texts, in_rows, contexts = set(rows), {}, {}
     for r in texts:
-        words = tox._words((r[1] or "").encode())
+        words, mine = tox._words((r[1] or "").encode()), {}
         for k, w in enumerate(words):
             context = (words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
             for f in [w + "$"] * (len(w) >= 3) + [w[:j] for j in range(3, min(12, len(w)) + 1)]:
-                in_rows.setdefault(f, set()).add(r)
-                contexts.setdefault(f, set()).add(context)
+                mine.setdefault(f, context)
+        for f, context in mine.items():
+            in_rows.setdefault(f, set()).add(r)
+            contexts.setdefault(f, set()).add(context)
     assert n == len(texts)
     assert sorted(got) == sorted((f, len(x), len(contexts[f])) for f, x in in_rows.items() if len(x) >= 3 and len(contexts[f]) >= 3)
 

@@ -11,10 +11,13 @@ import threading
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from tessera import config as configs
 from tessera.operators import fixes, reports
 from tessera.operators.violations import failing
-from tessera.plans.engine import Config, Outcome, check, check_incremental
+from tessera.operators.gates import admits_any_path
+from tessera.plans.engine import Config, Outcome, check, check_incremental, declared_files
 from tessera.sources import files as scans
 
 
@@ -35,14 +38,14 @@ def explanation(config: Config, rule: str) -> str:
     raise configs.ConfigError(f"no rule `{rule}` is configured")
 
 
-def render(spark, outcome: Outcome, config: Config, form: str, warn_only: bool) -> str:
+def render(spark, outcome: Outcome, config: Config, form: str, warn_only: bool) -> Iterator[str]:
+    """The report in pieces, as they are to be written."""
     if form == "json":
         return reports.json_report(outcome.violations, outcome.discovered.count(), outcome.parsed.count(), warn_only)
     if form == "sarif":
         return reports.sarif_report(outcome.violations)
-    if form == "agent":
-        return reports.agent_report(outcome.violations, cards(spark, config))
-    return "\n".join(reports.human(outcome.violations))
+    lines = reports.agent_report(outcome.violations, cards(spark, config)) if form == "agent" else reports.human(outcome.violations)
+    return (f"{x}\n" for x in lines)
 
 
 def write_fixes(root: str, files, violations) -> int:
@@ -54,16 +57,34 @@ def write_fixes(root: str, files, violations) -> int:
     return n
 
 
-def run(spark, root: str, config: Config, today: str, paths: list[str] | None = None, fix: bool = False, unused: bool = False, store: str | None = None) -> Outcome:
+def side_reader(root: str):
+    """Reads a declared file below root; one that a link leads out of it is refused."""
+    base = Path(root).resolve()
+
+    def read(path: str) -> bytes | None:
+        at = Path(base, path).resolve()
+        if not at.is_relative_to(base):
+            raise configs.ConfigError(f"`{path}` lies outside the project")
+        return at.read_bytes() if at.is_file() else None
+
+    return read
+
+
+def run(spark, root: str, config: Config, today: str, paths: list[str] | None = None, fix: bool = False, unused: bool = False, store: str | None = None, profile: bool = False) -> Outcome:
     """paths: the selection to look at; null is everything that discovery finds, on which whole-corpus rules run too."""
     known = scans.walk(root, config.include, config.exclude)
-    chosen = known if paths is None else sorted(set(known) & set(paths))
-    files = scans.scan_paths(spark, root, chosen)
+    chosen = spark.createDataFrame([(p,) for p in known], "file string")
+    if paths is not None:
+        chosen = scans.narrowed(chosen, spark.createDataFrame([(p,) for p in paths], "file string"))
+    # a file that no rule admits by its path is listed, but not read
+    files = scans.scan_listed(chosen.filter(admits_any_path(F.col("file"), scans.language_of(F.col("file")), config.active())), root)
+    listed = chosen.filter(scans.language_of(F.col("file")).isNotNull())
+    sides = declared_files(config.active(), side_reader(root))
 
     def once() -> Outcome:
         if store:
-            return check_incremental(spark, files, config, today, store, paths is None, unused)
-        return check(spark, files, config, today, paths is None, unused)
+            return check_incremental(spark, files, config, today, store, paths is None, unused, sides, listed)
+        return check(spark, files, config, today, paths is None, unused, sides, profile, listed)
 
     out = once()
     # what was fixed is looked at again
@@ -111,6 +132,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     parser.add_argument("--warn-only", action="store_true")
     parser.add_argument("--report-unused", action="store_true")
     parser.add_argument("--store", help="folder of the result cache")
+    parser.add_argument("--profile", action="store_true", help="say on stderr what each rule cost; not with --store")
     parser.add_argument("--today", help="date that directives expire against; the current one in UTC by default")
     a = parser.parse_args(argv)
     try:
@@ -130,9 +152,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
             spark = local_session(memory="2g")
         with time_limit(spark, limits.whole):
-            out = run(spark, a.root, config, today, paths, a.fix, a.report_unused, a.store)
-            text, code = render(spark, out, config, a.format, a.warn_only), failing(out.violations, a.warn_only).first()["exit_code"]
-        print(text)
+            out = run(spark, a.root, config, today, paths, a.fix, a.report_unused, a.store, a.profile)
+            code = failing(out.violations, a.warn_only).first()["exit_code"]
+            for part in render(spark, out, config, a.format, a.warn_only):
+                sys.stdout.write(part)
+            sys.stdout.write("\n" if a.format in ("json", "sarif") else "")
+            if a.profile:
+                for r in reports.profile(out.timings).collect():  # one row per configured rule
+                    print(f"{r['total_ms']:10.1f} ms  {r['rule_ns']}/{r['rule_name']}  query {r['query_ms']:.1f}, handler {r['handler_ms']:.1f}, {r['matches']} matches", file=sys.stderr)
         return code
     except Exception as e:  # any failure of the run is told apart from violations
         print(f"error: {e}", file=sys.stderr)

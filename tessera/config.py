@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import importlib.util
 import json
 from dataclasses import dataclass
@@ -52,6 +53,16 @@ def _factory(name: str, base: Path, options: dict) -> Rule:
         if not isinstance(made, Rule):
             raise ConfigError(f"rule `{name}` exports neither `rule` nor `make`")
         return made
+    if ":" in name:  # an installed package's factory, module:name
+        module, _, attribute = name.partition(":")
+        try:
+            made = getattr(importlib.import_module(module), attribute)
+        except (ImportError, AttributeError) as e:
+            raise ConfigError(f"rule `{name}`: {e}") from None
+        made = made if isinstance(made, Rule) else made(**options)
+        if not isinstance(made, Rule):
+            raise ConfigError(f"rule `{name}` is none")
+        return made
     known = name if name in builtin.FACTORIES else f"{builtin.NAMESPACE}/{name.rpartition('/')[2]}"
     if known not in builtin.FACTORIES or "/" in name and not name.startswith(f"{builtin.NAMESPACE}/"):
         raise ConfigError(f"unknown rule `{name}`")
@@ -97,12 +108,31 @@ def parse(text: str, base: Path) -> tuple[Config, Limits]:
         rules.append(_factory(entry["rule"], base, entry.get("options", {})))
     if len({r.id for r in rules}) < len(rules):
         raise ConfigError("a rule is listed twice")
-    config = Config(rules, include, exclude, severity, ["local", *namespaces])
-    return config, Limits(timeouts.get("rule", Limits.rule), timeouts.get("global", Limits.whole))
+    limits = Limits(timeouts.get("rule", Limits.rule), timeouts.get("global", Limits.whole))
+    return Config(rules, include, exclude, severity, ["local", *namespaces], timeout_ms=limits.rule), limits
+
+
+def program(path: Path) -> tuple[Config, Limits]:
+    """A configuration that a Python file makes: its `config`, and `limits` if it has any."""
+    spec = importlib.util.spec_from_file_location("tessera_config", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    config, limits = getattr(module, "config", None), getattr(module, "limits", Limits())
+    if not isinstance(config, Config) or not isinstance(limits, Limits):
+        raise ConfigError("a configuration program has a `config`, of Config, and may have `limits`, of Limits")
+    config.timeout_ms = limits.rule
+    return config, limits
 
 
 def load(path: str | Path) -> tuple[Config, Limits]:
     path = Path(path)
+    if path.suffix == ".py":
+        try:
+            return program(path)
+        except ConfigError as e:
+            raise ConfigError(f"{path}: {e}") from None
+        except Exception as e:
+            raise ConfigError(f"{path}: {type(e).__name__}: {e}") from e
     try:
         text = path.read_text("utf-8")
     except (OSError, UnicodeDecodeError) as e:

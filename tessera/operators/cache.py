@@ -38,14 +38,20 @@ def valid_keys(reads: DataFrame, current: DataFrame) -> DataFrame:
     return reads.join(now, "path", "left").groupBy("key").agg(F.bool_and(F.col("hash").eqNullSafe(F.col("now"))).alias("fresh")).filter("fresh").select("key")
 
 
-def split_hits(files: DataFrame, cache: DataFrame, stale: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): files whose dated or plain key is cached and not stale. A file with an expiry has only dated keys."""
-    known = cache.select("key").distinct().join(stale, "key", "left_anti")
-    dated = files.join(known.withColumnRenamed("key", "dated_key"), "dated_key", "left_semi").withColumn("hit_key", F.col("dated_key"))
-    rest = files.join(dated.select("file"), "file", "left_anti").filter(~F.contains("source", F.lit("expires:")))
-    plain = rest.join(known, "key", "left_semi").withColumn("hit_key", F.col("key"))
-    hits = dated.select(*files.columns, "hit_key").unionByName(plain.select(*files.columns, "hit_key"))
-    return hits, files.join(hits.select("file"), "file", "left_anti")
+def hits(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """(file, and the fields of entries) of files (file, key, dated_key, dated) that are cached.
+
+    A file is found by its dated key, or by its plain one unless it names an expiry (dated).
+    """
+    either = files.select("file", F.explode(F.array_compact(F.array("dated_key", F.when(~F.col("dated"), F.col("key"))))).alias("key"))
+    return either.join(entries, "key").groupBy("file").agg(F.min_by(F.struct(*entries.columns), "key").alias("x")).select("file", "x.*")
+
+
+def stale_keys(reads: DataFrame, sides: dict[str, tuple[str | None, str | None]]) -> DataFrame:
+    """Keys some of whose recorded reads (key, path, hash) are no longer as they were; sides: the text and digest of the files that rules may read."""
+    spark = reads.sparkSession
+    now = spark.createDataFrame([(p, h) for p, (_, h) in sides.items() if h is not None], "path string, hash string")
+    return reads.select("key").distinct().join(valid_keys(reads, now), "key", "left_anti")
 
 
 def merged(old: DataFrame, new: DataFrame, whole: bool) -> DataFrame:
@@ -57,18 +63,18 @@ def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The stored entries; none if there is no store or it cannot be read."""
     try:
         found = spark.read.schema(schema).parquet(path)
-        found.agg(F.max("key")).collect()
+        found.agg(F.max(found.columns[0])).collect()
         return found
     except (PySparkException, Py4JError):  # a damaged store is an empty one
         return spark.createDataFrame([], schema)
 
 
-def save(entries: DataFrame, store: str) -> None:
+def save(entries: DataFrame, store: str, name: str = "entries") -> None:
     """Write entries beside the stored ones and then take their place, so that a broken run leaves the old ones."""
     spark = entries.sparkSession
-    entries.write.mode("overwrite").parquet(f"{store}/next")
+    entries.write.mode("overwrite").parquet(f"{store}/next-{name}")
     jvm = spark._jvm
-    here, to = (jvm.org.apache.hadoop.fs.Path(f"{store}/{n}") for n in ("next", "entries"))
+    here, to = (jvm.org.apache.hadoop.fs.Path(f"{store}/{n}") for n in (f"next-{name}", name))
     fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(to, True)
     fs.rename(here, to)

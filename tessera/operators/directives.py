@@ -27,8 +27,12 @@ def tokens(prefix: str) -> tuple[str, str]:
     return f"{prefix}-disable-next-line", f"{prefix}-disable-file"
 
 
-def scan(files: DataFrame, prefix: str = "tessera") -> tuple[DataFrame, DataFrame]:
-    """files (file, source) -> (directives, malformed).
+#: A directive as it stands in a file; problem is null for a valid one.
+FOUND = "struct<scope:string,rules:array<string>,reason:string,expires:string,line:int,column:int,problem:string>"
+
+
+def found(files: DataFrame, prefix: str = "tessera") -> DataFrame:
+    """files (file, source) -> all directives, valid and malformed: file and the fields of FOUND.
 
     One directive per line, the earlier of the two tokens; a token stands alone: no word character beside
     it and no hyphen after it.
@@ -58,11 +62,18 @@ def scan(files: DataFrame, prefix: str = "tessera") -> tuple[DataFrame, DataFram
         .when(F.col("reason") == "", F.concat(F.lit("suppression has an empty `reason:`; write: "), "token", F.lit(" <rule-id> reason: why this is acceptable")))
     )
     rows = rows.withColumn("problem", problem)
-    malformed = rows.filter("problem IS NOT NULL").select("file", "line", "column", "problem")
-    valid = rows.filter("problem IS NULL").select(
-        "file", F.col("line").alias("idx"), F.when(F.col("token") == nxt, "next_line").otherwise("file").alias("scope"), F.col("ids").alias("rules"), "reason", F.col("until").alias("expires"), "line", "column",
-    )
-    return valid, malformed
+    return rows.select("file", F.when(F.col("token") == nxt, "next_line").otherwise("file").alias("scope"), F.col("ids").alias("rules"), "reason", F.col("until").alias("expires"), "line", "column", "problem")
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(directives, malformed) of what found() gives."""
+    valid = rows.filter("problem IS NULL").select("file", F.col("line").alias("idx"), "scope", "rules", "reason", "expires", "line", "column")
+    return valid, rows.filter("problem IS NOT NULL").select("file", "line", "column", "problem")
+
+
+def scan(files: DataFrame, prefix: str = "tessera") -> tuple[DataFrame, DataFrame]:
+    """files (file, source) -> (directives, malformed)."""
+    return split(found(files, prefix))
 
 
 def covered(violations: DataFrame, directives: DataFrame) -> DataFrame:

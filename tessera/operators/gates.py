@@ -34,6 +34,12 @@ def admits_path(path: Column, gates: Gates) -> Column:
     return selects(path, gates.path_matches, gates.path_not_matches)
 
 
+def admits_any_path(path: Column, language: Column, rules: list) -> Column:
+    """Whether some rule's language and path gate let a file in: all that can be known of it before it is read."""
+    fits = [language.isin(*r.languages) & admits_path(path, r.gates) for r in rules]
+    return F.coalesce(reduce(lambda a, b: a | b, fits, F.lit(False)), F.lit(False))
+
+
 def admits_content(source: Column, gates: Gates) -> Column:
     """None of file_not_contains, all of file_contains; an empty needle is always contained."""
     wanted = reduce(lambda a, b: a & b, (F.contains(source, F.lit(n)) for n in gates.file_contains), F.lit(True))
@@ -43,12 +49,11 @@ def admits_content(source: Column, gates: Gates) -> Column:
 def admitted(files: DataFrame, rules: list, content: bool) -> DataFrame:
     """files with `rules`: indices of the rules that their language, path and, if asked, content let run; files without any go.
 
-    Rules are a list of the configuration, so they become one projection, not a join.
+    Rules are those of a configuration that are not off by its word; they become one projection, not a join.
     """
     def fits(r) -> Column:
         ok = F.col("language").isin(*r.languages) & admits_path(F.col("file"), r.gates)
         return ok & admits_content(F.col("source"), r.gates) if content else ok
 
-    active = [(i, r) for i, r in enumerate(rules) if r.severity != "off"]
-    found = F.array_compact(F.array(*(F.when(fits(r), F.lit(i)) for i, r in active))) if active else F.array().cast("array<int>")
+    found = F.array_compact(F.array(*(F.when(fits(r), F.lit(i)) for i, r in enumerate(rules)))) if rules else F.array().cast("array<int>")
     return files.withColumn("rules", found).filter(F.size("rules") > 0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +37,20 @@ def json_rows(violations: DataFrame) -> DataFrame:
     return violations.withColumn("json", F.to_json(item))
 
 
-def json_report(violations: DataFrame, files_discovered: int, files_parsed: int, warn_only: bool = False) -> str:
-    rows = [json.loads(r["json"]) for r in canonical(json_rows(violations)).select("json").toLocalIterator()]
-    ok = warn_only or not any(r["severity"] == "error" for r in rows)
-    return json.dumps({"version": 1, "ok": ok, "total": len(rows), "files_discovered": files_discovered, "files_parsed": files_parsed, "warn_only": warn_only, "violations": rows}, indent=2, ensure_ascii=False)
+def json_report(violations: DataFrame, files_discovered: int, files_parsed: int, warn_only: bool = False) -> Iterator[str]:
+    """The document in pieces: violations are streamed from one partition after another and never held together."""
+    sums = violations.agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("errors")).first()
+    head = {"version": 1, "ok": warn_only or not sums["errors"], "total": sums["n"], "files_discovered": files_discovered, "files_parsed": files_parsed, "warn_only": warn_only}
+    yield json.dumps(head, indent=2)[:-2] + ',\n  "violations": ['
+    yield from _items((json.loads(r["json"]) for r in canonical(json_rows(violations)).select("json").toLocalIterator()), 4)
+    yield "\n  ]\n}" if sums["n"] else "]\n}"
+
+
+def _items(rows: Iterable[dict], indent: int) -> Iterator[str]:
+    """The entries of a JSON list, each in pieces of its own."""
+    for k, row in enumerate(rows):
+        text = json.dumps(row, indent=2, ensure_ascii=False).replace("\n", "\n" + " " * indent)
+        yield f"{',' if k else ''}\n{' ' * indent}{text}"
 
 
 def rule_index(violations: DataFrame) -> DataFrame:
@@ -51,37 +61,42 @@ def rule_index(violations: DataFrame) -> DataFrame:
     return violations.join(numbered, ["rule_ns", "rule_name"])
 
 
-def sarif_report(violations: DataFrame, tool: str = "tessera", version: str = "0.1.0") -> str:
-    rows = [r.asDict() for r in canonical(rule_index(violations)).toLocalIterator()]
-    rules = {r["rule_index"]: {"id": f"{r['rule_ns']}/{r['rule_name']}", "help": {"text": r["remediation"]}} for r in rows}
-    results = [
-        {
-            "ruleId": f"{r['rule_ns']}/{r['rule_name']}", "ruleIndex": r["rule_index"], "level": LEVELS.get(r["severity"], "note"), "message": {"text": r["message"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["line"], "startColumn": r["column"]}}}],
-        }
-        for r in rows
-    ]
-    driver = {"name": tool, "version": version, "rules": [rules[k] for k in sorted(rules)]}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False)
+def sarif_report(violations: DataFrame, tool: str = "tessera", version: str = "0.1.0") -> Iterator[str]:
+    """The document in pieces; rules that fired, which are of the configuration, come first, results are streamed."""
+    indexed = rule_index(violations)
+    fired = indexed.groupBy("rule_index", "rule_ns", "rule_name").agg(F.first("remediation").alias("help")).orderBy("rule_index").collect()
+    driver = {"name": tool, "version": version, "rules": [{"id": f"{r['rule_ns']}/{r['rule_name']}", "help": {"text": r["help"]}} for r in fired]}
+    head = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": []}]}
 
+    def result(r) -> dict:
+        where = {"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["line"], "startColumn": r["column"]}}}
+        return {"ruleId": f"{r['rule_ns']}/{r['rule_name']}", "ruleIndex": r["rule_index"], "level": LEVELS.get(r["severity"], "note"), "message": {"text": r["message"]}, "locations": [where]}
 
-def agent_groups(violations: DataFrame, cards: DataFrame) -> DataFrame:
-    """One row per rule: its card once, and its locations; a location's own message only where it is not the card's.
+    before, _, after = json.dumps(head, indent=2, ensure_ascii=False).rpartition('"results": []')
+    yield before + '"results": ['
+    yield from _items(map(result, canonical(indexed).toLocalIterator()), 8)
+    yield ("\n      ]" if fired else "]") + after
 
-    cards: rule_ns, rule_name, card_message, card_remediation.
-    """
-    own = F.when(F.col("message") != F.col("card_message"), F.col("message"))
-    item = F.struct("file", "line", "column", own.alias("message"))
-    joined = violations.join(cards, ["rule_ns", "rule_name"], "left")
-    return joined.groupBy("rule_ns", "rule_name").agg(F.first("card_message", ignorenulls=True).alias("message"), F.first(F.coalesce("card_remediation", "remediation")).alias("remediation"), F.count("*").alias("n"), F.sort_array(F.collect_list(item)).alias("locations"))
 
+def agent_rows(violations: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row per violation: its rule's card, and its own message only where it is not the card's. Sorted, rows of a rule stand together, so no rule's locations become one row.
 
-def agent_report(violations: DataFrame, cards: DataFrame) -> str:
-    out = []
-    for g in agent_groups(violations, cards).orderBy("rule_ns", "rule_name").toLocalIterator():
-        out += [f"{g['rule_ns']}/{g['rule_name']}: {g['message']}", f"  fix: {g['remediation']}"]
-        out += [f"  {x['file']}:{x['line']}:{x['column']}" + (f" {x['message']}" if x["message"] else "") for x in g["locations"]]
-    return "\n".join(out)
+    cards: rule_ns, rule_name, card_message, card_remediation; one row per configured rule.
+    """
+    own = F.when(~F.col("message").eqNullSafe(F.col("card_message")), F.col("message"))
+    joined = violations.join(cards, ["rule_ns", "rule_name"], "left")
+    return joined.select("rule_ns", "rule_name", "file", "line", "column", F.col("card_message").alias("card"), F.coalesce("card_remediation", "remediation").alias("remediation"), own.alias("message"))
+
+
+def agent_report(violations: DataFrame, cards: DataFrame) -> Iterator[str]:
+    """The report's lines, streamed: a rule's card once, then its locations."""
+    rule = None
+    for r in canonical(agent_rows(violations, cards), "message").toLocalIterator():
+        if rule != (r["rule_ns"], r["rule_name"]):
+            rule = (r["rule_ns"], r["rule_name"])
+            yield f"{'/'.join(rule)}: {r['card']}"
+            yield f"  fix: {r['remediation']}"
+        yield f"  {r['file']}:{r['line']}:{r['column']}" + (f" {r['message']}" if r["message"] else "")
 
 
 def profile(timings: DataFrame) -> DataFrame:

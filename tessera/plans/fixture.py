@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import builtin
 from tessera.plans.engine import Config, Outcome, check
-from tessera.plans.rule import Card, Found, Rule, captured, report
+from tessera.plans.rule import Card, Rule, captured, report
 from tessera.sources.files import scan_texts
 
 #: Line of the debugger statement: two imports, eight functions of four lines, a class of fifteen.
@@ -26,7 +26,7 @@ def source_files(spark: SparkSession, n: int = 2_000) -> DataFrame:
 
 
 def no_debugger() -> Rule:
-    return Rule("local/no-debugger", "(debugger_statement) @at", Card("debugger statement", "remove it", "debugger", "log(x)"), lambda m: Found(report(m, captured("at"))))
+    return Rule("local/no-debugger", "(debugger_statement) @at", Card("debugger statement", "remove it", "debugger", "log(x)"), lambda: [report(captured("at"))])
 
 
 def twenty_rules() -> list[Rule]:
@@ -35,7 +35,7 @@ def twenty_rules() -> list[Rule]:
     queries = ("(debugger_statement) @n", "(export_statement) @n", "(class_declaration) @n", "(import_statement) @n", "(function_declaration) @n")
     for k in range(18):
         name = "debugger" if k % 5 == 0 else "nothing"
-        rules.append(Rule(f"local/r{k}", queries[k % 5], Card("found", "remove", "a", "b"), lambda m, hit=name: Found(report(m.filter(captured("n")["text"] == hit), captured("n")))))
+        rules.append(Rule(f"local/r{k}", queries[k % 5], Card("found", "remove", "a", "b"), lambda hit=name: [report(captured("n"), when=captured("n")["text"] == hit)]))
     return rules
 
 

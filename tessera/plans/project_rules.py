@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.globs import star_to_regex
 from tessera.operators.gates import Gates
-from tessera.plans.rule import Card, Found, Rule, RuleError, captured, report
+from tessera.plans.handlers import Context, handler
+from tessera.plans.rule import Card, Emit, Rule, RuleError, captured, report
+from tessera.sources.tree import Node
 
 #: What each rule looks for.
 PROCESS_TOKENS = ("std::net", "process::Command", "TcpStream", "UdpSocket")
@@ -27,7 +29,7 @@ def _in_tests() -> Column:
 
 def _scope(name: str, scope: list[str] | None) -> list[str]:
     if not scope:
-        raise RuleError(f"local/{name} needs a non-empty `scope`; with none it silently checks nothing")
+        raise RuleError(f"local/{name} has no `scope`: name the folders that it is for")
     return scope
 
 
@@ -40,72 +42,81 @@ _CALLS = "(call_expression function: (scoped_identifier) @callee) @call"
 
 
 def one_parser_per_file(allow: list[str] | None = None, suffix: str = "Parser::new") -> Rule:
-    def check(m: DataFrame) -> Found:
+    def check() -> list[Emit]:
         tests = F.exists(captured("call")["attributes"], lambda a: a.rlike("(?<![A-Za-z0-9_])test(?![A-Za-z0-9_])"))
         free = _any(F.col("file").rlike(star_to_regex(p)) for p in allow or [])
         hit = F.endswith(captured("callee")["text"], F.lit(suffix)) & ~free & ~F.coalesce(tests, F.lit(False))
-        return Found(report(m.filter(hit), captured("call"), F.lit("a second parser means this file is parsed more than once, which is invisible except as time")))
+        return [report(captured("call"), F.lit("this file would be parsed twice: the run has its tree already"), when=hit)]
 
-    card = Card("parser constructed outside the shared parse", "take the tree from the file-level parse", "let mut p = Parser::new();", "let tree = file_tree.clone();")
+    card = Card("own parser", "work on the tree that the run made of the file", "let p = Parser::new();", "fn check(tree: &Tree) {}")
     return Rule("local/one-parser-per-file", _CALLS, card, check, languages=("rust",), gates=Gates(file_contains=[suffix]))
 
 
 def no_ambient_authority(allow: list[str] | None = None, tokens: tuple[str, ...] = PROCESS_TOKENS) -> Rule:
-    def check(m: DataFrame) -> Found:
+    def check() -> list[Emit]:
         text = captured("path")["text"]
         hit = _any(F.contains(text, F.lit(t)) for t in tokens) & ~_in_tests() & ~F.col("file").isin(*(allow or [""]))
-        return Found(report(m.filter(hit), captured("site"), F.concat(F.lit("`"), text, F.lit("` reaches outside this process"))))
+        return [report(captured("site"), F.concat(F.lit("`"), text, F.lit("` talks to something other than this program")), when=hit)]
 
-    card = Card("network or subprocess reached", "take the value as a parameter", "use std::process::Command;", "// a parameter from the caller that has it")
+    card = Card("sockets or child processes in a library", "let the caller do it and pass the outcome in", "use std::net::TcpStream;", "fn load(fetch: impl Fn(&str) -> String) {}")
     return Rule("local/no-ambient-authority", _PATHS, card, check, languages=("rust",))
 
 
 def tracked_reads_only(scope: list[str] | None = None, allow: list[str] | None = None) -> Rule:
     scope = _scope("tracked-reads-only", scope)
 
-    def check(m: DataFrame) -> Found:
+    def check() -> list[Emit]:
         text = captured("path")["text"]
         hit = F.array_contains(F.split(text, "::"), "fs") & _within(scope) & ~F.col("file").isin(*(allow or [""]))
-        return Found(report(m.filter(hit), captured("site"), F.concat(F.lit("`"), text, F.lit("` reads without recording a dependency"))))
+        return [report(captured("site"), F.concat(F.lit("`"), text, F.lit("` is a read that the cache does not learn of")), when=hit)]
 
-    card = Card("filesystem read that records no cache dependency", "go through the tracked reader", "let text = std::fs::read_to_string(path)?;", "let text = access.read(path)?;")
+    card = Card("file read behind the cache's back", "read through the context, which notes what was read", "let s = std::fs::read(p)?;", "let s = ctx.read(p)?;")
     return Rule("local/tracked-reads-only", _PATHS, card, check, languages=("rust",), gates=Gates(file_contains=["fs::"]))
 
 
 def no_ambient_observation(scope: list[str] | None = None, allow: list[str] | None = None) -> Rule:
     scope = _scope("no-ambient-observation", scope)
 
-    def check(m: DataFrame) -> Found:
+    def check() -> list[Emit]:
         text = captured("callee")["text"]
         hit = _any(F.endswith(text, F.lit(t)) for t in OBSERVATIONS) & _within(scope) & ~F.col("file").isin(*(allow or [""]))
-        return Found(report(m.filter(hit), captured("call"), F.concat(F.lit("`"), text, F.lit("` is an input that the cache key does not have"))))
+        return [report(captured("call"), F.concat(F.lit("`"), text, F.lit("` makes the result depend on when or where it is run")), when=hit)]
 
-    card = Card("the environment observed where the result is cached", "take the value as a parameter", "let today = SystemTime::now();", "fn check(today: Date) {}")
+    card = Card("clock, environment or chance in cached code", "pass what is needed as an argument", "let t = Instant::now();", "fn run(started: Instant) {}")
     return Rule("local/no-ambient-observation", _CALLS, card, check, languages=("rust",))
 
 
 def explicit_encoding() -> Rule:
     """Calls of open, read_text and write_text without encoding; open in a binary mode, by a literal, needs none."""
 
-    def check(m: DataFrame) -> Found:
-        name, words, mode = captured("fn")["text"], F.filter("captures", lambda c: c["name"] == "word"), captured("mode")
-        given = F.exists(words, lambda c: F.startswith(c["text"], F.lit("encoding")))
-        binary = (name == "open") & (F.exists(words, lambda c: c["text"].rlike("^mode\\s*=\\s*[rRbBuU]*['\"][^'\"]*b")) | F.coalesce(F.contains(mode["text"], F.lit("b")), F.lit(False)))
-        fine = m.withColumn("call_id", captured("call")["node_id"]).filter(name.isin(*TEXT_CALLS)).withColumn("fine", given | binary)
-        # a call matches once with its keywords and once more with its mode
-        bad = fine.groupBy("file", "call_id").agg(F.bool_or("fine").alias("fine"), F.min_by(F.struct("match_seq", "captures"), "match_seq").alias("x")).filter("NOT fine").select("file", "x.match_seq", "x.captures")
-        return Found(report(bad, captured("call"), F.concat(F.lit("`"), name, F.lit("` without `encoding=` depends on the locale"))))
-
-    card = Card("text read or written in the locale's encoding", "pass encoding=", "open(p)", "open(p, encoding='utf-8')")
-    call = "[(call function: (identifier) @fn arguments: {a}) (call function: (attribute attribute: (identifier) @fn) arguments: {a})] @call"
-    query = call.format(a="(argument_list (keyword_argument)* @word)") + call.format(a="(argument_list . (_) . (string) @mode)")
-    return Rule("local/py-explicit-encoding", query, card, check, languages=("python",))
+    def check(ctx: Context, m: dict[str, Node]) -> None:
+        name = ctx.text(m["fn"])
+        if name not in TEXT_CALLS:
+            return
+        given = {}
+        plain = []
+        for a in ctx.named_children(m["args"]):
+            word, eq, value = ctx.text(a).partition("=")
+            if ctx.kind(a) == "keyword_argument" and eq:
+                given[word.strip()] = value.strip()
+            else:
+                plain.append(a)
+        mode = given.get("mode", "")
+        if len(plain) > 1 and ctx.kind(plain[1]) == "string":
+            mode = ctx.text(plain[1])
+        binary = name == "open" and mode[-1:] in ("'", '"') and "b" in mode.strip("rRuUbBfF").strip("'\"")
+        if "encoding" not in given and not binary:
+            ctx.report(m["call"], f"`{name}` takes the encoding of the machine's locale")
+
+    card = Card("text file opened in whatever encoding the machine has", "name the encoding", "open(p)", "open(p, encoding='utf-8')")
+    call = "(call function: [(identifier) @fn (attribute attribute: (identifier) @fn)] arguments: (argument_list) @args) @call"
+    return Rule("local/py-explicit-encoding", call, card, handler(check), languages=("python",))
 
 
 def stdout_write() -> Rule:
-    def check(m: DataFrame) -> Found:
+    def check() -> list[Emit]:
         hit = (captured("method")["text"] == "write") & (captured("obj")["text"] == "sys.stdout")
-        return Found(report(m.filter(hit), captured("call"), F.lit("sys.stdout encodes with the locale codec")))
+        return [report(captured("call"), F.lit("what reaches sys.stdout depends on the console's encoding"), when=hit)]
 
     card = Card("text written through sys.stdout", "write bytes to sys.stdout.buffer", "sys.stdout.write(s)", "sys.stdout.buffer.write(b)")
     return Rule("local/py-stdout-buffer", "(call function: (attribute object: (_) @obj attribute: (identifier) @method)) @call", card, check, languages=("python",), gates=Gates(file_contains=["sys.stdout"]))

@@ -15,7 +15,11 @@ from tessera.schemas import SEVERITIES
 from tessera.sources.parsers import FAMILY, KINDS
 
 CAPTURE = "struct<name:string,node_id:int,kind:string,text:string,line:int,column:int,start:bigint,end:bigint,binding:string,module:string,imported:string,shadowed:boolean,attributes:array<string>>"
-MATCHES = f"file string, rule int, match_seq int, pattern_index int, captures array<{CAPTURE}>"
+FIX = "struct<start:bigint,end:bigint,replacement:string,safe:boolean>"
+#: What a match says: kind is empty for a report, starts with # for a mark of the engine's own, and is a fact's kind else.
+SAID = f"struct<kind:string,line:int,column:int,message:string,fix:{FIX},data:string>"
+#: captures: the first node of each name; said: what a handler has said, null for rules of expressions.
+MATCHES = f"file string, rule int, match_seq int, pattern_index int, captures map<string,{CAPTURE}>, said array<{SAID}>"
 
 
 class RuleError(ValueError):
@@ -37,15 +41,29 @@ class Card:
             raise RuleError("card: both examples are the same")
 
 
-@dataclass
-class Found:
-    """What check returns. reports: file, match_seq, line, column, message (null: the card's), fix (may be missing).
+@dataclass(frozen=True)
+class Emit:
+    """What a rule says about a match for which `when` holds: expressions over its file, match_seq and captures."""
 
-    facts: file, match_seq, kind, data (a JSON object).
-    """
+    kind: Column
+    when: Column | None = None
+    line: Column | None = None
+    column: Column | None = None
+    message: Column | None = None
+    fix: Column | None = None
+    data: Column | None = None
 
-    reports: DataFrame | None = None
-    facts: DataFrame | None = None
+    def said(self) -> Column:
+        kinds = {"kind": "string", "line": "int", "column": "int", "message": "string", "fix": FIX, "data": "string"}
+        row = F.struct(*[(F.lit(None) if getattr(self, n) is None else getattr(self, n)).cast(t).alias(n) for n, t in kinds.items()])
+        return row if self.when is None else F.when(self.when, row)
+
+
+@dataclass(frozen=True)
+class Handler:
+    """A check in Python: run(context, captures by name), called once per match in the task that parsed the file."""
+
+    run: Callable
 
 
 @dataclass
@@ -68,12 +86,16 @@ class Rule:
     id: str
     query: str
     card: Card
-    check: Callable[[DataFrame], Found]
+    #: What it says about a match: a function that gives expressions, or a Handler.
+    check: Callable[[], list[Emit]] | Handler
     languages: tuple[str, ...] = ("typescript", "tsx")
     severity: str = "error"
     gates: Gates = field(default_factory=Gates)
     reduce: Callable[[Corpus], DataFrame] | None = None
+    #: Budget of one call of a handler, over the configuration's.
     timeout_ms: int | None = None
+    #: Other files, by path from the project's root, that a handler may read.
+    reads: tuple[str, ...] = ()
     compiled: dict[str, list[Pattern]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
@@ -87,26 +109,34 @@ class Rule:
                 raise RuleError(f"{self.id}: unknown language `{language}`")
         if not self.query.strip():
             raise RuleError(f"{self.id}: query is empty")
-        if not callable(self.check):
+        if not isinstance(self.check, Handler) and not callable(self.check):
             raise RuleError(f"{self.id}: check is missing")
+        for path in self.reads:
+            if path.startswith("/") or ".." in path.split("/") or not path:
+                raise RuleError(f"{self.id}: `{path}` lies outside the project")
         self.card.check()
         self.compiled = {language: compile_query(self.query, KINDS[FAMILY[language]]) for language in self.languages}
 
+    def emits(self) -> list[Emit]:
+        """The expressions of a rule that is no handler."""
+        return [] if isinstance(self.check, Handler) else list(self.check())
+
 
 def captured(name: str) -> Column:
     """The first node captured under a name; null if the match has none."""
-    return F.get(F.filter("captures", lambda c: c["name"] == name), F.lit(0))
+    return F.try_element_at("captures", F.lit(name))
 
 
-def report(matches: DataFrame, at: Column, message: Column | None = None, fix: Column | None = None) -> DataFrame:
-    """One report for each match, at a captured node."""
-    empty = "struct<start:bigint,end:bigint,replacement:string,safe:boolean>"
-    return matches.select("file", "match_seq", at["line"].alias("line"), at["column"].alias("column"), (F.lit(None).cast("string") if message is None else message).alias("message"), (F.lit(None).cast(empty) if fix is None else fix).alias("fix"))
+def report(at: Column, message: Column | None = None, fix: Column | None = None, when: Column | None = None) -> Emit:
+    """A report at a captured node; without a message the card's counts."""
+    return Emit(F.lit(""), when, at["line"], at["column"], message, fix)
 
 
-def fact(matches: DataFrame, kind: str, **data: Column) -> DataFrame:
-    """One fact for each match, with a JSON object of the given fields."""
-    return matches.select("file", "match_seq", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c.alias(n) for n, c in data.items()])).alias("data"))
+def fact(kind: str | Column, when: Column | None = None, **data: Column) -> Emit:
+    """A fact with a JSON object of the given fields."""
+    if isinstance(kind, str) and (not kind or kind.startswith("#")):
+        raise RuleError("a fact needs a kind, which does not start with #")
+    return Emit(F.lit(kind) if isinstance(kind, str) else kind, when, data=F.to_json(F.struct(*[c.alias(n) for n, c in data.items()])))
 
 
 def unquoted(text: Column) -> Column:

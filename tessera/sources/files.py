@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -118,7 +118,12 @@ def walk(root: str, include: list[str] | None = None, exclude: list[str] | None
 
 
 def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """files of these paths below root. Tasks read them; a file that is gone or is no UTF-8 has no row."""
+    """files of these paths below root."""
+    return scan_listed(spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths) // 50 + 1, 10_000))), root)
+
+
+def scan_listed(listed: DataFrame, root: str) -> DataFrame:
+    """files of the listed paths (file) below root. Tasks read them; a file that is gone or is no UTF-8 has no row."""
     base = str(Path(root).resolve())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +137,6 @@ def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
                     continue
             yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string()), "source": pa.array(texts, pa.string())})
 
-    listed = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths) // 50 + 1, 10_000)))
     return _as_files(listed.mapInArrow(read, "file string, source string"))
 
 
@@ -144,12 +148,13 @@ def scan_tree(spark: SparkSession, root: str, include: list[str] | None = None,
     return scan_paths(spark, root, walk(root, include, exclude))
 
 
-def scan_store(spark: SparkSession, uri: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """files below a folder of any store that Spark reads; names that Spark hides (leading . or _) are out."""
+def scan_store(spark: SparkSession, uri: str, include: list[str] | None = None, exclude: list[str] | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """files below a folder of any store that Spark reads; names that Spark hides (leading . or _) are out. wanted: of a path, whether it is to be read at all."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(uri)
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "\\A" + re.escape(re.sub("^[a-z0-9]+:/+", "/", uri).rstrip("/")) + "/", "")
     # names are filtered before contents are read: they are metadata of the scan
     some = read.select(relative.alias("file"), "content").filter(selects(F.col("file"), include or [], exclude or []))
+    some = some if wanted is None else some.filter(wanted(F.col("file")))
     return _as_files(some.filter(F.is_valid_utf8(F.col("content"))).select("file", F.decode("content", "UTF-8").alias("source")))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from typing import NamedTuple
 
 #: Token classes, tried in order. Byte patterns, so that offsets are byte offsets.
 _COMMON = [("space", rb"[ \t\r\n\x0b\x0c]+"), ("comment", rb"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?")]
@@ -11,19 +11,19 @@ _NAME = ("name", rb"[A-Za-z_$\x80-\xff][A-Za-z0-9_$\x80-\xff]*")
 _NUMBER = ("number", rb"[0-9][A-Za-z0-9_.]*")
 _MARK = ("mark", rb"=>|\.\.\.|::|->|:=|[^\x00]")
 _STRINGS = ("string", rb"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?")
+_JS_MARK = ("mark", rb"=>|\.\.\.|===|!==|==|!=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\*\*=|\*\*|<<=|<<|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\x00]")
 LEXERS = {
-    "js": [*_COMMON, ("template", rb"`(?:[^`\\]|\\.)*`?"), _STRINGS, _NAME, _NUMBER, _MARK],
+    "js": [*_COMMON, ("template", rb"`"), _STRINGS, _NAME, _NUMBER, _JS_MARK],
     "go": [*_COMMON, ("string", rb"`[^`]*`?|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"), _NAME, _NUMBER, _MARK],
     "rust": [*_COMMON, ("string", rb"b?r(?P<h>#*)\"[\s\S]*?\"(?P=h)|b?\"(?:[^\"\\]|\\[\s\S])*\"?|b?'(?:[^'\\\n]|\\[^\n]{1,8}?)'"), ("lifetime", rb"'[A-Za-z_][A-Za-z0-9_]*"), _NAME, _NUMBER, _MARK],
 }
 _COMPILED = {k: re.compile(b"|".join(b"(?P<%s>%s)" % (n.encode(), p) for n, p in v), re.S) for k, v in LEXERS.items()}
 #: A slash after one of these starts a regular expression in JavaScript.
-_BEFORE_REGEX = frozenset(b"( [ { , ; = : ? ! & | + - * % ^ ~ < > => return typeof case in of void delete".split())
+_BEFORE_REGEX = frozenset(b"( [ { } , ; = : ? ! & | + - * % ^ ~ < > => == != === !== && || ?? += -= *= <= >= ++ -- return typeof case in of void delete".split())
 _REGEX = re.compile(rb"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     kind: str
     text: bytes
     start: int
@@ -45,13 +45,54 @@ def lex(source: bytes, family: str) -> list[Token]:
         if not m:
             at += 1
             continue
-        if m.lastgroup not in ("space", "comment"):
-            kind = next(k for k in ("template", "string", "lifetime", "name", "number", "mark") if k in m.groupdict() and m.group(k) is not None)
-            out.append(Token(kind, m.group(), at, m.end()))
-        at = m.end()
+        kind, end = m.lastgroup, m.end()
+        if kind == "h":  # the marks of a raw string
+            kind = "string"
+        if kind == "template":
+            end = template_end(source, at)
+        if kind not in ("space", "comment"):
+            out.append(Token(kind, source[at:end], at, end))
+        at = end
     return out
 
 
+def substitution_end(text: bytes, k: int) -> int:
+    """Index of the brace that closes a template's substitution whose contents start at k."""
+    depth = 0
+    while k < len(text):
+        c = text[k]
+        if c == 92:  # backslash
+            k += 1
+        elif c == 123:
+            depth += 1
+        elif c == 125:
+            if not depth:
+                return k
+            depth -= 1
+        elif c in (34, 39):
+            end = text.find(c, k + 1)
+            k = end if end > 0 else k
+        elif c == 96:
+            k = template_end(text, k) - 1
+        k += 1
+    return len(text)
+
+
+def template_end(text: bytes, k: int) -> int:
+    """Index after the backquote that closes the template that opens at k."""
+    k += 1
+    while k < len(text):
+        c = text[k]
+        if c == 92:
+            k += 1
+        elif c == 96:
+            return k + 1
+        elif c == 36 and text[k + 1 : k + 2] == b"{":
+            k = substitution_end(text, k + 2)
+        k += 1
+    return len(text)
+
+
 _OPEN, _CLOSE = {b"(": b")", b"[": b"]", b"{": b"}"}, {b")", b"]", b"}"}
 
 

@@ -8,14 +8,17 @@ no nodes.
 from __future__ import annotations
 
 import ast
+import sys
 from dataclasses import dataclass, field
 
+from tessera.sources.ecma import KINDS as ECMA_KINDS
+from tessera.sources.ecma import Ecma
 from tessera.sources.lexer import Token, lex, matching
-from tessera.sources.tree import Node, rows
+from tessera.sources.tree import Node, Tree
 
 #: Node kinds that each family of parsers produces; a query that names another is refused.
 KINDS = {
-    "js": frozenset("program import_statement import_clause named_imports import_specifier namespace_import identifier string export_statement export_clause export_specifier function_declaration class_declaration type_identifier lexical_declaration variable_declarator call_expression arguments member_expression property_identifier debugger_statement".split()),
+    "js": ECMA_KINDS,
     "go": frozenset("source_file package_clause import_declaration import_spec interpreted_string_literal package_identifier function_declaration method_declaration identifier type_declaration type_spec type_identifier struct_type field_declaration_list field_declaration field_identifier qualified_type pointer_type".split()),
     "rust": frozenset("source_file use_declaration use_wildcard scoped_use_list scoped_identifier attribute_item function_item mod_item identifier declaration_list block call_expression field_expression field_identifier arguments".split()),
     "python": frozenset("module function_definition class_definition lambda block except_clause as_pattern identifier tuple list dictionary set call attribute argument_list keyword_argument string integer default_parameter typed_default_parameter parameters import_statement import_from_statement expression".split()),
@@ -23,6 +26,10 @@ KINDS = {
 FAMILY = {"typescript": "js", "tsx": "js", "javascript": "js", "go": "go", "rust": "rust", "python": "python"}
 
 
+#: Deep nesting is descended into; Python frames cost no C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+
+
 @dataclass
 class Parsed:
     root: Node | None
@@ -33,6 +40,8 @@ class Parsed:
 
 
 def parse(source: bytes, language: str) -> Parsed:
+    if language == "javascript":
+        return _js(source, False)
     return {"js": _js, "go": _go, "rust": _rust, "python": _python}[FAMILY[language]](source)
 
 
@@ -41,7 +50,7 @@ def tables(source: bytes, language: str) -> tuple[list[tuple], list[tuple], list
     p = parse(source, language)
     if p.root is None:
         return [], [], []
-    nodes = rows(p.root, source)
+    nodes = Tree(p.root, source, p.scopes, p.decls).rows()
     starts = [(n[9], n[10], n[4]) for n in nodes]
     scopes = []
     for k, (a, b, kind) in enumerate(p.scopes):
@@ -63,158 +72,9 @@ def _strip(t: Token) -> str:
 # --- JavaScript and TypeScript ---------------------------------------------------------------------
 
 
-def _statement_end(tokens: list[Token], match: list[int], i: int, source: bytes) -> int:
-    """Index of the last token of a statement that starts at i: its semicolon, or the token before a line break outside brackets."""
-    last = i
-    while i < len(tokens):
-        last = match[i]
-        if tokens[i].text == b";":
-            return i
-        nxt = last + 1
-        if nxt >= len(tokens) or tokens[nxt].text == b"}" or (b"\n" in source[tokens[last].end : tokens[nxt].start] and tokens[nxt].text not in (b"from", b"as", b",", b"{", b".", b"=", b"?", b":", b"&&", b"|")):
-            return last
-        i = nxt
-    return last
-
-
-def _specifiers(tokens: list[Token], a: int, b: int, kind: str) -> list[Node]:
-    """The specifiers of a braced list between the brackets a and b."""
-    out, part = [], []
-    for t in [*tokens[a + 1 : b], None]:
-        if t is not None and t.text != b",":
-            part.append(t)
-            continue
-        names = [x for x in part if x.kind in ("name", "string")]
-        if len(names) > 1 and names[0].text == b"type" and names[1].text != b"as":
-            names = names[1:]
-        if names:
-            n = Node(kind, part[0].start, part[-1].end).add(_leaf("identifier" if names[0].kind == "name" else "string", names[0], "name"))
-            if len(names) >= 3 and names[1].text == b"as":
-                n.add(_leaf("identifier" if names[2].kind == "name" else "string", names[2], "alias"))
-            out.append(n)
-        part = []
-    return out
-
-
-def _js(source: bytes) -> Parsed:
-    tokens = lex(source, "js")
-    match = matching(tokens)
-    root = Node("program", 0, len(source))
-    out = Parsed(root, [(0, len(source), "file")])
-    i = 0
-    while i < len(tokens):
-        t = tokens[i]
-        starts = i == 0 or tokens[i - 1].text in (b";", b"}") or b"\n" in source[tokens[i - 1].end : t.start]
-        nxt = tokens[i + 1] if i + 1 < len(tokens) else None
-        if starts and t.text == b"import" and nxt is not None and nxt.text not in (b"(", b"."):
-            end = _statement_end(tokens, match, i, source)
-            root.add(_js_import(tokens[i : end + 1], tokens, match, i, end, out))
-            i = end + 1
-        elif starts and t.text == b"export" and nxt is not None:
-            node, i = _js_export(tokens, match, i, source, out)
-            root.add(node)
-        elif t.text == b"debugger" and t.kind == "name":
-            root.add(_leaf("debugger_statement", t))
-            i += 1
-        else:
-            if starts and t.kind == "name" and nxt is not None and nxt.kind == "name":
-                kind = {b"const": "const", b"let": "let", b"var": "var", b"function": "function", b"class": "class", b"enum": "enum", b"interface": "interface", b"type": "type"}.get(t.text)
-                if kind:
-                    out.decls.append((0, nxt.text.decode("utf-8", "replace"), kind, None, None))
-            i = match[i] + 1 if t.text == b"{" else i + 1
-    return out
-
-
-def _js_import(part: list[Token], tokens: list[Token], match: list[int], i: int, end: int, out: Parsed) -> Node:
-    n = Node("import_statement", part[0].start, part[-1].end)
-    strings = [t for t in part if t.kind == "string"]
-    source = strings[-1] if strings else None
-    module = _strip(source) if source else None
-    clause = Node("import_clause", 0, 0)
-    k = i + 1
-    while k <= end and tokens[k] is not source:
-        t = tokens[k]
-        if t.text == b"{":
-            named = Node("named_imports", t.start, tokens[match[k]].end).add(*_specifiers(tokens, k, match[k], "import_specifier"))
-            clause.add(named)
-            for s in named.children:
-                names = [c for c in s.children]
-                text = lambda c: source_text(tokens, c)
-                out.decls.append((0, text(names[-1]), "import", module, text(names[0])))
-            k = match[k]
-        elif t.text == b"*" and k + 2 <= end:
-            clause.add(Node("namespace_import", t.start, tokens[k + 2].end).add(_leaf("identifier", tokens[k + 2])))
-            out.decls.append((0, tokens[k + 2].text.decode("utf-8", "replace"), "import", module, "*"))
-            k += 2
-        elif t.kind == "name" and t.text not in (b"from", b"type") or (t.text == b"type" and tokens[k + 1].text == b"from"):
-            clause.add(_leaf("identifier", t))
-            out.decls.append((0, t.text.decode("utf-8", "replace"), "import", module, "default"))
-        k += 1
-    if clause.children:
-        clause.start, clause.end = clause.children[0].start, clause.children[-1].end
-        n.add(clause)
-    return n.add(_leaf("string", source, "source") if source else None)
-
-
-def source_text(tokens: list[Token], node: Node) -> str:
-    return next(t.text for t in tokens if t.start == node.start and t.end == node.end).decode("utf-8", "replace")
-
-
-def _js_export(tokens: list[Token], match: list[int], i: int, source: bytes, out: Parsed) -> tuple[Node, int]:
-    t, k = tokens[i], i + 1
-    n = Node("export_statement", t.start, t.end)
-    if k < len(tokens) and tokens[k].text == b"type" and k + 1 < len(tokens) and tokens[k + 1].text in (b"{", b"*"):
-        k += 1
-    head = tokens[k] if k < len(tokens) else None
-    if head is not None and head.text in (b"{", b"*"):
-        end = _statement_end(tokens, match, k, source)
-        if head.text == b"{":
-            n.add(Node("export_clause", head.start, tokens[match[k]].end).add(*_specifiers(tokens, k, match[k], "export_specifier")))
-        tail = [x for x in tokens[(match[k] if head.text == b"{" else k) : end + 1] if x.kind == "string"]
-        if tail:
-            n.add(_leaf("string", tail[-1], "source"))
-        n.end = tokens[end].end
-        return n, end + 1
-    if head is not None and head.text == b"default":
-        n.add(_leaf("default", head, named=False))
-        k += 1
-    while k < len(tokens) and tokens[k].text in (b"declare", b"async", b"abstract"):
-        k += 1
-    word = tokens[k] if k < len(tokens) else None
-    name = tokens[k + 1] if k + 1 < len(tokens) else None
-    if word is not None and word.text == b"function" and name is not None and name.text == b"*":
-        name = tokens[k + 2] if k + 2 < len(tokens) else None
-    end = k
-    if word is not None and word.text in (b"function", b"class"):
-        while end < len(tokens) and tokens[end].text not in (b"{", b";"):
-            end = match[end] + 1
-        end = match[min(end, len(tokens) - 1)]
-        if name is not None and name.kind == "name" and name.text not in (b"extends",):
-            kind, child = ("function_declaration", "identifier") if word.text == b"function" else ("class_declaration", "type_identifier")
-            n.add(Node(kind, word.start, tokens[end].end, "declaration").add(_leaf(child, name, "name")))
-            out.decls.append((0, name.text.decode("utf-8", "replace"), word.text.decode(), None, None))
-    elif word is not None and word.text in (b"const", b"let") and name is not None and name.text != b"enum":
-        end = _statement_end(tokens, match, k, source)
-        d = Node("lexical_declaration", word.start, tokens[end].end, "declaration")
-        fresh, j = True, k + 1
-        while j <= end:
-            x = tokens[j]
-            if fresh and x.kind == "name":
-                stop = j
-                while stop < end and tokens[match[stop] + 1 if match[stop] + 1 < len(tokens) else stop].text not in (b",", b";") and match[stop] < end:
-                    stop = match[stop] + 1
-                d.add(Node("variable_declarator", x.start, tokens[match[stop]].end).add(_leaf("identifier", x, "name")))
-                out.decls.append((0, x.text.decode("utf-8", "replace"), word.text.decode(), None, None))
-            fresh = x.text == b","
-            j = match[j] + 1
-        n.add(d)
-    elif word is not None:
-        end = _statement_end(tokens, match, k, source)
-        if name is not None and word.text in (b"interface", b"type", b"enum", b"namespace"):
-            out.decls.append((0, name.text.decode("utf-8", "replace"), word.text.decode(), None, None))
-    end = min(end, len(tokens) - 1)
-    n.end = tokens[end].end
-    return n, end + 1
+def _js(source: bytes, typed: bool = True) -> Parsed:
+    p = Ecma(source, typed).parse()
+    return Parsed(p.root, p.scopes, p.decls)
 
 
 # --- Go ---------------------------------------------------------------------------------------------

@@ -36,7 +36,7 @@ def test_configuration_is_strict(tmp_path):
 def test_check_renders_and_exits(spark, project, capsys):
     root = str(project)
     assert main(["check", "--root", root], spark) == 1
-    assert capsys.readouterr().out.splitlines() == ["src/a.ts:1:1 error [tessera/no-default-export] default export", "  → export a name, so that importers and searches agree on it", "src/b.ts:1:1 error [tessera/no-restricted-imports] importing 'lodash' is restricted — this import is not allowed here", "  → import something permitted here, or move this code where it is allowed", "2 errors"]
+    assert capsys.readouterr().out.splitlines() == ["src/a.ts:1:1 error [tessera/no-default-export] default export", "  → export a name, so that importers and searches agree on it", "src/b.ts:1:1 error [tessera/no-restricted-imports] importing 'lodash' is restricted — this import is not allowed here", "  → use what this part of the tree may depend on, or do the work elsewhere", "2 errors"]
     assert main(["check", "--root", root, "--format", "json", "--warn-only"], spark) == 0
     report = json.loads(capsys.readouterr().out)
     assert report["ok"] and report["total"] == 2 and report["files_discovered"] == 2
@@ -61,3 +61,33 @@ def test_selections_and_store(spark, project, capsys):
 def test_run_limit(spark, project):
     (project / "tessera.json").write_text(json.dumps(GOOD | {"timeouts": {"global": 1}}))
     assert main(["check", "--root", str(project)], spark) == 2
+
+
+def test_profile_and_side_files(spark, project, capsys):
+    (project / "r.py").write_text("from tessera.plans.handlers import handler\nfrom tessera.plans.rule import Card, Rule\ndef check(ctx, m):\n    ctx.report(m['p'], str(ctx.read_file('notes.txt')))\nrule = Rule('local/r', '(program) @p', Card('m', 'r', 'a', 'b'), handler(check), reads=('notes.txt',))\n")
+    (project / "notes.txt").write_text("hello")
+    (project / "tessera.json").write_text(json.dumps(GOOD | {"rules": ["./r.py"]}))
+    assert main(["check", "--root", str(project), "--profile"], spark) == 1
+    said = capsys.readouterr()
+    assert said.out.splitlines()[0] == "src/a.ts:1:1 error [local/r] hello" and "local/r" in said.err and "2 matches" in said.err
+    (project / "notes.txt").unlink()
+    (project / "notes.txt").symlink_to("/etc/hostname")
+    assert main(["check", "--root", str(project)], spark) == 2 and "outside" in capsys.readouterr().err
+
+
+def test_configuration_programs_and_packaged_rules(tmp_path, monkeypatch):
+    from tessera.config import load
+
+    (tmp_path / "tessera_config.py").write_text("from tessera.config import Limits\nfrom tessera.plans.builtin import no_unwrap\nfrom tessera.plans.engine import Config\nconfig = Config([no_unwrap()], include=['src/**'])\nlimits = Limits(rule=77)\n")
+    config, limits = load(tmp_path / "tessera_config.py")
+    assert [r.id for r in config.rules] == ["tessera/no-unwrap"] and limits.rule == config.timeout_ms == 77
+    for text in ("config = 1\n", "x\n"):
+        (tmp_path / "bad.py").write_text(text)
+        with pytest.raises(ConfigError):
+            load(tmp_path / "bad.py")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "ours_rules.py").write_text("from tessera.plans.builtin import no_unwrap\ndef make(allow):\n    r = no_unwrap(allow)\n    r.__init__('local/ours', r.query, r.card, r.check, r.languages)\n    return r\n")
+    config, _ = parse(json.dumps({"rules": [{"rule": "ours_rules:make", "options": {"allow": []}}]}), tmp_path)
+    assert [r.id for r in config.rules] == ["local/ours"]
+    with pytest.raises(ConfigError):
+        parse(json.dumps({"rules": ["ours_rules:nothing"]}), tmp_path)

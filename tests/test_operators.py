@@ -102,27 +102,45 @@ def test_cache(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y expires: z"), ("c", "new")], "file string, source string")
     now = cache.keys(df, "run", "2024-01-01")
     rows = {r.file: r for r in now.collect()}
-    stored = spark.createDataFrame([(rows["a"].key,), (rows["b"].key,)], "key string")
-    hits, misses = cache.split_hits(now, stored, stored.limit(0))
-    assert [r.file for r in hits.collect()] == ["a"] and sorted(r.file for r in misses.collect()) == ["b", "c"]
-    hits, _ = cache.split_hits(now, spark.createDataFrame([(rows["b"].dated_key,)], "key string"), stored.limit(0))
-    assert [r.file for r in hits.collect()] == ["b"]
-    assert cache.split_hits(now, stored, stored)[0].count() == 0
+    now = now.withColumn("dated", F.contains("source", F.lit("expires:")))
+    found = lambda *keys: [r.file for r in cache.hits(now, spark.createDataFrame([(k, 1) for k in keys], "key string, n int")).orderBy("file").collect()]
+    assert found(rows["a"].key, rows["b"].key) == ["a"] and found(rows["b"].dated_key, rows["a"].dated_key) == ["a", "b"]
+    reads = spark.createDataFrame([("k", "p", "1"), ("l", "p", "2"), ("l", "q", None), ("m", "q", None)], "key string, path string, hash string")
+    assert {r.key for r in cache.stale_keys(reads, {"p": ("text", "1"), "q": (None, None)}).collect()} == {"l"}
+    assert {r.key for r in cache.stale_keys(reads, {"p": ("text", "2"), "q": ("text", "3")}).collect()} == {"k", "l", "m"}
     assert len({r.key for r in cache.keys(spark.createDataFrame([("ab", "c"), ("a", "bc")], "file string, source string"), "r", "t").collect()}) == 2
     assert cache.config_hash(["a", "b"], [], {}, {}, []) == cache.config_hash(["b", "a"], [], {}, {}, []) != cache.config_hash(["a"], [], {}, {}, [])
 
 
+def test_reports_of_nothing(spark):
+    none = spark.createDataFrame([], "rule_ns string, rule_name string, file string, line int, column int, message string, remediation string, severity string, fix struct<start:bigint,end:bigint,replacement:string,safe:boolean>")
+    assert json.loads("".join(reports.json_report(none, 1, 0))) == {"version": 1, "ok": True, "total": 0, "files_discovered": 1, "files_parsed": 0, "warn_only": False, "violations": []}
+    assert json.loads("".join(reports.sarif_report(none)))["runs"][0]["results"] == [] and list(reports.human(none)) == ["no violations"]
+    assert list(reports.agent_report(none, spark.createDataFrame([], "rule_ns string, rule_name string, card_message string, card_remediation string"))) == []
+
+
+def test_many_fixes_of_one_file(spark):
+    """Work is linear in a file's fixes."""
+    from tessera.operators.fixes import apply_fixes
+
+    n = 60_000
+    files = spark.createDataFrame([("a", "x" * n)], "file string, source string")
+    v = spark.range(n).select(F.lit("a").alias("file"), F.struct(F.col("id").alias("start"), (F.col("id") + 1).alias("end"), F.lit("yy").alias("replacement"), F.lit(True).alias("safe")).alias("fix"))
+    row = apply_fixes(files, v).first()
+    assert row.source == "yy" * n and row.applied == n
+
+
 def test_reports(spark):
     rows = [("a", "x", "f.ts", 2, 1, "m", "r", "error", None), ("a-b", "x", "e.ts", 1, 3, "own", "r", "warn", (0, 1, "y", True))]
     v = spark.createDataFrame(rows, "rule_ns string, rule_name string, file string, line int, column int, message string, remediation string, severity string, fix struct<start:bigint,end:bigint,replacement:string,safe:boolean>")
     assert list(reports.human(v)) == ["f.ts:2:1 error [a/x] m\n  → r", "e.ts:1:3 warn [a-b/x] own\n  → r", "1 error, 1 warning"]
-    report = json.loads(reports.json_report(v, 12, 3))
+    report = json.loads("".join(reports.json_report(v, 12, 3)))
     assert (report["version"], report["ok"], report["total"], report["files_discovered"], report["files_parsed"]) == (1, False, 2, 12, 3)
     assert report["violations"][1]["fix"] == {"start": 0, "end": 1, "replacement": "y", "safe": True} and "fix" not in report["violations"][0]
-    run = json.loads(reports.sarif_report(v))["runs"][0]
+    run = json.loads("".join(reports.sarif_report(v)))["runs"][0]
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["a/x", "a-b/x"] and [(r["ruleIndex"], r["level"]) for r in run["results"]] == [(0, "error"), (1, "warning")]
     cards = spark.createDataFrame([("a", "x", "m", "r"), ("a-b", "x", "card", "r")], "rule_ns string, rule_name string, card_message string, card_remediation string")
-    assert reports.agent_report(v, cards).split("\n") == ["a/x: m", "  fix: r", "  f.ts:2:1", "a-b/x: card", "  fix: r", "  e.ts:1:3 own"]
+    assert list(reports.agent_report(v, cards)) == ["a/x: m", "  fix: r", "  f.ts:2:1", "a-b/x: card", "  fix: r", "  e.ts:1:3 own"]
     assert tuple(violations.failing(v).first()) == (False, 1) and tuple(violations.failing(v, warn_only=True).first())[1] == 0
     assert tuple(violations.failing(v.limit(0)).first()) == (True, 0)
 
@@ -180,3 +198,46 @@ def test_watch(spark, tmp_path):
     spark.createDataFrame([("a", "x")], "file string, source string").write.parquet(str(source))
     watch(spark, str(source), "file string, source string", lambda df, n: seen.append((n, df.count())), str(tmp_path / "state"), available_now=True).awaitTermination(60)
     assert seen == [(0, 1)]
+
+
+def _cycles_by_search(edges, max_depth):
+    """First sightings of cycles, restated: all paths, sorted by root and edge ordinals."""
+    out = {}
+    for f, t, n in edges:
+        out.setdefault(f, []).append((n, t))
+    sights = []
+
+    def walk(root, path, taken):
+        for n, t in sorted(out.get(path[-1], [])):
+            if t in path:
+                cycle = path[path.index(t) :]
+                sights.append((root, (*taken, n), path[-1], n, cycle))
+            elif len(path) < max_depth:
+                walk(root, [*path, t], (*taken, n))
+
+    for root in out:
+        walk(root, [root], ())
+    first = {}
+    for _, _, file, n, cycle in sorted(sights, key=lambda s: (s[0], s[1])):
+        k = min(tuple(cycle[i:] + cycle[:i]) for i in range(len(cycle)))
+        first.setdefault(k, (file, n, tuple([*cycle, cycle[0]])))
+    return sorted(first.values())
+
+
+def test_circular_imports_in_one_task_and_by_joins(spark):
+    import random
+
+    from tessera.operators.reduce_phase import circular_imports
+
+    rng = random.Random(8)
+    for depth in (3, 24):
+        edges, names = [], "abcdefgh"
+        for f in names:
+            for n, t in enumerate(rng.sample([x for x in names if x != f], rng.randrange(3))):
+                edges.append((f, t, n + 1))
+        edges.append(("0", "c", 1))  # leads to cycles and is searched first
+        df = spark.createDataFrame([(f, t, n, 1, n) for f, t, n in edges], "file string, target string, line int, column int, ordinal int")
+        want = _cycles_by_search(edges, depth)
+        for one_task in (10**6, 0):
+            assert sorted((r.file, r.line, tuple(r.path)) for r in circular_imports(df, depth, one_task).collect()) == want
+    assert circular_imports(df.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import builtin
 from tessera.plans.engine import Config, check, exploded, parse_nodes
-from tessera.plans.rule import Card, Found, Rule, RuleError, captured, report
+from tessera.plans.rule import Card, Rule, RuleError, captured, report
 from tessera.sources.files import scan_texts
 
 TODAY = "2024-07-01"
@@ -112,7 +112,7 @@ def test_depth_bounds_the_search(spark):
 
 
 def test_directives_and_severity(spark):
-    shout = Rule("local/no-debug", "(debugger_statement) @d", Card("debugger", "remove it", "debugger", "log()"), lambda m: Found(report(m, captured("d"))))
+    shout = Rule("local/no-debug", "(debugger_statement) @d", Card("debugger", "remove it", "debugger", "log()"), lambda: [report(captured("d"))])
     sources = {
         "a.ts": "// tessera-disable-next-line local/no-debug reason: agreed\ndebugger\ndebugger\n",
         "b.ts": "// tessera-disable-file local/no-debug reason: old expires: 2024-06-30\ndebugger\n",
@@ -130,6 +130,53 @@ def test_directives_and_severity(spark):
     assert {r.severity for r in run(spark, {"a.ts": "debugger"}, [shout], severity={"local/no-debug": "warn"}).sorted().collect()} == {"warn"}
 
 
+def test_configuration_switches_rules_on(spark):
+    """A rule that is off by itself runs where the configuration says so, at the severity that it says."""
+    off = Rule("local/no-debug", "(debugger_statement) @d", Card("debugger", "remove it", "debugger", "log()"), lambda: [report(captured("d"))], severity="off")
+    assert places(run(spark, {"a.ts": "debugger\n"}, [off])) == []
+    assert [r.severity for r in run(spark, {"a.ts": "debugger\n"}, [off], severity={"local/no-debug": "warn"}).sorted().collect()] == ["warn"]
+
+
+def test_more_rules_than_one_projection_takes(spark):
+    rules = [Rule(f"local/r{k}", "(debugger_statement) @d", Card(f"m{k}", "r", "a", "b"), lambda: [report(captured("d"))]) for k in range(120)]
+    assert messages(run(spark, {"a.ts": "debugger\n"}, rules)) == [f"m{k}" for k in sorted(range(120), key=lambda k: f"r{k}")]
+
+
+def test_profile(spark):
+    from tessera.operators.reports import profile
+
+    df = spark.createDataFrame([("a.ts", "debugger\ndebugger\n"), ("b.ts", "x\n")], "p string, t string")
+    rules = [Rule("local/d", "(debugger_statement) @d", Card("m", "r", "a", "b"), lambda: [report(captured("d"))]), Rule("local/n", "(class_declaration) @d", Card("m", "r", "a", "b"), lambda: [])]
+    out = check(spark, scan_texts(df, F.col("p"), F.col("t")), Config(rules), TODAY, profile=True)
+    ranked = {r.rule_name: r for r in profile(out.timings).collect()}
+    assert (ranked["d"].matches, ranked["n"].matches) == (2, 0) and ranked["d"].query_ms > 0 and places(out) == [("a.ts", 1, 1), ("a.ts", 2, 1)]
+    assert check(spark, scan_texts(df, F.col("p"), F.col("t")), Config(rules), TODAY).timings.isEmpty()
+
+
+BINDINGS = [
+    ("a.ts", "import d, { a as b } from 'm'; import * as n from 'k'\nfunction f(p, { q, r: [s = 1] }, ...t) { const c = 1; { let b = 2; USE } }\n", {"d": ("import", "m", "default", False), "b": ("let", None, None, True), "n": ("import", "k", "*", False), "p": ("param", None, None, False), "q": ("param", None, None, False), "s": ("param", None, None, False), "t": ("param", None, None, False), "c": ("const", None, None, False), "f": ("function", None, None, False), "r": (None, None, None, False)}),
+    ("a.tsx", "const x = 1\nclass K { m(x) { try { g() } catch ({ message: e }) { USE } } }\n", {"x": ("param", None, None, True), "e": ("catch-param", None, None, False), "message": (None, None, None, False), "K": ("class", None, None, False), "m": (None, None, None, False)}),
+    ("a.js", "export const x = a => b => { var v; for (let i = 0; i < 1; i++) { USE } }\nfunction other(w) { let z }\n", {"x": ("const", None, None, False), "a": ("param", None, None, False), "b": ("param", None, None, False), "v": ("var", None, None, False), "i": ("let", None, None, False), "w": (None, None, None, False), "z": (None, None, None, False), "other": ("function", None, None, False)}),
+]
+
+
+def test_bindings_within_functions_and_blocks():
+    from tessera.functions.globs import star_to_regex
+    from tessera.sources.files import LANGUAGES
+    from tessera.sources.parsers import parse
+    from tessera.sources.tree import Tree
+
+    assert star_to_regex("a*").startswith("(?s)")
+    for path, source, want in BINDINGS:
+        for name, bound in want.items():
+            text = source.replace("USE", f"USE({name})").encode()
+            p = parse(text, LANGUAGES[path.rpartition(".")[2]])
+            tree = Tree(p.root, text, p.scopes, p.decls)
+            at = text.index(b"USE(") + 4
+            (n,) = [x for x in tree.nodes if x.kind == "identifier" and x.start == at]
+            assert tree.binding(n) == bound, (path, name)
+
+
 def test_combined_equals_separate(spark):
     sources = {f"m{k}{p}": s for k, (_, p, s, _) in enumerate(SINGLE) if "/" not in p}
     rules = list({r.id: r for r, *_ in SINGLE}.values())
@@ -139,7 +186,7 @@ def test_combined_equals_separate(spark):
 
 def test_rules_are_validated():
     card = Card("m", "r", "bad", "good")
-    ok = dict(id="local/x", query="(program) @p", card=card, check=lambda m: Found())
+    ok = dict(id="local/x", query="(program) @p", card=card, check=lambda: [])
     Rule(**ok)
     for change in ({"id": "x"}, {"id": "local/X"}, {"query": " "}, {"query": "(nothing) @x"}, {"query": "(program)"}, {"query": "(program @p"}, {"languages": ()}, {"languages": ("cobol",)}, {"severity": "fatal"}, {"card": Card("m", "r", "same", "same ")}, {"card": Card("", "r", "a", "b")}, {"check": None}):
         with pytest.raises(ValueError):

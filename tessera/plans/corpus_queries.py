@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.globs import star_to_regex
-from tessera.operators import cache, directives, fixes, gates, navigation, reports, violations
-from tessera.operators.reduce_phase import circular_imports
-from tessera.plans import builtin, engine, fixture
+from tessera.operators import cache, directives, fixes, gates, imports, navigation, reports, violations
+from tessera.operators.reduce_phase import circular_imports, unused_exports
+from tessera.operators.tables import checkpointed
+from tessera.plans import builtin, engine, fixture, project_rules
+from tessera.plans.handlers import handler
+from tessera.plans.rule import Card, Rule
+from tessera.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,13 +86,13 @@ _DIRECTIVE_TEXT = {
 
 
 def _with_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of three lines: a directive by doc_id, then two lines that break local/shout."""
+    """Files of a directive, by doc_id, a line that breaks local/shout, and the document's own text."""
     text = F.element_at(F.create_map(*[F.lit(x) for k, (t, _) in _DIRECTIVE_TEXT.items() for x in (k, t)]), (F.col("doc_id") % 6).cast("int"))
-    return _files(spark, sf_dir).select("doc_id", "file", F.concat(text, F.lit("\nA!!\nB!!\n")).alias("source"))
+    return _files(spark, sf_dir).select("doc_id", "file", F.concat(text, F.lit("\nA!!\n"), "source").alias("source"))
 
 
-def _shouts(files: DataFrame) -> DataFrame:
-    rows = files.select("file", F.posexplode(directives.lines(F.col("source"))).alias("at", "text")).filter(F.contains("text", F.lit("!!")))
+def _shouts(texts: DataFrame) -> DataFrame:
+    rows = texts.select("file", F.posexplode(directives.lines(F.col("source"))).alias("at", "text")).filter(F.contains("text", F.lit("!!")))
     return rows.select(F.lit("local").alias("rule_ns"), F.lit("shout").alias("rule_name"), "file", (F.col("at") + 1).cast("int").alias("line"), F.lit(1).alias("column"), F.lit("shouting").alias("message"), F.lit("lower your voice").alias("remediation"), F.lit("error").alias("severity"))
 
 
@@ -111,15 +114,15 @@ def directive_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directives.scan(_with_directives(spark, sf_dir))[1].select("file", "line", "column")
 
 
-@_query(f"""WITH f AS (SELECT {_DOC_FILE} AS file, doc_id % 6 AS k FROM documents)
-SELECT 'local/shout' AS rule, file, 2 AS line, 'error' AS severity FROM f WHERE k NOT IN (0, 1)
-UNION ALL SELECT 'local/shout', file, 3, 'error' FROM f WHERE k <> 1
+@_query(f"""WITH f AS (SELECT {_DOC_FILE} AS file, doc_id % 6 AS k, string_split('A!!' || chr(10) || coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT file, k, unnest(range(2, len(lines) + 2)) AS line, unnest(lines) AS text FROM f)
+SELECT 'local/shout' AS rule, file, CAST(line AS INTEGER) AS line, 'error' AS severity FROM l WHERE contains(text, '!!') AND k <> 1 AND NOT (k = 0 AND line = 2)
 UNION ALL SELECT 'tessera/suppression', file, 1, 'error' FROM f WHERE k IN (1, 2, 4)
 UNION ALL SELECT 'tessera/suppression', file, 1, 'warn' FROM f WHERE k = 5""")
 def suppress_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _with_directives(spark, sf_dir)
-    valid, malformed = directives.scan(files)
-    out = directives.apply(_shouts(files), valid, malformed, today="2024-07-01", unused=True)
+    texts = _with_directives(spark, sf_dir)
+    valid, malformed = directives.scan(texts)
+    out = directives.apply(_shouts(texts), valid, malformed, today="2024-07-01", unused=True)
     return out.select(F.concat_ws("/", "rule_ns", "rule_name").alias("rule"), "file", "line", "severity")
 
 
@@ -174,12 +177,17 @@ def report_sarif_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rule_index(_violations(spark, sf_dir)).select("rule_ns", "rule_name", "file", "line", "rule_index")
 
 
-@_query(f"""WITH {_VIOLATIONS_SQL} SELECT rule_ns, rule_name, count(*) AS n, string_agg(file || ':' || line || ':' || "column" || coalesce(' ' || CASE WHEN message <> rule_name THEN message END, ''), '|' ORDER BY file, line, "column") AS locations FROM v GROUP BY ALL""")
+@_query(f"""WITH {_VIOLATIONS_SQL} SELECT rule_ns, rule_name, file, CAST(line AS INTEGER) AS line, CAST("column" AS INTEGER) AS "column", rule_name AS card, 'see the guide' AS remediation, CASE WHEN message <> rule_name THEN message END AS message FROM v""")
 def report_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = spark.createDataFrame([(ns, name, name, "see the guide") for ns, name, *_ in _RULES], "rule_ns string, rule_name string, card_message string, card_remediation string")
-    groups = reports.agent_groups(_violations(spark, sf_dir), cards)
-    each = F.transform("locations", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"), F.lit(":"), x["column"].cast("string"), F.coalesce(F.concat(F.lit(" "), x["message"]), F.lit(""))))
-    return groups.select("rule_ns", "rule_name", "n", F.array_join(each, "|").alias("locations"))
+    return reports.agent_rows(_violations(spark, sf_dir), cards)
+
+
+@_query(f"""WITH {_VIOLATIONS_SQL} SELECT file, CAST(line AS INTEGER) AS line, rule_ns || '/' || rule_name AS rule, message AS said, severity FROM v""")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.json_rows(_violations(spark, sf_dir).withColumn("fix", F.lit(None).cast("struct<start:bigint>")))
+    item = F.from_json("json", "rule string, file string, line int, message string, severity string").alias("x")
+    return rows.select(item).select("x.file", "x.line", "x.rule", F.col("x.message").alias("said"), "x.severity")
 
 
 @_query("""SELECT event_type AS rule_name, CAST(sum(event_id % 7) AS BIGINT) AS query_ms, CAST(sum(event_id % 11) AS BIGINT) AS handler_ms, count(*) AS matches, CAST(sum(event_id % 7 + event_id % 11) AS BIGINT) AS total_ms FROM events GROUP BY event_type""")
@@ -192,18 +200,44 @@ def profile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- facts and reduce ------------------------------------------------------------------------------------
 
 
-@_query(r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS sequence, h AS target FROM (SELECT page_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS h FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS m FROM pages))""")
+_LINES_BEFORE = "CAST(len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1 AS INTEGER)"
+
+
+def _sources(spark: SparkSession, sf_dir: str, extension: str, path: str = "src") -> DataFrame:
+    return fixture.document_sources(_table(spark, sf_dir, "documents"), extension, path)
+
+
+def _check(spark: SparkSession, sf_dir: str, extension: str, rules: list[Rule], path: str = "src", **config) -> engine.Outcome:
+    return engine.check(spark, _sources(spark, sf_dir, extension, path), engine.Config(rules, **config), "2024-07-01")
+
+
+def _path_sql(extension: str, path: str = "src") -> str:
+    return f"printf('{path}/d%012d.{extension}', doc_id)"
+
+
+def _calls(ctx, m) -> None:
+    """A handler that emits facts: each call in a function, with what its name is."""
+    inside = ctx.closest_ancestor(m["call"], "(function_declaration name: (identifier) @name) @f")
+    ctx.emit_fact("call", {"name": ctx.text(m["fn"]), "binding": ctx.binding_kind(m["fn"]), "inside": inside and ctx.text(inside["name"])})
+    for a in ctx.named_children(m["args"]):
+        ctx.emit_fact("argument", {"name": ctx.text(a), "binding": ctx.binding_kind(a), "inside": None})
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, f.* FROM documents, (VALUES (0, 'call', 'list', 'const', 'alpha'), (1, 'argument', 'a', 'param', NULL)) f(sequence, kind, name, binding, inside)""")
 def match_emit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    hits = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("match", "target"))
-    facts = hits.select(F.lit("local").alias("rule_ns"), F.lit("link").alias("rule_name"), F.col("page_id").cast("string").alias("file"), "page_id", "match", "target")
-    return violations.numbered(facts, "match").select("page_id", "sequence", "target")
+    rule = Rule("local/calls", "(call_expression function: (identifier) @fn arguments: (arguments) @args) @call", Card("m", "r", "a", "b"), handler(_calls))
+    body = F.from_json("data", "name string, binding string, inside string").alias("x")
+    return _check(spark, sf_dir, "ts", [rule]).facts.select("file", "sequence", "kind", body).select("file", "sequence", "kind", "x.*")
 
 
-@_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@_query("SELECT DISTINCT printf('c%d', c_custkey) AS file, CAST(c_nationkey AS VARCHAR) AS symbol, printf('''%d'' is exported but nothing imports it', c_nationkey) AS message FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 25 = c_nationkey AND o_orderpriority <> '1-URGENT')")
 def reduce_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey").join(used, "o_orderkey", "left_anti")
+    """Customers export their nation; orders import a nation of their customer, urgent ones all of it."""
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    exports = c.select(F.concat(F.lit("c"), "c_custkey").alias("file"), F.col("c_nationkey").cast("string").alias("symbol"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+    taken = o.select(F.concat(F.lit("o"), "o_orderkey").alias("file"), F.concat(F.lit("./c"), "o_custkey").alias("specifier"), (F.col("o_orderkey") % 25).cast("string").alias("symbol"), (F.col("o_orderpriority") == "1-URGENT").alias("all_of_it"))
+    files = exports.select("file").unionByName(taken.select("file")).distinct()
+    return unused_exports(exports, taken.filter("NOT all_of_it"), taken.filter("all_of_it").select("file", "specifier"), files).select("file", "symbol", "message")
 
 
 @_query("""WITH RECURSIVE e AS (SELECT DISTINCT event_type AS a, nxt AS b FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> event_type),
@@ -220,22 +254,48 @@ def reduce_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join(turned, " ").alias("cycle"), F.size(ring).cast("long").alias("length"))
 
 
-_RESTRICTIONS = ((0, "https://m.*", None), (1, "*example.net/en/*", "!*blog.*"), (2, "http://*", None), (3, "*/de/*", None))
+_RESTRICTIONS = [{"module": "https://m.*"}, {"module": "*example.net/en/*", "from": ["!4*"]}, {"module": "http://*", "from": ["*1", "*2", "!*2"]}, {"module": "*/de/*"}]
 
 
-@_query("""SELECT page_id, CASE WHEN url LIKE 'https://m.%' THEN 0 WHEN url LIKE '%example.net/en/%' AND url NOT LIKE '%blog.%' THEN 1 WHEN url LIKE 'http://%' THEN 2 WHEN url LIKE '%/de/%' THEN 3 END AS restriction FROM pages
-WHERE url LIKE 'https://m.%' OR (url LIKE '%example.net/en/%' AND url NOT LIKE '%blog.%') OR url LIKE 'http://%' OR url LIKE '%/de/%'""")
+@_query("""SELECT page_id, CASE WHEN url LIKE 'https://m.%' THEN 0 WHEN url LIKE '%example.net/en/%' AND CAST(page_id AS VARCHAR) NOT LIKE '4%' THEN 1 WHEN url LIKE 'http://%' AND CAST(page_id AS VARCHAR) LIKE '%1' THEN 2 WHEN url LIKE '%/de/%' THEN 3 END AS restriction FROM pages
+WHERE url LIKE 'https://m.%' OR (url LIKE '%example.net/en/%' AND CAST(page_id AS VARCHAR) NOT LIKE '4%') OR (url LIKE 'http://%' AND CAST(page_id AS VARCHAR) LIKE '%1') OR url LIKE '%/de/%'""")
 def first_match_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    fits = [F.when(url.rlike(star_to_regex(m)) & (~url.rlike(star_to_regex(x[1:])) if x else F.lit(True)), F.lit(i)) for i, m, x in _RESTRICTIONS]
-    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(*fits).alias("restriction")).filter("restriction IS NOT NULL")
+    place = builtin.restriction(F.col("url"), F.col("page_id").cast("string"), _RESTRICTIONS)
+    return _table(spark, sf_dir, "pages").select("page_id", place.alias("restriction")).filter("restriction IS NOT NULL")
 
 
-@_query("""SELECT page_id FROM pages WHERE (page_id % 2 = 0 OR page_id % 5 = 0) AND url NOT LIKE '%blog%'""")
+@_query("""SELECT url AS file FROM pages WHERE (page_id % 2 = 0 OR page_id % 5 = 0) AND url NOT LIKE '%blog%'""")
 def selection_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    changed = pages.filter("page_id % 2 = 0").select("page_id").union(pages.filter("page_id % 5 = 0").select("page_id")).distinct()
-    return pages.filter(gates.selects(F.col("url"), [], ["*blog*"])).join(changed, "page_id", "left_semi").select("page_id")
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("file"))
+    changed = pages.filter("page_id % 2 = 0").select("file").unionByName(pages.filter("page_id % 5 = 0").select("file"))
+    return files.narrowed(pages.filter(gates.selects(F.col("file"), [], ["*blog*"])), changed).select("file")
+
+
+@_query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ts' WHEN 1 THEN 'PY' WHEN 2 THEN 'go' WHEN 3 THEN 'txt' ELSE 'mjs' END AS e, text FROM documents)
+SELECT doc_id, CASE e WHEN 'ts' THEN 'typescript' WHEN 'PY' THEN 'python' WHEN 'go' THEN 'go' ELSE 'javascript' END AS language, concat_ws(',', CASE WHEN e IN ('ts', 'mjs') THEN '0' END, CASE WHEN e = 'PY' AND contains(text, 'License') THEN '1' END, CASE WHEN e IN ('go', 'mjs') AND doc_id % 2 = 0 THEN '2' END) AS rules
+FROM d WHERE e IN ('ts', 'mjs') OR e = 'PY' AND contains(text, 'License') OR e = 'go' AND doc_id % 2 = 0""")
+def gate_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three gates at once: which rules each file admits."""
+    docs = _table(spark, sf_dir, "documents")
+    extension = F.element_at(F.array(*[F.lit(x) for x in ("ts", "PY", "go", "txt", "mjs")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    listed = docs.select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "even/").otherwise("odd/"), "doc_id", F.lit("."), extension).alias("file"), F.col("text").alias("source"))
+    listed = listed.withColumn("language", files.language_of(F.col("file")))
+    card = Card("m", "r", "a", "b")
+    rules = [
+        Rule("local/a", "(program) @p", card, lambda: [], languages=("typescript", "javascript")),
+        Rule("local/b", "(module) @p", card, lambda: [], languages=("python",), gates=gates.Gates(file_contains=["License"])),
+        Rule("local/c", "(import_spec) @p", card, lambda: [], languages=("go",), gates=gates.Gates(path_matches=["even/**"])),
+    ]
+    rules[2].languages = ("go", "javascript")
+    return gates.admitted(listed, rules, content=True).select("doc_id", "language", F.array_join("rules", ",").alias("rules"))
+
+
+@_query(f"""WITH f AS (SELECT doc_id FROM documents) SELECT {_path_sql("ts")} AS file, CASE WHEN doc_id % 3 = 2 THEN printf('src/d%012d.ts', doc_id - 2) ELSE printf('src/d%012d.ts', doc_id + 1) END AS target
+FROM documents WHERE CASE WHEN doc_id % 3 = 2 THEN doc_id - 2 ELSE doc_id + 1 END IN (SELECT doc_id FROM f)""")
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sources(spark, sf_dir, "ts")
+    edges = found.select("file", F.regexp_extract("source", "from '([^']*)'\nexport function alpha", 1).alias("specifier"))
+    return imports.resolved(edges, found.select("file")).select("file", "target")
 
 
 # --- fixes, cache -------------------------------------------------------------------------------------------
@@ -257,12 +317,12 @@ def fix_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""SELECT doc_id, replace(text, 'the', 'THE') AS source, (len(text) - len(replace(text, 'the', ''))) // 3 AS applied FROM documents WHERE contains(text, 'the')""")
 def fix_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).filter(F.contains("source", F.lit("the")))
+    texts = _files(spark, sf_dir).filter(F.contains("source", F.lit("the")))
     parts = F.split("source", "the", -1)
     starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, p: F.struct((acc["at"] + F.octet_length(p) + 3).alias("at"), F.array_append(acc["starts"], acc["at"] + F.octet_length(p)).alias("starts")))["starts"]
     fix = lambda s: F.struct(s.cast("bigint").alias("start"), (s + 3).cast("bigint").alias("end"), F.lit("THE").alias("replacement"), F.lit(True).alias("safe"))
     chosen = fixes.chosen(F.transform(starts, fix), F.octet_length("source"))
-    return files.withColumn("take", chosen).select("doc_id", fixes.splice(F.col("source"), F.col("take")).alias("source"), F.size("take").cast("bigint").alias("applied"))
+    return texts.withColumn("take", chosen).select("doc_id", fixes.splice(F.col("source"), F.col("take")).alias("source"), F.size("take").cast("bigint").alias("applied"))
 
 
 @_query("""WITH now AS (SELECT DISTINCT doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 3),
@@ -287,37 +347,144 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.keys(_files(spark, sf_dir), "run", "2024-07-01").select("doc_id", "key")
 
 
-# --- source code: a synthetic corpus, as the driver's tables hold none ------------------------------------
+@_query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'dated' ELSE 'plain' END AS kind FROM documents WHERE doc_id % 3 <> 0 AND NOT (doc_id % 4 <> 0 AND contains(text, 'License'))""")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of two files in three, every fourth of them of a date; files that hold `License` count only by their dated key."""
+    keyed = cache.keys(_files(spark, sf_dir), "run", "2024-07-01").withColumn("dated", F.contains("source", F.lit("License")))
+    kept = keyed.filter("doc_id % 3 <> 0")
+    entries = kept.select(F.when(F.col("doc_id") % 4 == 0, F.col("dated_key")).otherwise(F.col("key")).alias("key"), F.when(F.col("doc_id") % 4 == 0, "dated").otherwise("plain").alias("kind"))
+    return cache.hits(keyed, entries).join(keyed.select("file", "doc_id"), "file").select("doc_id", "kind")
+
+
+# --- source code: each document's text as a comment, and some code after it ----------------------------------
 
 
-@_query(f"""SELECT printf('src/m%04d.ts', i * 20) AS file, {fixture.DEBUGGER_LINE} AS line, 1 AS "column", 'debugger statement' AS message, 'error' AS severity FROM range(100) t(i)""")
+@_query(f"""SELECT {_path_sql("ts")} AS file, {_LINES_BEFORE} + 7 AS line, 1 AS "column", 'debugger statement' AS message, 'error' AS severity FROM documents WHERE doc_id % 20 = 0""")
 def check_single_file_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.run(spark, fixture.source_files(spark), [fixture.no_debugger()]).violations.select("file", "line", "column", "message", "severity")
+    return _check(spark, sf_dir, "ts", [fixture.no_debugger()]).violations.select("file", "line", "column", "message", "severity")
 
 
-@_query("""SELECT printf('src/m%04d.ts', i) AS file, CAST(3 + 4 * f AS INTEGER) AS line, '''f' || f || ''' is exported but nothing imports it' AS message FROM range(300) t(i), range(1, 8) u(f)
-UNION ALL SELECT printf('src/m%04d.ts', i), 35, '''C' || i || ''' is exported but nothing imports it' FROM range(300) t(i)""")
+@_query(f"""SELECT {_path_sql("ts")} AS file, {_LINES_BEFORE} + 7 AS line, 'warn' AS severity FROM documents WHERE doc_id % 20 = 0""")
+def severity_off_then_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that is off by itself and switched on by the configuration, beside one that is switched off."""
+    off, on = fixture.no_debugger(), builtin.no_default_export()
+    off.severity = "off"
+    return _check(spark, sf_dir, "ts", [off, on], severity={off.id: "warn", on.id: "off"}).violations.select("file", "line", "severity")
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("ts")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT file, n + 6 AS line, '''beta'' is exported but nothing imports it' AS message FROM d
+UNION ALL SELECT file, n + 2, '''alpha'' is exported but nothing imports it' FROM d WHERE CASE WHEN doc_id % 3 = 0 THEN doc_id + 2 ELSE doc_id - 1 END NOT IN (SELECT doc_id FROM d)""")
 def check_unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.run(spark, fixture.source_files(spark, 300), [builtin.no_unused_exports()]).violations.select("file", "line", "message")
+    return _check(spark, sf_dir, "ts", [builtin.no_unused_exports()]).violations.select("file", "line", "message")
 
 
-@_query("""SELECT string_agg(printf('src/m%04d.ts', i % 12), ' → ' ORDER BY i) AS ring, 1 AS n FROM range(13) t(i)""")
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("ts")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT c.file, c.n + 1 AS line, 'circular import: ' || a.file || ' → ' || b.file || ' → ' || c.file || ' → ' || a.file AS message FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 JOIN d c ON c.doc_id = a.doc_id + 2 WHERE a.doc_id % 3 = 0""")
 def check_circular_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixture.run(spark, fixture.source_files(spark, 12), [builtin.no_circular_imports()]).violations
-    return found.groupBy(F.regexp_replace("message", "^circular import: ", "").alias("ring")).agg(F.count("*").cast("int").alias("n"))
+    return _check(spark, sf_dir, "ts", [builtin.no_circular_imports()]).violations.select("file", "line", "message")
 
 
-@_query("""SELECT printf('src/m%04d.ts', i) AS file, CAST(9 AS BIGINT) AS exports, CAST(8 AS BIGINT) AS functions FROM range(100) t(i)""")
-def navigate_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = engine.exploded(engine.parse_nodes(fixture.source_files(spark, 100)), "nodes")
-    inner = navigation.subtree(nodes.filter("kind = 'export_statement'"), nodes)
-    return inner.groupBy("file").agg(F.countDistinct("node_id").alias("exports"), F.count_if(F.col("inner_kind") == "function_declaration").alias("functions"))
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("py")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT 'tessera/no-mutable-default-argument' AS rule, file, n + 2 AS line, 10 AS "column" FROM d
+UNION ALL SELECT 'tessera/no-mutable-default-argument', file, n + 2, 16 FROM d WHERE doc_id % 4 <> 0
+UNION ALL SELECT 'tessera/no-broad-except', file, n + 5, 5 FROM d WHERE doc_id % 2 = 0
+UNION ALL SELECT 'local/py-explicit-encoding', file, n + 4, 16 FROM d UNION ALL SELECT 'local/py-stdout-buffer', file, n + 6, 9 FROM d""")
+def check_python_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [builtin.no_broad_except(), builtin.no_mutable_default_argument(), project_rules.explicit_encoding(), project_rules.stdout_write()]
+    return _placed(_check(spark, sf_dir, "py", rules))
+
+
+def _placed(outcome: engine.Outcome) -> DataFrame:
+    return outcome.violations.select(F.concat_ws("/", "rule_ns", "rule_name").alias("rule"), "file", "line", "column")
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("go")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT 'tessera/no-context-in-struct' AS rule, file, n + 4 AS line, 2 AS "column" FROM d WHERE doc_id % 3 <> 0 UNION ALL SELECT 'tessera/no-package-init', file, n + 6, 1 FROM d WHERE doc_id % 2 = 0""")
+def check_go_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_check(spark, sf_dir, "go", [builtin.no_context_in_struct(), builtin.no_package_init()]))
 
 
-@_query("""SELECT printf('src/m%04d.ts', i) AS file, b.* FROM range(100) t(i), (VALUES ('f0', 'import', true), ('T', 'import', false)) b(name, binding, own)""")
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("rs")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT 'tessera/no-glob-import' AS rule, file, n + 1 AS line, 1 AS "column" FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 'tessera/no-unwrap', file, n + 2, 10 FROM d""")
+def check_rust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_check(spark, sf_dir, "rs", [builtin.no_glob_import(), builtin.no_unwrap()]))
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("ts")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT 'tessera/no-restricted-imports' AS rule, file, n + 1 AS line, 1 AS "column" FROM d WHERE CASE WHEN doc_id % 3 = 2 THEN doc_id - 2 ELSE doc_id + 1 END % 10 = 7
+UNION ALL SELECT 'local/no-debugger', file, n + 7, 1 FROM d WHERE doc_id % 20 = 0""")
+def check_combined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several rules in one walk over each tree."""
+    return _placed(_check(spark, sf_dir, "ts", [builtin.no_restricted_imports([{"module": "./*7"}]), fixture.no_debugger(), builtin.no_default_export()]))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parsed = checkpointed(engine.parse_nodes(_sources(spark, sf_dir, "ts")))
+    return tuple(engine.exploded(parsed, p) for p in ("nodes", "scopes", "decls"))
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, CAST(2 AS BIGINT) AS exports, CAST(1 AS BIGINT) AS functions, CAST(1 AS BIGINT) AS calls FROM documents""")
+def navigate_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, _ = _nodes(spark, sf_dir)
+    exports = nodes.filter("kind = 'export_statement'")
+    inner = navigation.subtree(exports, nodes)
+    calls = navigation.query_subtree(exports, nodes, nodes.filter("kind = 'call_expression'")).groupBy("file").agg(F.count("*").alias("calls"))
+    counted = inner.groupBy("file").agg(F.countDistinct("node_id").alias("exports"), F.count_if(F.col("inner_kind") == "function_declaration").alias("functions"))
+    return counted.join(calls, "file")
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, r.* FROM documents, (VALUES (1, 'return_statement', 'statement_block'), (2, 'statement_block', 'function_declaration'), (3, 'function_declaration', 'export_statement'), (4, 'export_statement', 'program'), (5, 'program', NULL)) r(place, kind, above)""")
+def navigate_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is around the only call, innermost first, each with its parent."""
+    nodes, _, _ = _nodes(spark, sf_dir)
+    up = navigation.ancestors(nodes.filter("kind = 'call_expression'"), nodes)
+    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("ancestor_depth")))
+    at = up.select("file", F.col("ancestor_id").alias("node_id"), F.col("ancestor_kind").alias("kind"), place.alias("place"))
+    return at.join(navigation.parent(at, nodes), ["file", "node_id"]).select("file", "place", "kind", F.col("parent_kind").alias("above"))
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, r.* FROM documents, (VALUES ('identifier', 0), ('arguments', 1)) r(kind, child_idx)""")
+def navigate_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, _ = _nodes(spark, sf_dir)
+    kids = navigation.children(nodes.filter("kind = 'call_expression'"), nodes, named=True)
+    return kids.select("file", F.col("child_kind").alias("kind"), "child_idx")
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, 'alpha' AS inside, 'list' AS name FROM documents UNION ALL SELECT {_path_sql("ts")}, 'alpha', 'a' FROM documents""")
+def navigate_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The function around each identifier within the call."""
+    nodes, _, _ = _nodes(spark, sf_dir)
+    names = navigation.subtree(nodes.filter("kind = 'call_expression'"), nodes).filter("inner_kind = 'identifier'").select("file", F.col("inner_id").alias("node_id"))
+    functions = nodes.filter("kind = 'function_declaration'")
+    near = navigation.closest_ancestor(names, nodes, functions)
+    title = nodes.filter("kind = 'identifier' AND field = 'name'").select("file", F.col("parent_id").alias("ancestor_id"), F.col("text").alias("inside"))
+    return near.join(title, ["file", "ancestor_id"]).join(nodes.select("file", "node_id", F.col("text").alias("name")), ["file", "node_id"]).select("file", "inside", "name")
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, b.* FROM documents, (VALUES ('alpha', 'import', false, 2), ('a', 'param', false, 3), ('list', 'const', false, 2), ('beta', 'const', false, 1)) b(name, binding, shadowed, uses)""")
 def resolve_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = engine.parse_nodes(fixture.source_files(spark, 100))
-    nodes, scopes, decls = (engine.exploded(parsed, p) for p in ("nodes", "scopes", "decls"))
-    names = nodes.filter("kind = 'identifier' AND text IN ('f0', 'T')")
+    nodes, scopes, decls = _nodes(spark, sf_dir)
+    names = nodes.filter("kind = 'identifier'")
     found = navigation.bindings(names, nodes, scopes, decls).join(names.select("file", "node_id", F.col("text").alias("name")), ["file", "node_id"])
-    return found.groupBy("file", "name", "binding").agg(F.bool_or(F.col("module").startswith("./m")).alias("own"))
+    return found.groupBy("file", "name", "binding", "shadowed").agg(F.count("*").cast("int").alias("uses"))
+
+
+@_query(f"""WITH d AS (SELECT {_path_sql("ts")} AS file, CASE WHEN doc_id % 3 = 2 THEN doc_id - 2 ELSE doc_id + 1 END AS n FROM documents)
+SELECT file, n = 7 AS exact, n % 10 = 7 AS globbed FROM d WHERE n % 10 = 7""")
+def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in which an identifier is imported from a module that ends in 7, and from exactly one such."""
+    nodes, scopes, decls = _nodes(spark, sf_dir)
+    bound = navigation.bindings(nodes.filter("kind = 'identifier'"), nodes, scopes, decls)
+    exact = navigation.resolves_to_import(bound, "./d000000000007", "alpha").select("file").distinct().withColumn("exact", F.lit(True))
+    globbed = navigation.imported_from(bound, "./*7").select("file").distinct()
+    return globbed.join(exact, "file", "left").select("file", F.coalesce("exact", F.lit(False)).alias("exact"), F.lit(True).alias("globbed"))
+
+
+@_query(f"""SELECT {_path_sql("ts")} AS file, 'notes.md' AS path, false AS absent FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT {_path_sql("ts")}, 'none.md', true FROM documents WHERE doc_id % 20 = 0""")
+def tracked_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that a handler makes of declared files, with absences."""
+    rule = Rule("local/reads", "(debugger_statement) @d", Card("m", "r", "a", "b"), handler(lambda ctx, m: (ctx.read_file("notes.md"), ctx.file_exists("none.md"))), reads=("notes.md", "none.md"))
+    sides = engine.declared_files([rule], {"notes.md": b"text"}.get)
+    out = engine.check(spark, _sources(spark, sf_dir, "ts"), engine.Config([rule]), "2024-07-01", sides=sides)
+    return out.reads.select("file", "path", F.col("hash").isNull().alias("absent"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans import builtin
@@ -25,6 +27,43 @@ def source_files(spark: SparkSession, n: int = 2_000) -> DataFrame:
     return scan_texts(spark.range(n).repartition(8), F.format_string("src/m%04d.ts", F.col("id")), text)
 
 
+#: Code that stands after a document's text, by language; lines count from the one after the text. {n} is the document, {n+1} and {n-2} others.
+CODE = {
+    "ts": "import {{ alpha }} from './{next}'\nexport function alpha(a) {{\n  const list = a\n  return list(a)\n}}\nexport const beta = 1\n",
+    "py": "import os{renamed}\ndef f(a, b=[], c=list()):\n    try:\n        return open(a)\n    except {caught}:\n        sys.stdout.write(a)\n",
+    "go": "package p\n{imports}\ntype C struct {{\n\tctx context.Context\n}}\nfunc {name}() {{}}\n",
+    "rs": "use std::collections::{used};\nfn f() {{ g().unwrap(); }}\n#[test]\nfn t() {{ g().unwrap(); }}\n",
+}
+
+
+def module(n: Column) -> Column:
+    return F.format_string("d%012d", n)
+
+
+def document_sources(documents: DataFrame, extension: str, path: str = "src") -> DataFrame:
+    """A source file for each document: its whole text as a comment, then some code that depends on doc_id.
+
+    Every third TypeScript file imports the one two before it, the others the next one. Every 20th stops in
+    the debugger.
+    """
+    n = F.col("doc_id")
+    ends = F.regexp_replace(F.coalesce("text", F.lit("")), "[*]/|/[*]", "")
+    text = F.concat(F.lit("# "), F.replace(ends, F.lit("\n"), F.lit("\n# "))) if extension == "py" else F.concat(F.lit("/*"), ends, F.lit("*/"))
+    given = {
+        "next": module(F.when(n % 3 == 2, n - 2).otherwise(n + 1)),
+        "renamed": F.when(n % 4 == 0, " as list").otherwise(""),
+        "caught": F.when(n % 2 == 0, "Exception").otherwise("KeyError"),
+        "imports": F.when(n % 3 == 0, "var x int").otherwise('import "context"'),
+        "name": F.when(n % 2 == 0, "init").otherwise("setup"),
+        "used": F.when(n % 2 == 0, "*").otherwise("HashMap"),
+    }
+    parts: list[Column] = []
+    for literal, name, _, _ in string.Formatter().parse(CODE[extension]):
+        parts += [F.lit(literal)] + ([given[name]] if name else [])
+    last = F.when((n % 20 == 0) & F.lit(extension == "ts"), "debugger\n").otherwise("")
+    return scan_texts(documents, F.concat(F.lit(f"{path}/"), module(n), F.lit(f".{extension}")), F.concat(text, F.lit("\n"), *parts, last))
+
+
 def no_debugger() -> Rule:
     return Rule("local/no-debugger", "(debugger_statement) @at", Card("debugger statement", "remove it", "debugger", "log(x)"), lambda: [report(captured("at"))])
 

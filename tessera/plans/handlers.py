@@ -10,9 +10,8 @@ import threading
 from collections.abc import Callable, Iterator
 
 from tessera.functions.globs import star_to_regex
-from tessera.operators.patterns import Pattern, compile_query, matches
-from tessera.plans.rule import Handler, RuleError
-from tessera.sources.parsers import FAMILY, KINDS
+from tessera.operators.patterns import Pattern, matches
+from tessera.plans.rule import Handler, RuleError, compile_for
 from tessera.sources.tree import Node, Tree
 
 #: Default budget of one call, in milliseconds.
@@ -52,7 +51,7 @@ _compiled: dict[tuple[str, str], list[Pattern]] = {}
 
 def _query(text: str, language: str) -> list[Pattern]:
     if (text, language) not in _compiled:
-        _compiled[text, language] = compile_query(text, KINDS[FAMILY[language]])
+        _compiled[text, language] = compile_for(text, language)
     return _compiled[text, language]
 
 

@@ -12,7 +12,7 @@ from tessera.functions.identifiers import RuleId
 from tessera.operators.gates import Gates
 from tessera.operators.patterns import Pattern, compile_query
 from tessera.schemas import SEVERITIES
-from tessera.sources.parsers import FAMILY, KINDS
+from tessera.sources.parsers import FAMILY, FIELDS, KINDS, LEAVES, ROOTS
 
 CAPTURE = "struct<name:string,node_id:int,kind:string,text:string,line:int,column:int,start:bigint,end:bigint,binding:string,module:string,imported:string,shadowed:boolean,attributes:array<string>>"
 FIX = "struct<start:bigint,end:bigint,replacement:string,safe:boolean>"
@@ -26,6 +26,12 @@ class RuleError(ValueError):
     """A rule that cannot be used as it is written."""
 
 
+def compile_for(query: str, language: str) -> list[Pattern]:
+    """A query's patterns, checked against what a language's parser makes."""
+    family = FAMILY[language]
+    return compile_query(query, KINDS[family], FIELDS[family], LEAVES, ROOTS)
+
+
 @dataclass(frozen=True)
 class Card:
     message: str
@@ -115,7 +121,7 @@ class Rule:
             if path.startswith("/") or ".." in path.split("/") or not path:
                 raise RuleError(f"{self.id}: `{path}` lies outside the project")
         self.card.check()
-        self.compiled = {language: compile_query(self.query, KINDS[FAMILY[language]]) for language in self.languages}
+        self.compiled = {language: compile_for(self.query, language) for language in self.languages}
 
     def emits(self) -> list[Emit]:
         """The expressions of a rule that is no handler."""

@@ -9,13 +9,14 @@ from typing import NamedTuple
 _COMMON = [("space", rb"[ \t\r\n\x0b\x0c]+"), ("comment", rb"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?")]
 _NAME = ("name", rb"[A-Za-z_$\x80-\xff][A-Za-z0-9_$\x80-\xff]*")
 _NUMBER = ("number", rb"[0-9][A-Za-z0-9_.]*")
-_MARK = ("mark", rb"=>|\.\.\.|::|->|:=|[^\x00]")
 _STRINGS = ("string", rb"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?")
 _JS_MARK = ("mark", rb"=>|\.\.\.|===|!==|==|!=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\*\*=|\*\*|<<=|<<|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\x00]")
+_GO_MARK = ("mark", rb"\.\.\.|:=|<-|&&|\|\||==|!=|<=|>=|\+\+|--|<<=|>>=|&\^=|&\^|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\x00]")
+_RUST_MARK = ("mark", rb"=>|\.\.=|\.\.\.|\.\.|::|->|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\x00]")
 LEXERS = {
     "js": [*_COMMON, ("template", rb"`"), _STRINGS, _NAME, _NUMBER, _JS_MARK],
-    "go": [*_COMMON, ("string", rb"`[^`]*`?|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"), _NAME, _NUMBER, _MARK],
-    "rust": [*_COMMON, ("string", rb"b?r(?P<h>#*)\"[\s\S]*?\"(?P=h)|b?\"(?:[^\"\\]|\\[\s\S])*\"?|b?'(?:[^'\\\n]|\\[^\n]{1,8}?)'"), ("lifetime", rb"'[A-Za-z_][A-Za-z0-9_]*"), _NAME, _NUMBER, _MARK],
+    "go": [*_COMMON, ("string", rb"`[^`]*`?|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"), _NAME, _NUMBER, _GO_MARK],
+    "rust": [*_COMMON, ("string", rb"b?r(?P<h>#*)\"[\s\S]*?\"(?P=h)|b?\"(?:[^\"\\]|\\[\s\S])*\"?|b?'(?:[^'\\\n]|\\[^\n]{1,8}?)'"), ("lifetime", rb"'[A-Za-z_][A-Za-z0-9_]*"), _NAME, ("number", rb"[0-9](?:[A-Za-z0-9_]|\.(?=[0-9]))*"), _RUST_MARK],
 }
 _COMPILED = {k: re.compile(b"|".join(b"(?P<%s>%s)" % (n.encode(), p) for n, p in v), re.S) for k, v in LEXERS.items()}
 #: A slash after one of these starts a regular expression in JavaScript.

@@ -1,8 +1,7 @@
 """Parsers for the supported languages: trees, scopes and declarations of one file.
 
-They name the node kinds that the shipped rules and their queries use; anything else stays text of its
-parent. Curly-brace languages are read by a lexer and never fail; a Python file that does not parse gives
-no nodes.
+Curly-brace languages are read by tolerant parsers of this package, so that every file gives a tree; Python by
+the standard library's, and a file that does not parse gives no nodes.
 """
 
 from __future__ import annotations
@@ -13,16 +12,29 @@ from dataclasses import dataclass, field
 
 from tessera.sources.ecma import KINDS as ECMA_KINDS
 from tessera.sources.ecma import Ecma
-from tessera.sources.lexer import Token, lex, matching
+from tessera.sources.golang import KINDS as GO_KINDS
+from tessera.sources.golang import Go
+from tessera.sources.rustlang import KINDS as RUST_KINDS
+from tessera.sources.rustlang import Rust
 from tessera.sources.tree import Node, Tree
 
 #: Node kinds that each family of parsers produces; a query that names another is refused.
 KINDS = {
     "js": ECMA_KINDS,
-    "go": frozenset("source_file package_clause import_declaration import_spec interpreted_string_literal package_identifier function_declaration method_declaration identifier type_declaration type_spec type_identifier struct_type field_declaration_list field_declaration field_identifier qualified_type pointer_type".split()),
-    "rust": frozenset("source_file use_declaration use_wildcard scoped_use_list scoped_identifier attribute_item function_item mod_item identifier declaration_list block call_expression field_expression field_identifier arguments".split()),
+    "go": GO_KINDS,
+    "rust": RUST_KINDS,
     "python": frozenset("module function_definition class_definition lambda block except_clause as_pattern identifier tuple list dictionary set call attribute argument_list keyword_argument string integer default_parameter typed_default_parameter parameters import_statement import_from_statement expression".split()),
 }
+#: Names of the fields that children stand in.
+FIELDS = {
+    "js": frozenset("alias alternative argument arguments body condition consequence constructor declaration finalizer function handler increment index initializer key kind label left name object operator parameter parameters pattern property return_type right source type type_arguments value".split()),
+    "go": frozenset("alias alternative arguments body channel communication condition consequence element field function index initializer key label left name operand operator package parameters path receiver result right type type_parameters update value".split()),
+    "rust": frozenset("alias alternative argument arguments body condition consequence element field function left list macro name operator parameters path pattern return_type right trait type type_arguments type_parameters value".split()),
+    "python": frozenset("arguments attribute function name object value".split()),
+}
+#: Kinds that never have children.
+LEAVES = frozenset("identifier property_identifier type_identifier field_identifier package_identifier shorthand_property_identifier shorthand_property_identifier_pattern shorthand_field_identifier statement_identifier primitive_type number regex this super null true false undefined string_literal raw_string_literal interpreted_string_literal rune_literal char_literal integer_literal int_literal float_literal boolean_literal self debugger_statement empty_statement label_name nil iota".split())
+ROOTS = frozenset(("program", "source_file", "module"))
 FAMILY = {"typescript": "js", "tsx": "js", "javascript": "js", "go": "go", "rust": "rust", "python": "python"}
 
 
@@ -40,9 +52,11 @@ class Parsed:
 
 
 def parse(source: bytes, language: str) -> Parsed:
-    if language == "javascript":
-        return _js(source, False)
-    return {"js": _js, "go": _go, "rust": _rust, "python": _python}[FAMILY[language]](source)
+    if language == "python":
+        return _python(source)
+    p = Go(source) if language == "go" else Rust(source) if language == "rust" else Ecma(source, language != "javascript")
+    p.parse()
+    return Parsed(p.root, p.scopes, p.decls)
 
 
 def tables(source: bytes, language: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
@@ -61,229 +75,6 @@ def tables(source: bytes, language: str) -> tuple[list[tuple], list[tuple], list
     return nodes, scopes, p.decls
 
 
-def _leaf(kind: str, t: Token, name: str | None = None, named: bool = True) -> Node:
-    return Node(kind, t.start, t.end, name, named)
-
-
-def _strip(t: Token) -> str:
-    return t.text[1:-1].decode("utf-8", "replace")
-
-
-# --- JavaScript and TypeScript ---------------------------------------------------------------------
-
-
-def _js(source: bytes, typed: bool = True) -> Parsed:
-    p = Ecma(source, typed).parse()
-    return Parsed(p.root, p.scopes, p.decls)
-
-
-# --- Go ---------------------------------------------------------------------------------------------
-
-
-def _go(source: bytes) -> Parsed:
-    tokens = lex(source, "go")
-    match = matching(tokens)
-    root = Node("source_file", 0, len(source))
-    out = Parsed(root, [(0, len(source), "file")])
-    i = 0
-    while i < len(tokens):
-        t = tokens[i]
-        nxt = tokens[i + 1] if i + 1 < len(tokens) else None
-        if t.text == b"import" and nxt is not None:
-            end = match[i + 1] if nxt.text == b"(" else next((k for k in range(i + 1, len(tokens)) if tokens[k].kind == "string"), i)
-            n = Node("import_declaration", t.start, tokens[end].end)
-            for k in range(i + 1, end + 1):
-                if tokens[k].kind == "string":
-                    before = tokens[k - 1]
-                    alias = before if before.kind == "name" and before.text != b"import" or before.text in (b".", b"_") else None
-                    spec = Node("import_spec", (alias or tokens[k]).start, tokens[k].end).add(_leaf("package_identifier", alias, "name") if alias else None, _leaf("interpreted_string_literal", tokens[k], "path"))
-                    n.add(spec)
-                    module = _strip(tokens[k])
-                    name = alias.text.decode("utf-8", "replace") if alias else module.rsplit("/", 1)[-1]
-                    if name not in ("_", "."):
-                        out.decls.append((0, name, "import", module, "*"))
-            root.add(n)
-            i = end + 1
-        elif t.text == b"func" and nxt is not None:
-            k = i + 1
-            method = nxt.text == b"("
-            if method:
-                k = match[k] + 1
-            name = tokens[k] if k < len(tokens) else None
-            end = k
-            while end < len(tokens) and tokens[end].text != b"{" and not (b"\n" in source[tokens[end - 1].end : tokens[end].start] and end > k):
-                end = match[end] + 1
-            end = match[end] if end < len(tokens) and tokens[end].text == b"{" else min(end, len(tokens)) - 1
-            n = Node("method_declaration" if method else "function_declaration", t.start, tokens[end].end)
-            if name is not None and name.kind == "name":
-                n.add(_leaf("field_identifier" if method else "identifier", name, "name"))
-                if not method:
-                    out.decls.append((0, name.text.decode("utf-8", "replace"), "function", None, None))
-            root.add(n)
-            i = end + 1
-        elif t.text == b"type" and nxt is not None:
-            grouped = nxt.text == b"("
-            stop = match[i + 1] if grouped else len(tokens)
-            n = Node("type_declaration", t.start, nxt.end)
-            k = i + 2 if grouped else i + 1
-            while k < stop and tokens[k].kind == "name":
-                spec, k = _go_type(tokens, match, k, source, out)
-                n.add(spec)
-                if not grouped:
-                    break
-            n.end = tokens[stop].end if grouped else (n.children[-1].end if n.children else nxt.end)
-            root.add(n)
-            i = stop + 1 if grouped else max(k, i + 1)
-        elif t.text in (b"var", b"const") and nxt is not None and nxt.kind == "name":
-            out.decls.append((0, nxt.text.decode("utf-8", "replace"), t.text.decode(), None, None))
-            i += 2
-        else:
-            i = match[i] + 1
-    return out
-
-
-def _go_type(tokens: list[Token], match: list[int], k: int, source: bytes, out: Parsed) -> tuple[Node, int]:
-    name = tokens[k]
-    out.decls.append((0, name.text.decode("utf-8", "replace"), "type", None, None))
-    n = Node("type_spec", name.start, name.end).add(_leaf("type_identifier", name, "name"))
-    k += 1
-    while k < len(tokens) and tokens[k].text != b"struct" and b"\n" not in source[tokens[k - 1].end : tokens[k].start]:
-        k = match[k] + 1
-    if k + 1 < len(tokens) and tokens[k].text == b"struct" and tokens[k + 1].text == b"{" and b"\n" not in source[name.end : tokens[k].start]:
-        end = match[k + 1]
-        body = Node("field_declaration_list", tokens[k + 1].start, tokens[end].end)
-        n.add(Node("struct_type", tokens[k].start, tokens[end].end, "type").add(body))
-        line: list[int] = []
-        j = k + 2
-        while j <= end:
-            if line and (j == end or tokens[j].text == b";" or b"\n" in source[tokens[match[line[-1]]].end : tokens[j].start]):
-                body.add(_go_field(tokens, match, line))
-                line = []
-            if j < end and tokens[j].text != b";":
-                line.append(j)
-            j = match[j] + 1
-        k = end + 1
-        n.end = tokens[end].end
-    return n, k
-
-
-def _go_field(tokens: list[Token], match: list[int], line: list[int]) -> Node:
-    part = [tokens[x] for x in line if tokens[x].kind != "string"]
-    n = Node("field_declaration", tokens[line[0]].start, tokens[match[line[-1]]].end)
-    k = 0
-    while k + 1 < len(part) and part[k].kind == "name" and (part[k + 1].text == b"," or part[k + 1].kind == "name" or part[k + 1].text in (b"*", b"[", b"(")):
-        n.add(_leaf("field_identifier", part[k], "name"))
-        k += 2 if part[k + 1].text == b"," else 1
-    pointer = part[k] if k < len(part) and part[k].text == b"*" else None
-    k += pointer is not None
-    rest = part[k:]
-    if len(rest) == 3 and rest[0].kind == rest[2].kind == "name" and rest[1].text == b".":
-        q = Node("qualified_type", rest[0].start, rest[2].end).add(_leaf("package_identifier", rest[0], "package"), _leaf("type_identifier", rest[2], "name"))
-        if pointer:
-            n.add(Node("pointer_type", pointer.start, rest[2].end, "type").add(q))
-        else:
-            q.field = "type"
-            n.add(q)
-    elif len(rest) == 1 and rest[0].kind == "name":
-        n.add(_leaf("type_identifier", rest[0], "type"))
-    return n
-
-
-# --- Rust -------------------------------------------------------------------------------------------
-
-
-def _rust(source: bytes) -> Parsed:
-    tokens = lex(source, "rust")
-    match = matching(tokens)
-    root = Node("source_file", 0, len(source))
-    out = Parsed(root, [(0, len(source), "file")])
-    _rust_items(tokens, match, 0, len(tokens), root, out)
-    return out
-
-
-def _rust_items(tokens: list[Token], match: list[int], i: int, stop: int, parent: Node, out: Parsed) -> None:
-    while i < stop:
-        t = tokens[i]
-        nxt = tokens[i + 1] if i + 1 < stop else None
-        if t.text == b"#" and nxt is not None and (nxt.text == b"[" or nxt.text == b"!" and i + 2 < stop and tokens[i + 2].text == b"["):
-            end = match[i + 1 if nxt.text == b"[" else i + 2]
-            parent.add(Node("attribute_item" if nxt.text == b"[" else "inner_attribute_item", t.start, tokens[end].end))
-            i = end + 1
-        elif t.text == b"use" and t.kind == "name" and nxt is not None:
-            end = next((k for k in range(i, stop) if tokens[k].text == b";"), stop - 1)
-            first = i
-            while first > 0 and (tokens[first - 1].text == b"pub" or tokens[first - 1].text == b")" and first > 3 and tokens[first - 4].text == b"pub"):
-                first -= 1 if tokens[first - 1].text == b"pub" else 4
-            n = Node("use_declaration", tokens[first].start, tokens[end].end)
-            if end - 1 > i and tokens[end - 1].text == b"*":
-                n.add(Node("use_wildcard", nxt.start, tokens[end - 1].end, "argument"))
-            elif end - 1 > i:
-                kind = "scoped_use_list" if tokens[end - 1].text == b"}" else "scoped_identifier" if end - i > 2 else "identifier"
-                n.add(Node(kind, nxt.start, tokens[end - 1].end, "argument"))
-            parent.add(n)
-            i = end + 1
-        elif t.text in (b"fn", b"mod") and t.kind == "name" and nxt is not None and nxt.kind == "name":
-            k = i + 2
-            while k < stop and tokens[k].text not in (b"{", b";"):
-                k = match[k] + 1
-            k = min(k, stop - 1)
-            end = match[k]
-            first = i
-            while first > 0 and tokens[first - 1].text in (b"pub", b"async", b"const", b"unsafe", b"extern"):
-                first -= 1
-            n = Node("function_item" if t.text == b"fn" else "mod_item", tokens[first].start, tokens[end].end).add(_leaf("identifier", nxt, "name"))
-            parent.add(n)
-            out.decls.append((0, nxt.text.decode("utf-8", "replace"), "function" if t.text == b"fn" else "module", None, None))
-            if tokens[k].text == b"{":
-                body = Node("block" if t.text == b"fn" else "declaration_list", tokens[k].start, tokens[end].end, "body")
-                n.add(body)
-                _rust_items(tokens, match, k + 1, end, body, out)
-            i = end + 1
-        elif t.text == b"." and nxt is not None and nxt.kind == "name" and i + 2 < stop and tokens[i + 2].text == b"(":
-            start = _rust_receiver(tokens, match, i)
-            end = match[i + 2]
-            target = Node("field_expression", tokens[start].start, nxt.end, "function").add(_leaf("field_identifier", nxt, "field"))
-            parent.add(Node("call_expression", tokens[start].start, tokens[end].end).add(target, Node("arguments", tokens[i + 2].start, tokens[end].end, "arguments")))
-            _rust_items(tokens, match, i + 3, end, parent.children[-1].children[1], out)
-            i = end + 1
-        elif t.kind == "name" and nxt is not None and nxt.text == b"::" and i + 2 < stop and tokens[i + 2].kind == "name":
-            k = i + 2
-            while k + 2 < stop and tokens[k + 1].text == b"::" and tokens[k + 2].kind == "name":
-                k += 2
-            # only the outermost path is a node with a path of its own
-            path = Node("scoped_identifier", t.start, tokens[k].end).add(Node("scoped_identifier" if k > i + 2 else "identifier", t.start, tokens[k - 2].end, "path"), _leaf("identifier", tokens[k], "name"))
-            if k + 1 < stop and tokens[k + 1].text == b"(":
-                path.field = "function"
-                inner = Node("arguments", tokens[k + 1].start, tokens[match[k + 1]].end, "arguments")
-                parent.add(Node("call_expression", t.start, inner.end).add(path, inner))
-                _rust_items(tokens, match, k + 2, match[k + 1], inner, out)
-                k = match[k + 1]
-            else:
-                parent.add(path)
-            i = k + 1
-        elif t.text == b"{":
-            _rust_items(tokens, match, i + 1, match[i], parent, out)
-            i = match[i] + 1
-        else:
-            i += 1
-
-
-def _rust_receiver(tokens: list[Token], match: list[int], dot: int) -> int:
-    """Index of the first token of the expression that a method call stands on."""
-    opened = {b: a for a, b in enumerate(match) if a != b}
-    k = dot - 1
-    while k > 0:
-        k = opened.get(k, k)
-        before = tokens[k - 1]
-        joins = before.text in (b".", b"::") or before.kind == "name" and tokens[k].text in (b"(", b"[") or before.text in (b")", b"]", b"?", b"!") and tokens[k].text in (b"(", b"[", b"?", b".")
-        if tokens[k].text in (b".", b"::", b"?", b"!"):
-            joins = True
-        if not joins:
-            break
-        k -= 1
-    return max(0, k)
-
-
 # --- Python -----------------------------------------------------------------------------------------
 
 _LITERALS = {ast.List: "list", ast.Dict: "dictionary", ast.Set: "set", ast.Tuple: "tuple", ast.Name: "identifier", ast.Call: "call", ast.Attribute: "attribute", ast.Lambda: "lambda"}
@@ -296,6 +87,8 @@ class _Python(ast.NodeVisitor):
             self.starts.append(self.starts[-1] + len(line))
         self.out = Parsed(Node("module", 0, len(source)), [(0, len(source), "file")])
         self.parent, self.scope = self.out.root, 0
+        #: What a name that is stored to is bound by.
+        self.role = "assignment"
         self.globals: dict[int, set[str]] = {}
 
     def span(self, n: ast.AST) -> tuple[int, int]:
@@ -339,7 +132,7 @@ class _Python(ast.NodeVisitor):
     def visit_Name(self, n: ast.Name) -> None:
         self.put(n, "identifier")
         if isinstance(n.ctx, ast.Store):
-            self.bind(n.id, "variable")
+            self.bind(n.id, self.role)
 
     def visit_keyword(self, n: ast.keyword) -> None:
         self.within(self.put(n, "keyword_argument"), [n.value])
@@ -363,7 +156,7 @@ class _Python(ast.NodeVisitor):
             as_pattern = Node("as_pattern", at, stop)
             node.add(as_pattern)
             self.within(as_pattern, [n.type])
-            self.bind(n.name, "variable")
+            self.bind(n.name, "catch-param")
         elif n.type is not None:
             self.within(node, [n.type])
         if n.body:
@@ -376,7 +169,7 @@ class _Python(ast.NodeVisitor):
         pairs = list(zip(plain, [None] * (len(plain) - len(a.defaults)) + a.defaults, strict=True)) + list(zip(a.kwonlyargs, a.kw_defaults, strict=True))
         for arg in [*(x for x, _ in pairs), a.vararg, a.kwarg]:
             if arg is not None:
-                self.bind(arg.arg, "parameter")
+                self.bind(arg.arg, "param")
         for arg, default in pairs:
             if default is not None:
                 p = Node("typed_default_parameter" if arg.annotation else "default_parameter", self.span(arg)[0], self.span(default)[1])
@@ -418,9 +211,37 @@ class _Python(ast.NodeVisitor):
             self.visit(b)
         self.enter(n, "class", lambda: self.within(node, n.body))
 
+    def stored(self, role: str, target: ast.AST | None) -> None:
+        kept, self.role = self.role, role
+        if target is not None:
+            self.visit(target)
+        self.role = kept
+
+    def loop(self, n: ast.For | ast.AsyncFor) -> None:
+        self.stored("loop", n.target)
+        for part in (n.iter, *n.body, *n.orelse):
+            self.visit(part)
+
+    visit_For = visit_AsyncFor = loop
+
+    def visit_withitem(self, n: ast.withitem) -> None:
+        self.visit(n.context_expr)
+        self.stored("context-manager", n.optional_vars)
+
     def comprehension(self, n: ast.expr) -> None:
         node = self.put(n, "expression")
-        self.enter(n, "function", lambda: self.within(node, list(ast.iter_child_nodes(n))))
+
+        def work() -> None:
+            self.parent, kept = node, self.parent
+            for g in n.generators:
+                self.stored("comprehension", g.target)
+                for part in (g.iter, *g.ifs):
+                    self.visit(part)
+            for part in (n.key, n.value) if isinstance(n, ast.DictComp) else (n.elt,):
+                self.visit(part)
+            self.parent = kept
+
+        self.enter(n, "function", work)
 
     visit_ListComp = visit_SetComp = visit_DictComp = visit_GeneratorExp = comprehension
 

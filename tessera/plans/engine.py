@@ -25,7 +25,7 @@ from tessera.operators import cache
 from tessera.operators import directives as dirs
 from tessera.operators.gates import admitted
 from tessera.operators.patterns import matches
-from tessera.operators.tables import checkpointed
+from tessera.operators.tables import at_once, checkpointed
 from tessera.operators.violations import canonical, numbered
 from tessera.plans.handlers import TIMEOUT_MS, Context, deadline
 from tessera.plans.rule import MATCHES, Corpus, Handler, Rule, RuleError
@@ -287,13 +287,13 @@ def file_phase(fit: DataFrame, active: list[Rule], config: Config, today: str, s
 
 def corpus_phase(facts: DataFrame, listed: DataFrame, active: list[Rule], config: Config) -> DataFrame | None:
     """Violations of whole-corpus rules: each sees its own facts and the list of files."""
-    out = []
-    for r in active:
-        if r.reduce:
-            own = facts.filter((F.col("rule_ns") == r.rule_id.namespace) & (F.col("rule_name") == r.rule_id.name))
-            got = r.reduce(Corpus(own, listed))
-            out.append(got.select(F.lit(r.rule_id.namespace).alias("rule_ns"), F.lit(r.rule_id.name).alias("rule_name"), "file", "line", "column", F.coalesce("message", F.lit(r.card.message)).alias("message"), F.lit(r.card.remediation).alias("remediation"), F.lit(config.resolved(r)).alias("severity"), F.lit(None).cast(schemas.FIX).alias("fix")))
-    return checkpointed(_union(out)) if out else None
+    def of(r: Rule) -> DataFrame:
+        own = facts.filter((F.col("rule_ns") == r.rule_id.namespace) & (F.col("rule_name") == r.rule_id.name))
+        got = r.reduce(Corpus(own, listed))
+        return checkpointed(got.select(F.lit(r.rule_id.namespace).alias("rule_ns"), F.lit(r.rule_id.name).alias("rule_name"), "file", "line", "column", F.coalesce("message", F.lit(r.card.message)).alias("message"), F.lit(r.card.remediation).alias("remediation"), F.lit(config.resolved(r)).alias("severity"), F.lit(None).cast(schemas.FIX).alias("fix")))
+
+    out = at_once(facts.sparkSession, *(lambda r=r: of(r) for r in active if r.reduce))
+    return _union(out) if out else None
 
 
 def _finish(found: DataFrame, more: DataFrame | None, facts: DataFrame, directives: DataFrame, config: Config, today: str, unused: bool) -> tuple[DataFrame, DataFrame]:
@@ -326,11 +326,10 @@ def check(spark: SparkSession, files: DataFrame, config: Config, today: str, who
     files = files.filter("language IS NOT NULL")
     active = config.active()
     fit = admitted(files, active, content=True)
-    rows = file_phase(fit, active, config, today, sides, profile)
+    rows, directives = at_once(spark, lambda: file_phase(fit, active, config, today, sides, profile), lambda: checkpointed(dirs.found(fit, config.directive_prefix)))
     facts = checkpointed(facts_of(rows, active)) if whole and any(r.reduce for r in active) else facts_of(rows, active)
     listed = (files if listed is None else listed).select("file").distinct()
     more = corpus_phase(facts, listed, active, config) if whole else None
-    directives = checkpointed(dirs.found(fit, config.directive_prefix))
     violations, valid = _finish(reports_of(rows, active, config), more, facts, directives, config, today, unused)
     return Outcome(violations, facts, valid, listed, fit.select("file"), _timings(rows, active), _reads(rows))
 

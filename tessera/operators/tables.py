@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -25,11 +26,43 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Folders of intermediate tables that are still there.
+_made: list[str] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: iterations then neither grow their plan nor redo their past."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again.
+
+    Iterations then neither grow their plan nor redo their past, and a lost executor costs a re-read, never a
+    recomputation that could order ties differently. The table goes when scratch() ends, or the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    _made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Intermediate tables that are made within are deleted at the end, but those of the frames put into the list."""
+    start, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        held = {f.rstrip("/").rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+        for path in _made[start:]:
+            if path.rsplit("/", 1)[-1] not in held:
+                fs, at = _folder(spark, path)
+                fs.delete(at, True)
+                _made.remove(path)
 
 
 def at_once(spark: SparkSession, *work: Callable) -> list:

@@ -241,3 +241,21 @@ def test_circular_imports_in_one_task_and_by_joins(spark):
         for one_task in (10**6, 0):
             assert sorted((r.file, r.line, tuple(r.path)) for r in circular_imports(df, depth, one_task).collect()) == want
     assert circular_imports(df.limit(0)).count() == 0
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    from tessera.operators.tables import checkpointed, scratch
+
+    at = lambda df: os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    outside = checkpointed(spark.range(3))
+    with scratch(spark) as keep:
+        a, b = checkpointed(spark.range(5)), checkpointed(spark.range(7))
+        with scratch(spark) as inner:
+            c = checkpointed(spark.range(2))
+            inner.append(c)
+        gone, kept = at(a), [at(b), at(c)]
+        keep += [b, c]
+    assert not os.path.exists(gone) and all(os.path.isdir(k) for k in kept) and os.path.isdir(at(outside))
+    assert b.count() == 7 and c.count() == 2 and outside.count() == 3

@@ -11,7 +11,8 @@ source takes exactly its quota of slots: ranks beyond it are passed over, and th
 still owes at its end are appended. Slots are part of the result: by them the mix has its order.
 
 Scale: sums and ranks within a source run over hash buckets and slot chunks, with a running total over the
-buckets only, so no task holds a source. One row per source is the only thing ordered in one task.
+buckets only, so no task holds a source. Sources are dealt by ranges and numbered range by range, so no task
+holds all of them either.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source; equal rows are
 drawn one by one; an empty table, or one without words, gives targets of 0; other columns are not looked
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.support import free_name, materialize, word_count_expr, words_expr
+from tessera.llm.support import free_name, materialize, running, word_count_expr, words_expr
 
 PHI = 0.6180339887498949
 _STEP = 1 << 20
@@ -50,18 +51,17 @@ class Settings:
 def _targets(sized: DataFrame, s: Settings) -> DataFrame:
     """One row per source: sid (place by code point), its size, target, blocks, words of a block and quota of slots."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
+    per = running(per, [F.col("source").asc_nulls_last()], "sid")
     w = F.element_at(F.array(*(F.lit(float(x)) for x in s.weights)), (F.pmod(F.col("sid"), F.lit(len(s.weights))) + 1).cast("int"))
-    per = per.withColumn("sid", F.row_number().over(ordered) - 1).withColumn("w", w).withColumn("cap", F.lit(float(s.most)) * F.col("source_size"))
-    everywhere = Window.partitionBy(F.lit(0))
-    by_cap = everywhere.orderBy(F.col("cap") / F.col("w"), "sid")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(everywhere) * F.lit(s.share)
+    per = per.withColumn("w", w).withColumn("cap", F.lit(float(s.most)) * F.col("source_size"))
+    sums = per.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
+    per = running(per, [F.col("cap") / F.col("w"), F.col("sid")], "pos", capped="cap", spent="w")
     # level k: what a unit of weight gets if all sources with smaller cap / w are capped; the first that its own source does not reach holds
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everywhere) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    per = per.withColumns({"level": level, "pos": F.row_number().over(by_cap)})
-    per = per.withColumn("first", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("pos", "level"))).over(everywhere))
-    target = F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("first.level")))
+    level = (F.lit(float(sums["n"] or 0) * s.share) - F.col("capped")) / (F.lit(float(sums["w"] or 0)) - F.col("spent"))
+    per = materialize(per.withColumn("level", level))
+    found = per.agg(F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("pos", "level"))).alias("first")).first()["first"]
+    unit = F.lit(None if found is None else found["level"]).cast("double")
+    target = F.when(unit.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * unit))
     words = F.greatest(F.lit(1), F.least(F.lit(s.block), F.floor(F.col("source_size") / s.least_blocks))).cast("long")
     per = per.withColumns({"target": target, "words": words}).withColumn("blocks", F.ceil(F.col("source_size") / F.col("words")).cast("long"))
     return per.withColumn("quota", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.col("blocks") * s.most)).otherwise(0).cast("long")).select("source", "sid", "source_size", "target", "words", "blocks", "quota")
@@ -72,8 +72,8 @@ def schedule(targets: DataFrame, s: Settings) -> DataFrame:
     spark = targets.sparkSession
     n, k = (int(x or 0) for x in targets.agg(F.sum("quota"), F.count("*")).first())
     cells = max(1, 4 * k)
-    up_to = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    arcs = targets.filter("quota > 0").withColumn("hi", F.sum("quota").over(up_to) / float(max(1, n))).withColumn("lo", F.col("hi") - F.col("quota") / float(max(1, n)))
+    arcs = running(targets.filter("quota > 0"), [F.col("sid")], "place", before="quota")
+    arcs = arcs.withColumn("hi", (F.col("before") + F.col("quota")) / float(max(1, n))).withColumn("lo", F.col("hi") - F.col("quota") / float(max(1, n)))
     # a source's arc is known in each grid cell that it touches, so points find their source by an equality
     in_cells = arcs.select("sid", "quota", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))).alias("cell"))
     slots = spark.range(n).select(F.col("id").alias("n"))
@@ -87,7 +87,7 @@ def schedule(targets: DataFrame, s: Settings) -> DataFrame:
     ranked = hit.withColumn("r", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("n")) - 1).join(offsets, ["sid", "chunk"]).select("n", "sid", (F.col("r") + F.col("offset")).alias("rank"))
     got = hit.groupBy("sid").agg(F.count("*").alias("got"))
     owed = targets.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < quota").select("sid", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("rank"))
-    owed = owed.withColumn("n", F.row_number().over(Window.orderBy("sid", "rank")) - 1 + F.lit(n)).select(F.col("n").cast("long").alias("n"), "sid", "rank")
+    owed = running(owed, [F.col("sid"), F.col("rank")], "n").select((F.col("n") + F.lit(n)).cast("long").alias("n"), "sid", "rank")
     taken = ranked.unionByName(owed).join(targets.select("sid", "quota", "blocks"), "sid").filter("rank < quota")
     return taken.select(F.col("n").alias("slot"), "sid", F.expr("rank % blocks").alias("block"))
 

@@ -4,48 +4,25 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import checkpointed as materialize
+from tessera.operators.tables import scratch
+
+__all__ = ["materialize", "scratch"]
+
 #: A-Z to a-z, for both arguments of translate().
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the corpus contracts: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t-\\r]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; an own one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    A lost executor then costs a re-read, never a recomputation that could order ties differently.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -81,6 +58,24 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def running(df: DataFrame, order: list[Column], position: str, **sums: str) -> DataFrame:
+    """df with its place, from 0, in an order, and the sums of columns over all rows before each.
+
+    Rows are dealt by ranges of the order and numbered on their own; one row for each range is ordered in
+    one task. sums: new column -> column.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part_").orderBy(*order)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part_").agg(F.count("*").alias(position), *[F.sum(c).alias(n) for n, c in sums.items()])
+    names = [position, *sums]
+    offsets = totals.select("part_", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_offset_") for n in names])
+    own = {position: F.row_number().over(within) - 1} | {n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()}
+    out = parts.withColumns(own).join(F.broadcast(offsets), "part_")  # a row for each partition of a shuffle
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_offset_") for n in names}).drop("part_", *[f"{n}_offset_" for n in names])
+
+
 def slices(column: pa.Array, most: int, *more: pa.Array) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of rows whose values in a text column (and more such) hold `most` bytes at most, or of single rows."""
     sizes = sum(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (column, *more))

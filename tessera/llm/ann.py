@@ -16,7 +16,7 @@ to the smaller id, so only the k + 1 smallest ids of each can be among anyone's
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have another
 dimension than most, take no part, nor do null ids; rows with the query's own id are its own and never its
-candidates; repeated rows count once; of different vectors with one id each is a candidate, the least is the query; an empty table gives an empty result; other columns are not looked at.
+candidates; repeated rows count once; of different vectors with one id the nearest is the candidate, the least is the query; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,12 +36,15 @@ from tessera.llm.support import materialize
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    #: Rows that the index is fitted on, and queries among them that the number of probes is measured with.
+    #: Rows that the index is fitted on: the least number, more with the root of the table's rows, the most, and the most bytes that they take.
     sample: int = 20_000
+    growth: float = 40.0
+    most_sample: int = 200_000
+    sample_bytes: int = 256 << 20
+    #: Queries among them that the number of probes is measured with.
     trials: int = 256
     #: Share of the true neighbours that the probed lists must hold on the sample.
     recall: float = 0.97
-    most_lists: int = 1024
     #: Vectors, and queries, of a list that one task scans at a time.
     chunk: int = 8192
     #: Vectors of a list that give a bar where there is none yet.
@@ -52,6 +55,12 @@ class Settings:
     seed: int = 7
 
 
+    def sampled(self, rows: int, dimension: int) -> int:
+        """How many rows of a table the index is fitted on."""
+        wanted = min(self.most_sample, max(self.sample, int(self.growth * rows**0.5)) if self.sample >= 20_000 else self.sample)
+        return max(1, min(wanted, self.sample_bytes // (8 * dimension)))
+
+
 @dataclass
 class Index:
     centroids: np.ndarray
@@ -71,11 +80,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _nearest(u: np.ndarray, c: np.ndarray, cells: int = 1 << 23) -> np.ndarray:
+    """The centroid of each unit vector, some rows at a time."""
+    step = max(1, cells // max(1, len(c)))
+    return np.concatenate([np.empty(0, np.int64), *((u[k : k + step] @ c.T).argmax(axis=1) for k in range(0, len(u), step))])
+
+
 def _centroids(x: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np.ndarray:
     rng, u = np.random.default_rng(seed), _unit(x)
     c = u[rng.choice(len(u), lists, replace=False)]
     for _ in range(rounds):
-        near = (u @ c.T).argmax(axis=1)
+        near = _nearest(u, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, u)
         empty = np.bincount(near, minlength=lists) == 0
@@ -101,9 +116,10 @@ def probed(q: np.ndarray, index: Index, k: int) -> tuple[list[np.ndarray], list[
 
 def fit(x: np.ndarray, rows: int, s: Settings) -> Index:
     """Centroids and the number of probes from sampled vectors x of a table with so many rows."""
-    lists = int(max(1, min(s.most_lists, len(x), round(rows**0.5 / 2))))
+    # lists grow with the root of the rows; each has some rows of the sample to be fitted on
+    lists = int(max(1, min(round(rows**0.5 / 2), max(len(x) // 4, 1))))
     c = _centroids(x, lists, s.seed)
-    near = (_unit(x) @ c.T).argmax(axis=1)
+    near = _nearest(_unit(x), c)
     norms = np.zeros(lists)
     np.maximum.at(norms, near, np.linalg.norm(x, axis=1))
     index = Index(c, norms, np.bincount(near, minlength=lists), lists, x.shape[1])
@@ -215,32 +231,30 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         return empty
     dimension, rows = sizes[0]["d"], sizes[0]["n"]
     ok = ok.filter(F.size("v") == dimension)
-    drawn = ok.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("id", "v").toArrow()
+    drawn = ok.orderBy(F.xxhash64("id"), "id").limit(s.sampled(rows, dimension)).select("id", "v").toArrow()
     drawn_x = drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
     index = fit(drawn_x, rows, s)
-    given = spark.sparkContext.broadcast(index.centroids)  # most_lists rows at most
+    given = spark.sparkContext.broadcast(index.centroids)  # a quarter of the sample at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-                near = (_unit(x) @ given.value.T).argmax(axis=1)
+                near = _nearest(_unit(x), given.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(near.astype(np.int32)), pa.array(np.linalg.norm(x, axis=1)), b.column(2)], names=["id", "v", "list", "norm", "query_"])
 
     placed = materialize(ok.mapInArrow(assign, "id long, v binary, list int, norm double, query_ boolean"))
-    for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.max("norm").alias("m")).collect():
+    index.sizes[:] = 0
+    for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.max("norm").alias("m")).collect():  # one row for each list
         index.sizes[r["list"]], index.norms[r["list"]] = r["n"], r["m"]
-    present = {r["list"] for r in placed.select("list").distinct().collect()}
-    for x in range(len(index.sizes)):
-        if x not in present:
-            index.sizes[x] = 0
     known = spark.sparkContext.broadcast(index)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                q = _matrix(b.column(1), dimension)
-                near, far = probed(q, known.value, s.k)
+        for whole in batches:
+            step = max(1, (1 << 21) // len(known.value.centroids))
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                near, far = probed(_matrix(b.column(1), dimension), known.value, s.k)
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in near], kind), pa.array([x.astype(np.int32) for x in far], kind)], names=["id", "v", "near", "far"])
 
@@ -265,19 +279,21 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         left = placed.select("id", "v", "list").join(cells, "list").select("id", "v", "list", deal("vcs").alias("vc"), every("qcs").alias("qc"))
         right = asked.join(cells, "list").select("id", "v", "bar", "list", every("vcs").alias("vc"), deal("qcs").alias("qc"))
         keys = ["list", "vc", "qc"]
-        return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double").distinct())
+        return materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double"))
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.k)
     none = F.lit(float("-inf"))
+    # a vec_id counts once, by the nearest of its vectors
+    once = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     found = hits(asked.select("id", "v", none.alias("bar"), F.explode("near").alias("list")))
-    bars = ranked(found).filter(F.col("rank") == s.k).select(F.col("query_id").alias("id"), lowered(F.col("score"), F.abs).alias("bar"))
+    bars = ranked(once(found)).filter(F.col("rank") == s.k).select(F.col("query_id").alias("id"), lowered(F.col("score"), F.abs).alias("bar"))
     found = found.unionByName(hits(asked.join(bars, "id", "left").select("id", "v", F.coalesce("bar", none).alias("bar"), F.explode("far").alias("list"))))
     # rows that are repeated or the query's own fill lists too: who lacks some of the k goes on to all other lists
-    every_list = F.array(*[F.lit(x) for x in np.flatnonzero(index.sizes).tolist()])
-    got = found.distinct().groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
+    every_list = F.sequence(F.lit(0), F.lit(len(index.sizes) - 1))
+    got = once(found).groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
     short = asked.join(got, "id", "left").filter(F.coalesce("n", F.lit(0)) < s.k)
     short = materialize(short.select("id", "v", none.alias("bar"), F.explode(F.array_except(every_list, F.concat("near", "far"))).alias("list")))
     if not short.isEmpty():
         found = found.unionByName(hits(short))
-    return ranked(found.distinct()).select("query_id", "rank", "vec_id", "score")
+    return ranked(once(found)).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,11 @@
 """URL filters: fixed host rules first, then association rules mined from labels.
 
 Tokens of a URL are the labels of its host, the words of its path and the keys of its query. Labelled
-URLs, with the token of their label, are transactions of Spark's FP-growth; rules whose consequent is the
-blocking label and that reach the least support, confidence and lift are kept, and those that a shorter
-kept rule implies are dropped. A rule is indexed under the rarest of its tokens alone; a URL meets it by
+URLs, with the token of their label, are transactions of Spark's FP-growth. Rules whose consequent is the
+blocking label are kept if they reach the least support, if blocking is likelier than not where they hold
+(confidence), if that is well over the label's share of all URLs (lift), and if chance could hardly have
+made the difference (evidence: the log-likelihood ratio against that share); those that a shorter kept rule
+implies are dropped. A rule is indexed under the rarest of its tokens alone; a URL meets it by
 that token and is blocked if it holds all the others too.
 
 Tokens in exactly the same labelled URLs are mined as one, so URLs that share a long unchanging part do
@@ -48,8 +50,10 @@ class Settings:
     #: Share of the labelled URLs, and their least number, that a rule's tokens and label share.
     support: float = 0.005
     least: int = 10
-    confidence: float = 0.6
+    confidence: float = 0.5
     lift: float = 1.5
+    #: Twice the log-likelihood ratio of a rule's URLs against the share of the blocking label: 15 is about one in 10,000 by chance.
+    evidence: float = 15.0
     #: Most rules that are broadcast; more are joined by a shuffle.
     broadcast: int = 20_000
 
@@ -97,7 +101,12 @@ def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     baskets = each.join(twins.select("token"), "token").groupBy("id").agg(F.collect_set("token").alias("items"))
     marked = labelled.select("id", "block").join(baskets, "id").select(F.when(F.col("block"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=s.confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(materialize(marked))
-    found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= s.lift)).select("antecedent", "confidence", "support")
+    share, held = F.col("confidence") / F.col("lift"), F.round(F.col("support") * n / F.col("confidence"))
+    part = lambda got, expected: F.when((got > 0) & (expected > 0), got * F.log(got / expected)).otherwise(0.0)
+    hits = F.round(F.col("support") * n)
+    evidence = 2 * (part(hits, held * share) + part(held - hits, held * (1 - share)))
+    strong = (F.col("confidence") >= s.confidence) & (F.col("lift") >= s.lift) & (evidence >= s.evidence)
+    found = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & strong).select("antecedent", "confidence", "support")
     found = materialize(found.withColumn("rule_id", F.xxhash64(F.array_sort("antecedent"))))
     # a rule that a shorter one implies adds nothing: the shorter one shares its least token with it
     least_of = found.select(F.col("rule_id").alias("short"), F.col("antecedent").alias("inner"), F.array_min("antecedent").alias("token"))
@@ -108,7 +117,7 @@ def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", rules: tuple[HostRule, ...] = RULES, settings: Settings = Settings()) -> DataFrame:
-    """One row per page: page_id, url, host, path, rule, verdict, matched (mined rules met), confidence (their highest)."""
+    """One row per page: page_id, url, host, path, rule, verdict, matched (mined rules met), confidence (their highest), mined_rules (how many there are)."""
     c = lambda n: F.col(f"`{n}`")
     host, path = host_and_path(c(url))
     read = pages.select(c(page_id).cast("long").alias("page_id"), c(url).cast("string").alias("url"), host.alias("host"), path.alias("path"))
@@ -138,4 +147,4 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     by = met.withColumnRenamed("url", "met_url")
     out = read.join(by, F.col("url").eqNullSafe(F.col("met_url")), "left")
     matched = F.coalesce("matched", F.lit(0)).cast("long")
-    return out.select("page_id", "url", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(matched > 0, "block").otherwise("allow")).alias("verdict"), matched.alias("matched"), "confidence")
+    return out.select("page_id", "url", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(matched > 0, "block").otherwise("allow")).alias("verdict"), matched.alias("matched"), "confidence", F.lit(n_rules).cast("long").alias("mined_rules"))

@@ -8,8 +8,8 @@ smallest conv_id stays. Only what stays is rendered.
 
 Turns are ordered by turn, role and hash of the text, nulls first. Defined results: a repeated row (equal
 turn, role and text) counts once; null roles and texts render as empty, but are different from empty ones
-in comparison; rows with a null conv_id are one conversation; ties between equal conversations go to the
-smallest conv_id, null first; an empty table gives an empty result; other columns are not looked at.
+in comparison; rows with a null conv_id belong to no conversation and take no part; ties between equal
+conversations go to the smallest conv_id; an empty table gives an empty result; other columns are not looked at.
 Hashes are computed before the shuffle, over whole texts; a rendered conversation is one row by nature.
 """
 
@@ -62,10 +62,10 @@ def collapse(turns: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", marks: tuple[str, str, str] = MARKS) -> DataFrame:
     """One row per maximal conversation: conv_id, n_turns, n_copies, rendered."""
     c = lambda n: F.col(f"`{n}`")
-    turns = conversations.select(c(conv_id).alias("conv_id"), c(turn).alias("turn"), c(role).cast("string").alias("role"), c(text).cast("string").alias("text"))
+    turns = conversations.select(c(conv_id).alias("conv_id"), c(turn).alias("turn"), c(role).cast("string").alias("role"), c(text).cast("string").alias("text")).filter("conv_id IS NOT NULL")
     kept = materialize(collapse(turns))
     ids = kept.select(F.col("conv_id").alias("of"), "n_turns", "n_copies")
-    of = turns.join(ids, F.col("conv_id").eqNullSafe(F.col("of")))
+    of = turns.join(ids, F.col("conv_id") == F.col("of"))
     item = F.struct("turn", "role", _hash(1).alias("h1"), _hash(2).alias("h2"), "text")
     listed = of.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.sort_array(F.collect_set(item)).alias("items"))
     empty = lambda x: F.coalesce(x, F.lit(""))

@@ -35,7 +35,7 @@ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM r"""
 
 
-_CHATS = """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+_CHATS = """WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT conv_id, turn, count(*) OVER w AS n, string_agg(coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)), chr(2)) OVER w AS prefix,
   string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '') OVER w AS rendered FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 f AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS last FROM p)

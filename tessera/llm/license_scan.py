@@ -23,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.support import as_bytes
+from tessera.llm.support import as_bytes, slices, tidy
+
+#: Bytes of text that a task takes at a time (about).
+SLICE = 4 << 20
 
 _MAP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -157,13 +160,13 @@ def _rarities(docs: DataFrame, text: str, index: Index) -> None:
         seen: Counter = Counter()
         files = 0
         for b in batches:
-            texts = as_bytes(b.column(0))
-            files += len(texts)
-            for t in texts:
-                seen.update(vocabulary.intersection(scan_words(t)))
+            files += b.num_rows
+            for at, n in slices(b.column(0), SLICE):
+                for t in as_bytes(b.column(0).slice(at, n)):
+                    seen.update(vocabulary.intersection(scan_words(t)))
         yield pa.RecordBatch.from_pydict({"w": pa.array(["", *(w.decode() for w in seen)]), "n": pa.array([files, *seen.values()], pa.int64())})
 
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(tidy(count), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     got = {r.w.encode(): r.n for r in rows}
     index.rarities(got.pop(b"", 0), got)
 
@@ -187,14 +190,14 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         kind = [pa.int64(), pa.int64(), pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])), pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("template", pa.int32()), ("cover", pa.float64())]))]
         for b in batches:
             n, base, found = [], [], []
-            for t in as_bytes(b.column(1)):
+            for t in (t for at, k in slices(b.column(1), SLICE) for t in as_bytes(b.column(1).slice(at, k))):
                 a, p, f = index.scan(t)
                 n.append(a)
                 base.append([{"word": i, "label": index.phrases[k].label} for i, k in p])
                 found.append([{"word": i, "label": index.templates[k].label, "template": k, "cover": c} for k, i, c in f])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, kind[1]), pa.array(base, kind[2]), pa.array(found, kind[3])], names=["doc_id", "n_words", "places", "notices"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(scan), SCHEMA)
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:

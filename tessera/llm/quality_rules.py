@@ -1,5 +1,9 @@
 """Quality rules: a threshold table compiled into one projection of built-in expressions.
 
+The rule on stop words knows English, French, German and Spanish: a text of 50 words or more in another
+language holds none of theirs and fails it. For a corpus of other languages leave that rule out of the table,
+or add their words.
+
 Defined results: a null or empty text has no words, so it fails the base rules; repeated rows are judged
 alike; an empty table gives an empty result; the input's other columns pass through judge() unchanged and
 are never looked at, and measures that clash with their names get underscores in judge().

@@ -49,6 +49,8 @@ def test_neighbours_against_brute_force(spark, n):
 def chats(rows):
     by = {}
     for c, t, r, x in rows:
+        if c is None:  # of no conversation
+            continue
         by.setdefault(c, set()).add((t is not None, t or 0, r is not None, r or "", x is not None, x or ""))
     logs = {c: [(a[3] if a[2] else None, a[5] if a[4] else None) for a in sorted(v)] for c, v in by.items()}
     logs = {c: [(r, x) for r, x in v] for c, v in logs.items()}
@@ -57,7 +59,7 @@ def chats(rows):
         if any(len(o) > len(v) and o[: len(v)] == v for o in logs.values()):
             continue
         same = [d for d, o in logs.items() if o == v]
-        first = None if None in same else min(same)
+        first = min(same)
         if c == first:
             kept[c] = (len(v), len(same), "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in v))
     return kept
@@ -191,6 +193,62 @@ def test_neighbours_with_a_small_sample(spark):
 def test_short_lists_go_on(spark):
     """Rows repeated often fill the best list, yet every query gets its 20."""
     rows = clustered(800, 3)
-    rows += [rows[0]] * 300 + [(0, [x + 1e-3 * n for x in rows[0][1]]) for n in range(1, 200)]
+    rows += [rows[0]] * 300 + [(40_001, [x + 1e-3 * n for x in rows[0][1]]) for n in range(1, 200)]
     got = answers(spark, rows, Settings(sample=200, recall=0.0))
     assert len(got) == 40 and all(len(v) == 20 and q not in v for q, v in got.items())
+
+
+def test_one_id_with_several_vectors(spark):
+    """An id is a candidate once, by the nearest of its vectors, and asks with the least of them; other dimensions take no part."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(300)]
+    twice = [(i, [float(np.float32(2 * x)) for x in v]) for i, v in rows[:50]]
+    other = [(i, [1.0] * 8) for i in range(500, 560)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows + twice + other, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    by = {}
+    for i, v in rows + twice:
+        by.setdefault(i, []).append(np.array(v))
+    assert got.keys() == {i for i in range(0, 300, 20)}
+    for q, near in got.items():
+        v = min((tuple(x) for x in by[q]), key=lambda t: np.array(t).tobytes())
+        asked = [x for x in by[q]]
+        scores = [{j: max(float(a @ x) for x in xs) for j, xs in by.items() if j != q} for a in asked]
+        assert len(near) == 20 and len(v) == 16
+        assert any(all(s == pytest.approx(best[j], rel=1e-9) for j, s in near.items()) for best in scores)
+
+
+def test_lists_grow_with_the_rows():
+    s = Settings()
+    assert s.sampled(1_000, 64) == 20_000 and s.sampled(10**8, 64) == 200_000 and s.sampled(10**8, 10**6) < 100
+    x = np.random.default_rng(0).normal(size=(4000, 8))
+    assert [len(fit(x, n, s).centroids) for n in (100, 40_000, 10**6, 10**9)] == [5, 100, 500, 1000]
+
+
+def test_a_scan_that_finds_nothing_gives_nothing(spark):
+    """Without the scan's rows there is no answer: nothing stands in for the lists."""
+    rows = clustered(3000, 5)
+    want = brute(rows, 20)
+    bad = answers(spark, rows, Settings(sample=400, recall=0.0, epsilon=-4.0, first=21))
+    assert sum(len(set(bad.get(q, ())) & {j for j, _ in want[q]}) for q in want) < 0.6 * 20 * len(want)
+
+
+def test_rules_need_evidence(spark):
+    """Labels that have nothing to do with URLs give no rules, however few URLs a word has."""
+    rng = random.Random(3)
+    rows = [(i, [f"w{rng.randrange(60)}", f"v{rng.randrange(9)}"], rng.random() < 0.25) for i in range(1500)]
+    assert mine(spark.createDataFrame(rows, "id long, tokens array<string>, block boolean")).count() == 0
+    told = [(i, [*t, "bad"], rng.random() < 0.8) if i % 10 == 0 else (i, t, b) for i, t, b in rows]
+    got = mine(spark.createDataFrame(told, "id long, tokens array<string>, block boolean")).collect()
+    assert [r["items"] for r in got] == [["bad"]]
+
+
+def test_rules_by_a_shuffle_and_long_urls(spark):
+    """Rules that are too many to be broadcast meet the same URLs; a very long URL is taken whole."""
+    rows = [(i, f"http://a{i % 7}.io/{'spam' if i % 5 == 0 else 'ham'}/{i}") for i in range(300)] + [(900, "http://b.io/" + "x/" * 200_000 + "spam"), (901, "http://b.io/" + "y" * 400_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    both = [sorted((r.page_id, r.verdict, r.matched, r.mined_rules) for r in filter_urls(pages, labels, settings=Mining(broadcast=n)).collect()) for n in (20_000, 0)]
+    assert both[0] == both[1] and dict((i, v) for i, v, *_ in both[0])[900] == "block" and dict((i, v) for i, v, *_ in both[0])[901] == "allow"
+    assert {r[3] for r in both[0]} == {1}

@@ -1,4 +1,4 @@
-"""python -m tessera check | rules | explain: 0 nothing wrong, 1 errors found, 2 the run itself failed."""
+"""python -m tessera check | watch | rules | explain | lsp | mcp: 0 nothing wrong, 1 errors found, 2 the run itself failed."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ import contextlib
 import datetime
 import json
 import sys
+import tempfile
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tessera import config as configs
+from tessera import server
 from tessera.operators import fixes, reports
 from tessera.operators.violations import failing
 from tessera.operators.gates import admits_any_path
@@ -119,9 +121,38 @@ def time_limit(spark, ms: int | None) -> Iterator[None]:
         raise configs.ConfigError(f"the run took more than {ms} ms")
 
 
+def follow(spark, a: argparse.Namespace, config: Config, stop: Callable[[int], bool] = lambda n: False) -> int:
+    """Run now, and after every change below the root; what earlier runs found of unchanged files is kept."""
+    from tessera.streaming.watch import watch_tree
+
+    with tempfile.TemporaryDirectory(prefix="tessera-watch-") as own:
+        done = threading.Event()
+
+        def once(_, n: int) -> None:
+            today = a.today or datetime.datetime.now(datetime.UTC).date().isoformat()
+            try:
+                out = run(spark, a.root, config, today, store=a.store or f"{own}/store")
+                for part in render(spark, out, config, a.format, a.warn_only):
+                    sys.stdout.write(part)
+                sys.stdout.flush()
+            finally:
+                if stop(n):
+                    done.set()
+
+        query = watch_tree(spark, str(Path(a.root).resolve()), once, f"{own}/stream")
+        try:
+            while not done.wait(0.2) and query.isActive:
+                pass
+        except KeyboardInterrupt:
+            pass
+        finally:
+            query.stop()
+    return 0
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     parser = argparse.ArgumentParser(prog="tessera")
-    parser.add_argument("command", choices=("check", "rules", "explain"))
+    parser.add_argument("command", choices=("check", "watch", "rules", "explain", "lsp", "mcp"))
     parser.add_argument("rule", nargs="?")
     parser.add_argument("--root", default=".")
     parser.add_argument("--config")
@@ -151,6 +182,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             from tessera.session import local_session
 
             spark = local_session(memory="2g")
+        if a.command in ("lsp", "mcp"):
+            project = server.Project(spark, a.root, a.config, a.store, lambda: a.today or datetime.datetime.now(datetime.UTC).date().isoformat())
+            if a.command == "mcp":
+                server.serve_mcp(sys.stdin.buffer, sys.stdout.buffer, project)
+            else:
+                server.serve_lsp(sys.stdin.buffer, sys.stdout.buffer, a.root, project.violations)
+            return 0
+        if a.command == "watch":
+            return follow(spark, a, config)
         with time_limit(spark, limits.whole):
             out = run(spark, a.root, config, today, paths, a.fix, a.report_unused, a.store, a.profile)
             code = failing(out.violations, a.warn_only).first()["exit_code"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.license_scan import PHRASES
 from tessera.llm.quality_rules import _STOP_FORMS, RULES
 
 _SPACE = r"[ \t-\r]+"
@@ -51,4 +52,31 @@ r AS (SELECT k, k AS o FROM d UNION SELECT r.k, e.v FROM r JOIN e ON e.u = r.o)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM coalesce(min(o.doc_id), d.doc_id) AS kept
 FROM d JOIN r ON r.k = d.k JOIN d o ON o.k = r.o LEFT JOIN n ON n.k = d.k GROUP BY d.k, d.doc_id"""
 
-ORACLE_SQL = {"op4_minhash_near_dedup": _NEAR_DUP, "op9_chat_formatting": _CHATS, "op10_quality_rules": _quality_rules()}
+
+
+def _license_phrases() -> str:
+    starts = {label: " || ".join(f"[i - 1 FOR i IN range(1, len(w) + 1) IF w[i : i + {len(p.text.split()) - 1}] = {p.text.split()!r}]" for p in PHRASES if p.label == label) for label in sorted({p.label for p in PHRASES})}
+    found = ", ".join(f"{x} AS p{k}" for k, x in enumerate(starts.values()))
+    every = " || ".join(f"p{k}" for k in range(len(starts)))
+    labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(starts))
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, {found} FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, CAST(coalesce(list_min({every}), -1) AS BIGINT) AS first_word, CAST(coalesce(list_max({every}), -1) AS BIGINT) AS last_word, concat_ws(',', {labels}) AS base_labels FROM p"""
+
+
+_HOSTS = r"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT p.*, row_number() OVER (PARTITION BY page_id, p.host, p.path ORDER BY len(x.host || x.start) DESC) AS i, x.host || x.start AS rule, x.verdict FROM p
+  JOIN (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) x(host, start, verdict)
+  ON (p.host = x.host OR ends_with(p.host, '.' || x.host)) AND starts_with(p.path, x.start))
+SELECT p.page_id, p.host, p.path, f.rule, f.verdict FROM p LEFT JOIN (SELECT DISTINCT page_id, host, path, rule, verdict FROM f WHERE i = 1) f ON f.page_id = p.page_id AND f.host = p.host AND f.path = p.path"""
+
+_TARGETS = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+c AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][sid % 3 + 1] AS w, 2.0::DOUBLE * n AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level, row_number() OVER (ORDER BY cap / w, sid) AS pos FROM c
+  WINDOW o AS (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT arg_min(level, pos) AS unit FROM l WHERE level <= cap / w)
+SELECT d.doc_id, d.size, l.n AS source_size, CASE WHEN unit IS NULL THEN cap ELSE least(cap, w * unit) END AS target FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source CROSS JOIN u"""
+
+ORACLE_SQL = {"license_phrases": _license_phrases(), "url_fixed_rules": _HOSTS, "mix_targets": _TARGETS, "op4_minhash_near_dedup": _NEAR_DUP, "op9_chat_formatting": _CHATS, "op10_quality_rules": _quality_rules()}

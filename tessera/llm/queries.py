@@ -18,7 +18,7 @@ from tessera.llm.packing import cut, pack
 from tessera.llm.quality_rules import judge
 from tessera.llm.support import read_table
 from tessera.llm.toxicity import held_out, toxicity
-from tessera.llm.url_filter import filter_urls
+from tessera.llm.url_filter import RULES, filter_urls, fixed_rule, host_and_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -90,3 +90,29 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, m = judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return judged.select("doc_id", *(m[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), F.array_join(m["failed_rules"], ",").alias("failed_rules"))
+
+
+# Parts of the queries above that SQL can express, on their own.
+
+
+@_query
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's base columns; -1 stands for no place."""
+    scanned = license_digest(scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+    none = lambda n: F.coalesce(n, F.lit(-1)).cast("long").alias(n)
+    return scanned.select("doc_id", "n_words", "n_base", none("first_word"), none("last_word"), "base_labels")
+
+
+@_query
+def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's hosts, paths and fixed rules, with those rules' verdicts."""
+    host, path = host_and_path(F.col("url"))
+    parts = read_table(spark, sf_dir, "pages", "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = fixed_rule(F.col("host"), F.col("path"), RULES)
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+@_query
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's sizes and targets."""
+    return mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target")

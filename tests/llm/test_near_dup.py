@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -113,3 +114,23 @@ def test_keep_one_with_clashing_names_and_repeated_rows(spark):
     got = sorted(keep_one(docs).collect(), key=str)
     assert len(got) == 4 and len([r for r in got if r.doc_id == 5]) == 1 and len([r for r in got if r.near_dup_key_ == "q"]) == 1
     assert got == sorted(keep_one(docs.repartition(5)).collect(), key=str) and keep_one(docs.limit(0)).count() == 0
+
+
+def test_sketches_of_similar_sets_are_not_passed_over():
+    """The gate on sketches, over pairs at the threshold and just above it: no pair that links is far below."""
+    from tessera.llm.near_dup import sketches
+
+    s, rng = Settings(), np.random.default_rng(2)
+    agree, likeness = [], []
+    for size in (20, 60, 400):
+        for _ in range(400):
+            n = size - size % 4
+            pool = rng.integers(1, 2**63, n + n // 4, dtype=np.uint64)
+            # |A & B| = n - n / 4 + ..., similarity at 0.75 or a little over
+            both, rest = pool[: 3 * n // 4], pool[3 * n // 4 :]
+            a, b = np.concatenate([both, rest[: n // 8]]), np.concatenate([both, rest[n // 8 : n // 4]])
+            likeness.append(len(both) / len(set(a.tolist()) | set(b.tolist())))
+            x = sketches([np.unique(a), np.unique(b)], s.size)
+            agree.append(int((x[0] == x[1]).sum()))
+    assert min(likeness) >= 0.75 and min(agree) >= s.agree
+    assert abs(np.mean(agree) / s.size - np.mean(likeness)) < 0.01

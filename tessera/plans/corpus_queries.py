@@ -411,6 +411,30 @@ def check_rust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(_check(spark, sf_dir, "rs", [builtin.no_glob_import(), builtin.no_unwrap()]))
 
 
+@_query(f"""SELECT 'local/deterministic-iteration' AS rule, {_path_sql("rs")} AS file, {_LINES_BEFORE} + 1 AS line, 1 AS "column" FROM documents WHERE doc_id % 2 = 1""")
+def check_rust_project_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [project_rules.deterministic_iteration(["src"]), project_rules.tracked_reads_only(["src"]), project_rules.no_ambient_authority(), project_rules.sandbox_containment(), project_rules.one_parser_per_file()]
+    return _placed(_check(spark, sf_dir, "rs", rules))
+
+
+_RULE_LINE = fixture.CODE["rules.ts"].format(call="").split("\n")
+_AT = {
+    "rule-declares-language": (1, _RULE_LINE[0].index("defineRule")),
+    "gates-are-and": (1, _RULE_LINE[0].index("fileContains")),
+    "facts-must-serialize": (1, _RULE_LINE[0].index("n: m.x")),
+    "reduce-touches-no-tree": (1, _RULE_LINE[0].index("ctx.text")),
+    "node-handle-truthiness": (3, _RULE_LINE[2].index("!p")),
+}
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_path_sql("rules.ts")} AS file, {_LINES_BEFORE} AS n FROM documents)
+SELECT 'local/' || r.rule AS rule, file, n + r.line AS line, r.place + 1 AS "column" FROM d, (VALUES {", ".join(f"('{k}', {line}, {place})" for k, (line, place) in _AT.items())}) r(rule, line, place)
+UNION ALL SELECT 'local/no-eval-in-rules', file, n + 2, 1 FROM d WHERE doc_id % 2 = 0""")
+def check_rules_about_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [project_rules.gates_are_and(), project_rules.rule_declares_language(), project_rules.reduce_touches_no_tree(), project_rules.facts_must_serialize(), project_rules.node_handle_truthiness(), project_rules.no_eval_in_rules()]
+    return _placed(_check(spark, sf_dir, "rules.ts", rules))
+
+
 @_query(f"""WITH d AS (SELECT doc_id, {_path_sql("ts")} AS file, {_LINES_BEFORE} AS n FROM documents)
 SELECT 'tessera/no-restricted-imports' AS rule, file, n + 1 AS line, 1 AS "column" FROM d WHERE CASE WHEN doc_id % 3 = 2 THEN doc_id - 2 ELSE doc_id + 1 END % 10 = 7
 UNION ALL SELECT 'local/no-debugger', file, n + 7, 1 FROM d WHERE doc_id % 20 = 0""")

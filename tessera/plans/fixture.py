@@ -30,6 +30,7 @@ def source_files(spark: SparkSession, n: int = 2_000) -> DataFrame:
 #: Code that stands after a document's text, by language; lines count from the one after the text. {n} is the document, {n+1} and {n-2} others.
 CODE = {
     "ts": "import {{ alpha }} from './{next}'\nexport function alpha(a) {{\n  const list = a\n  return list(a)\n}}\nexport const beta = 1\n",
+    "rules.ts": "export const r = defineRule({{ gates: {{ fileContains: ['a', 'b'] }}, check(ctx, m) {{ ctx.emitFact({{ n: m.x }}) }}, reduce(ctx) {{ ctx.text(1) }} }})\n{call}('x')\nfunction f(ctx) {{ const p = ctx.parent(1); if (!p) return }}\n",
     "py": "import os{renamed}\ndef f(a, b=[], c=list()):\n    try:\n        return open(a)\n    except {caught}:\n        sys.stdout.write(a)\n",
     "go": "package p\n{imports}\ntype C struct {{\n\tctx context.Context\n}}\nfunc {name}() {{}}\n",
     "rs": "use std::collections::{used};\nfn f() {{ g().unwrap(); }}\n#[test]\nfn t() {{ g().unwrap(); }}\n",
@@ -55,6 +56,7 @@ def document_sources(documents: DataFrame, extension: str, path: str = "src") ->
         "caught": F.when(n % 2 == 0, "Exception").otherwise("KeyError"),
         "imports": F.when(n % 3 == 0, "var x int").otherwise('import "context"'),
         "name": F.when(n % 2 == 0, "init").otherwise("setup"),
+        "call": F.when(n % 2 == 0, "eval").otherwise("evil"),
         "used": F.when(n % 2 == 0, "*").otherwise("HashMap"),
     }
     parts: list[Column] = []

@@ -35,14 +35,34 @@ from pyspark.sql import types as T
 from tessera.llm.support import as_bytes, free_name, materialize, slices, tidy
 from tessera.llm.transducers import grammar
 
-#: English function words of the grammar.
-TARGETS = frozenset("you your you're youre yourself he she they them him her u ur everyone nobody people these those that this it".split())
-NEGATIONS = frozenset("not no never isn't isnt aren't arent wasn't wasnt don't dont doesn't doesnt didn't didnt won't wont cannot can't cant neither nor nicht kein keine pas jamais nunca jamás".split())
-REPORTS = frozenset("said says say saying told tells wrote writes called calls claimed claims quoted quote quotes according alleged reported reportedly sagte dit dijo".split())
+#: Function words of the grammar in English, German, French and Spanish.
+TARGETS = frozenset(
+    "you your you're youre yourself he she they him them her u ur everyone nobody people these those that this it "
+    "dich dir euch tu toi vous tú usted ustedes".split()
+)
+#: Of the other languages, those that only a threat is looked at for: by themselves they are too common.
+PERSONS = frozenset("du ihr sie ihn ihm er te il elle ils elles lui leur ti vosotros os él ella ellos ellas".split())
+NEGATIONS = frozenset(
+    "not no never isn't isnt aren't arent wasn't wasnt don't dont doesn't doesnt didn't didnt won't wont cannot can't cant neither nor "
+    "nicht kein keine keinen keiner nie niemals pas jamais rien aucun aucune ni nunca jamás ningún ninguna".split()
+)
+REPORTS = frozenset(
+    "said says say saying told tells wrote writes called calls claimed claims quoted quote quotes according alleged reported reportedly "
+    "sagt sagte sagen behauptet behaupten schrieb schreibt laut nannte nennt dit disent selon écrit affirme prétend appelle dijo dicen según escribió afirma afirmó llamó".split()
+)
 WILLS = frozenset("will i'll ill we'll gonna shall going should must".split())
-THREATS = frozenset("kill hurt beat destroy stab shoot murder smash burn punch strangle hunt crush".split())
+#: The same of languages in which the target may stand before the verb.
+MODALS = frozenset("werde werden wirst wird vais vas va allons voy vamos van".split())
+THREATS = frozenset(
+    "kill hurt beat destroy stab shoot murder smash burn punch strangle hunt crush "
+    "töten umbringen schlagen verprügeln erschießen verbrennen zerstören erwürgen erstechen tuer frapper tabasser détruire brûler étrangler poignarder abattre "
+    "matar golpear apuñalar destruir quemar estrangular disparar".split()
+)
 #: Insults known without labels.
-INSULTS = frozenset("idiot idiots moron morons stupid pathetic worthless disgusting scum loser losers trash clown imbecile filth vermin".split())
+INSULTS = frozenset(
+    "idiot idiots moron morons stupid pathetic worthless disgusting scum loser losers trash clown imbecile filth vermin "
+    "dummkopf trottel arschloch abschaum widerlich versager imbécile imbéciles crétin ordure minable idiota idiotas estúpido estúpida imbécil basura escoria".split()
+)
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]|[\"“”«»]")
 _ENDS = frozenset(".!?;:\n")
@@ -247,7 +267,7 @@ class Scorer:
     def tag(self, word: str, weight: float) -> str:
         if weight:
             return "insult"
-        for tag, words in (("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS), ("will", WILLS), ("target", TARGETS)):
+        for tag, words in (("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS), ("will", WILLS), ("modal", MODALS), ("target", TARGETS), ("person", PERSONS)):
             if word in words:
                 return tag
         return "word"

@@ -52,8 +52,8 @@ def compose(first: Transducer, second: Transducer, tags: tuple[str, ...]) -> Tra
     return out
 
 
-#: Input tags: insult, threat verb, target, negation, reporting verb or quotation, will/shall words, any other word.
-TAGS = ("insult", "threat", "target", "negation", "report", "will", "word")
+#: Input tags: insult, threat verb, target, negation, reporting verb or quotation, will/shall words, the same of languages that put the target before the verb, a person whom a threat may aim at, any other word.
+TAGS = ("insult", "threat", "target", "negation", "report", "will", "modal", "person", "word")
 
 
 def negation(reach: int = 3) -> Transducer:
@@ -90,12 +90,23 @@ def insults(weights: dict[str, float]) -> Transducer:
 
 
 def threats(weights: dict[str, float]) -> Transducer:
-    """will ... threat verb ... target, in this order."""
-    t = Transducer("calm", default={"calm": "calm", "will": "will", "verb": "verb"})
-    t.arcs["calm", "will"] = ("will", "will", 0.0)
-    t.arcs["will", "threat"] = ("verb", "threat", 0.0)
-    t.arcs["will", "negation"] = ("calm", "negation", 0.0)
-    t.arcs["verb", "target"] = ("calm", "target", weights["threat"])
+    """will ... threat verb ... target, in this order; or modal and target, in any order, ... threat verb."""
+    t = Transducer("calm", default={s: s for s in ("calm", "will", "verb", "aimed", "modal", "both", "no")})
+    for s in ("calm", "aimed", "no"):
+        t.arcs[s, "will"] = ("will", "will", 0.0)
+        t.arcs[s, "negation"] = ("no", "negation", 0.0)  # before a modal it denies what follows
+    t.arcs["calm", "modal"] = ("modal", "modal", 0.0)
+    t.arcs["aimed", "modal"] = ("both", "modal", 0.0)
+    t.arcs["no", "modal"] = ("calm", "modal", 0.0)
+    for tag in ("target", "person"):
+        t.arcs["calm", tag] = ("aimed", tag, 0.0)
+        t.arcs["modal", tag] = ("both", tag, 0.0)
+        t.arcs["verb", tag] = ("calm", tag, weights["threat"])
+    for s in ("will", "modal"):
+        t.arcs[s, "threat"] = ("verb", "threat", 0.0)
+    for s in ("will", "modal", "both"):
+        t.arcs[s, "negation"] = ("calm", "negation", 0.0)
+    t.arcs["both", "threat"] = ("calm", "threat", weights["threat"])
     return t
 
 

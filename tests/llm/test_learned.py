@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kneser_ney as kn
 from tessera.llm import toxicity as tox
-from tessera.llm.toxicity import Scorer, Settings, held_out, learn, score, toxicity
+from tessera.llm.toxicity import INSULTS, Scorer, Settings, held_out, learn, score, toxicity
 from tessera.llm.transducers import TAGS, compose, grammar, insults, negation, reported_speech, threats
 
 
@@ -134,6 +134,16 @@ def test_grammar_reads_clauses():
     assert clause(["target", "insult"]) > clause(["insult"]) > clause(["report", "insult"]) > clause(["negation", "insult"]) > 0
     assert clause(["will", "threat", "target"]) > 0 == clause(["threat"]) == clause(["will", "negation", "threat", "target"])
     assert clause(["negation", "word", "word", "word", "insult"]) == clause(["insult"])
+    aimed = clause(["will", "threat", "target"])
+    assert clause(["word", "modal", "target", "threat"]) == clause(["target", "modal", "word", "threat"]) == clause(["modal", "threat", "target"]) == aimed
+    assert clause(["modal", "negation", "target", "threat"]) == clause(["negation", "person", "modal", "word", "threat"]) == clause(["modal", "threat"]) == clause(["target", "threat"]) == clause(["will", "target", "threat"]) == 0
+
+
+@pytest.mark.parametrize("text", ["I will kill you.", "Ich werde dich töten.", "Je vais te tuer !", "Te voy a matar.", "du idiot, dich mag ich", "tu es une ordure", "eres un estúpido, tú"])
+def test_threats_and_insults_in_four_languages(text):
+    scorer = Scorer({f"{w}$": 1e-6 for w in INSULTS}, math.log(0.1), Settings())
+    quiet = [text.split()[0], "Ich werde dich nicht töten.", "Er sagte, ich werde dich töten.", "Je ne vais pas te tuer", "il a dit ordure", "no te voy a matar"]
+    assert scorer.score(text.encode()) >= 0.3 > max(scorer.score(t.encode()) for t in quiet)
 
 
 def test_scores():

@@ -469,16 +469,19 @@ def check_incremental(spark: SparkSession, files: DataFrame, config: Config, tod
 def _entries(misses: DataFrame, state: DataFrame, active: list[Rule], config: Config, today: str, sides: Sides | None) -> DataFrame:
     """New entries (file, key, ...) of files that are not in the store."""
     rows = file_phase(misses, active, config, today, sides, False)
-    gathered = lambda df, name, kind: df.groupBy("file").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "file" or name in ("violations", "facts")])).cast(kind).alias(name))
-    parts = [gathered(reports_of(rows, active, config), "violations", f"array<{_V}>"), gathered(facts_of(rows, active), "facts", f"array<{_F}>")]
-    parts += [gathered(dirs.found(misses, config.directive_prefix), "directives", f"array<{dirs.FOUND}>"), gathered(_reads(rows), "reads", f"array<{_R}>")]
-    asked = rows.filter("kind = '#today'").select("file", F.lit(True).alias("asked")).distinct()
-    out = state.filter("hit_key IS NULL").select("file", "key", "dated_key", "dated").join(asked, "file", "left")
-    out = out.select("file", F.when(F.col("dated") | F.col("asked"), F.col("dated_key")).otherwise(F.col("key")).alias("key"))
-    kinds = {"violations": f"array<{_V}>", "facts": f"array<{_F}>", "directives": f"array<{dirs.FOUND}>", "reads": f"array<{_R}>"}
-    for part in parts:
-        out = out.join(part, "file", "left")
-    return out.select("file", "key", *[F.coalesce(n, F.array().cast(t)).alias(n) for n, t in kinds.items()])
+    kinds = {"violations": _V, "facts": _F, "directives": dirs.FOUND, "reads": _R}
+
+    def part(df: DataFrame, name: str) -> DataFrame:
+        own = F.struct(*[c for c in df.columns if c != "file" or name in ("violations", "facts")])
+        return df.select("file", *[(own if n == name else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()], F.lit(None).cast("boolean").alias("asked"))
+
+    asked = rows.filter("kind = '#today'").select("file", *[F.lit(None).cast(t).alias(n) for n, t in kinds.items()], F.lit(True).alias("asked"))
+    parts = [part(reports_of(rows, active, config), "violations"), part(facts_of(rows, active), "facts"), part(dirs.found(misses, config.directive_prefix), "directives"), part(_reads(rows), "reads"), asked]
+    # one shuffle brings together what a file has given
+    said_ = _union(parts).groupBy("file").agg(*[F.collect_list(n).alias(n) for n in kinds], F.max("asked").alias("asked"))
+    out = state.filter("hit_key IS NULL").select("file", "key", "dated_key", "dated").join(said_, "file", "left")
+    key = F.when(F.col("dated") | F.col("asked"), F.col("dated_key")).otherwise(F.col("key")).alias("key")
+    return out.select("file", key, *[F.coalesce(n, F.array().cast(f"array<{t}>")).alias(n) for n, t in kinds.items()])
 
 
 def _stored(spark: SparkSession, store: str, state: DataFrame) -> DataFrame:

@@ -47,19 +47,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     fs, at = _folder(spark, path)
     fs.deleteOnExit(at)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_folder = path
+    return out
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Intermediate tables that are made within are deleted at the end, but those of the frames put into the list."""
+    """Intermediate tables that are made within are deleted at the end, but those that checkpointed() gave and that are put into the list."""
     start, keep = len(_made), []
     try:
         yield keep
     finally:
-        held = {f.rstrip("/").rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+        held = {df.table_folder for df in keep}
         for path in _made[start:]:
-            if path.rsplit("/", 1)[-1] not in held:
+            if path not in held:
                 fs, at = _folder(spark, path)
                 fs.delete(at, True)
                 _made.remove(path)

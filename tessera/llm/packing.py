@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.support import as_bytes, free_name, materialize, slices, tidy
+from tessera.llm.support import as_bytes, free_name, materialize, release, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -366,7 +366,9 @@ def pack(pieces: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if whole:
         steps = np.vstack([steps, [[s.capacity, 0, whole, mixed, 0]]])
     keys = (steps[:, 0] << 40) + steps[:, 1]
-    given = pieces.sparkSession.sparkContext.broadcast((keys, steps[:, 3], steps[:, 4]))
+    given = pieces.sparkSession.sparkContext.broadcast((keys, steps[:, 3].copy(), steps[:, 4].copy()))
+    del steps, order, keys
+    release()
     buckets = max(1, 1 << ((sum(counts.values()) + whole) // s.bucket).bit_length())
     h, b, r, base, c, rank = (free_name(pieces, x) for x in ("h_", "b_", "r_", "base_", "c_", "rank_"))
     names = {x: free_name(pieces, x) for x in ("sequence_id", "offset")}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.support import as_bytes, free_name, materialize, slices, tidy
+from tessera.llm.support import as_bytes, free_name, materialize, release, slices, tidy
 from tessera.llm.transducers import grammar
 
 #: Function words of the grammar in English, German, French and Spanish.
@@ -143,19 +143,24 @@ def _mined(texts: DataFrame, s: Settings) -> tuple[int, list[tuple[str, int, int
                 known.clear()
 
     pairs = once.select("text").mapInArrow(tidy(emit), "f long, context long").groupBy("f", "context").agg(F.count("*").alias("n"))
-    passed = pairs.groupBy("f").agg(F.sum("n").alias("rows"), F.count("*").alias("contexts")).filter((F.col("rows") >= s.contexts) & (F.col("contexts") >= s.contexts)).collect()
-    counts = {r["f"]: (r["rows"], r["contexts"]) for r in passed}
-    wanted = frozenset(counts)
+    passed = pairs.groupBy("f").agg(F.sum("n").alias("rows"), F.count("*").alias("contexts")).filter((F.col("rows") >= s.contexts) & (F.col("contexts") >= s.contexts)).toArrow()
+    counts = dict(zip(passed.column("f").to_pylist(), zip(passed.column("rows").to_pylist(), passed.column("contexts").to_pylist(), strict=True), strict=True))
+    # the tasks look hashes up in an array: a set of as many would take ten times the memory
+    wanted = texts.sparkSession.sparkContext.broadcast(np.sort(passed.column("f").to_numpy()))
+    del passed
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
+        hashes = wanted.value
         for words in words_of(batches):
             new = set(words) - seen
             seen |= new
-            names = sorted({f for w in new for f in _features(w, s) if _hash(f) in wanted})
-            yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string())})
+            names = sorted({f for w in new for f in _features(w, s)})
+            keys = np.array([_hash(f) for f in names], np.int64)
+            hit = hashes[np.minimum(np.searchsorted(hashes, keys), max(len(hashes) - 1, 0))] == keys if len(hashes) else np.zeros(len(keys), bool)
+            yield pa.RecordBatch.from_pydict({"f": pa.array([f for f, h in zip(names, hit.tolist(), strict=True) if h], pa.string())})
 
-    names = [r["f"] for r in once.select("text").mapInArrow(tidy(name), "f string").distinct().collect()]
+    names = once.select("text").mapInArrow(tidy(name), "f string").distinct().toArrow().column("f").to_pylist()
     return once.count(), [(f, *counts[_hash(f)]) for f in names]
 
 
@@ -237,12 +242,15 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         if docs_:
             yield pa.RecordBatch.from_pydict({"f": list(docs_), "r": pa.array(docs_.values(), pa.int64()), "k": pa.array([times[f] for f in docs_], pa.int64())})
 
-    counted = read.join(F.broadcast(ids[0]), "id").mapInArrow(tidy(count), "f string, r long, k long").groupBy("f").agg(F.sum("r").alias("r"), F.sum("k").alias("k")).collect()
-    clean = {r["f"]: (r["r"], r["k"]) for r in counted}
+    counted = read.join(F.broadcast(ids[0]), "id").mapInArrow(tidy(count), "f string, r long, k long").groupBy("f").agg(F.sum("r").alias("r"), F.sum("k").alias("k")).toArrow()
+    clean = dict(zip(counted.column("f").to_pylist(), zip(counted.column("r").to_pylist(), counted.column("k").to_pylist(), strict=True), strict=True))
+    del counted
     n0, words = clean.pop("", (0, 0))
     lexicon = _select(ready, clean, n1, n0, words, s)
     if not lexicon:
         lexicon = {f"{w}$": _RARE for w in INSULTS}
+    del ready, clean, wanted
+    release()
     return lexicon, math.log(base["k"] / (base["n"] - base["k"]))
 
 

@@ -266,9 +266,10 @@ def first_match_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""SELECT url AS file FROM pages WHERE (page_id % 2 = 0 OR page_id % 5 = 0) AND url NOT LIKE '%blog%'""")
 def selection_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("file"))
+    """A page is a file of its own at <page_id>/<url>: pages may share a url, and selecting one of them selects no other."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.col("page_id").cast("string"), F.lit("/"), "url").alias("file"))
     changed = pages.filter("page_id % 2 = 0").select("file").unionByName(pages.filter("page_id % 5 = 0").select("file"))
-    return files.narrowed(pages.filter(gates.selects(F.col("file"), [], ["*blog*"])), changed).select("file")
+    return files.narrowed(pages.filter(gates.selects(F.col("file"), [], ["*blog*"])), changed).select(F.col("url").alias("file"))
 
 
 @_query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ts' WHEN 1 THEN 'PY' WHEN 2 THEN 'go' WHEN 3 THEN 'txt' ELSE 'mjs' END AS e, text FROM documents)

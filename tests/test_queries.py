@@ -35,6 +35,16 @@ def test_query_matches_sql(spark, duck, name):
         assert rows(got) == rows(want)
 
 
+def test_selection_of_pages_that_share_a_url(spark, tmp_path):
+    pages = [(1, "http://a/x"), (2, "http://a/x"), (3, "http://b"), (4, "http://blog/b"), (5, "http://c"), (5, "http://c"), (6, None), (None, "http://d"), (8, ""), (9, "")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = corpus_queries.QUERIES["selection_intersect"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(corpus_queries.ORACLE_SQL["selection_intersect"]).df()
+    assert rows(got) == rows(want) == [("",), ("http://a/x",), ("http://c",), ("http://c",)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -109,6 +109,43 @@ def test_quality_threshold_is_the_quantile(spark):
     assert not all(r[m["kept"]] for r in got)
 
 
+def test_quality_joins_count_shards(spark, monkeypatch):
+    """Perplexities come from joins with the sharded counts, block by block; no table of them is gathered or broadcast."""
+    rng = random.Random(3)
+    words = ["the", "river", "Stone", "under", "and", "12", "of", "é"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 90))), "en") for i in range(60)]
+    rows += [(60, "no such thing? " * 400, None), (61, None, "en"), (62, "", "en"), (None, "the river", "en"), rows[5], (5, "another #text", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(5, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    s = kn.Settings(order=3, slice=300, block=800)
+    away = {r.id for r in spark.range(60).filter(kn.unseen(F.col("id"), s)).collect()}
+    trained = [t for i, t, _ in rows if i in {*range(0, 60, 2), 5} - away]
+    bits = naive_bits([t.encode() for t in trained], 3)
+
+    def gathered(*args, **more):
+        raise AssertionError("a table of the model is gathered")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "toArrow", gathered)
+        m.setattr(type(docs), "toPandas", gathered)
+        m.setattr(spark.sparkContext, "broadcast", gathered)
+        out, names = kn.classify(docs, labels, settings=s)
+        got = out.collect()
+    assert sorted(map(str, (tuple(r[:3]) for r in got))) == sorted(map(str, rows))
+    for r in got:
+        x = [int(kn._CLASS[b]) for b in b"\n\n" + (r.text or "").encode()]
+        known = {g: bits(g) for g in {tuple(x[i : i + 3]) for i in range(len(x) - 2)}}
+        assert r[names["n_bytes"]] == len(x) - 2
+        assert r[names["bits"]] == (pytest.approx(sum(known[tuple(x[i : i + 3])] for i in range(len(x) - 2)) / (len(x) - 2), rel=1e-5) if len(x) > 2 else None)
+    counts = kn.count_ngrams(docs.select("text"), s)
+    plan = kn.ngram_bits(kn.model(counts, 3), counts.select("gram"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    blocks = kn.blocks_of(docs, "text", F.col("doc_id"), s)
+    assert blocks.count() > 10
+    plan = kn._meet(blocks, blocks.select("block"), lambda a, b: b, "block long")._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan and not [x for x in plan.splitlines() if "RoundRobin" in x or "Exchange hashpartitioning(of_block" in x]
+
+
 WEIGHTS = Settings().weights
 
 
